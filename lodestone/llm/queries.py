@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.syncmers import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.mixing import mix
 
