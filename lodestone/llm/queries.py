@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.warc import round_trip
+
+    out = round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.quality import classify
 
@@ -29,6 +36,18 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.packing import pack
 

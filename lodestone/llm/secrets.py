@@ -76,8 +76,16 @@ def hot_stretch(candidate: Column, least: float, window: int = WINDOW) -> Column
     return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), begin, step, lambda acc: F.struct(acc.start.alias("start"), acc.end.alias("end")))
 
 
-def _overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o.start < span.end) & (span.start < o.end))
+def _stretch_in_text(least: float, window: int):
+    return lambda x: F.struct(x.span.start.alias("at"), hot_stretch(x.candidate, least, window).alias("in"))
+
+
+def _apart_from(others: Column):
+    return lambda span: ~F.exists(others, lambda o: (o.start < span.end) & (span.start < o.end))
+
+
+def _of_kind(i: int):
+    return lambda x: F.struct(x.start.alias("start"), F.lit(i).alias("kind"), x.end.alias("end"))
 
 
 def scan(docs: DataFrame, *, text: str = "text", allowed: str = ALLOWED, window: int = WINDOW) -> DataFrame:
@@ -93,15 +101,14 @@ def scan(docs: DataFrame, *, text: str = "text", allowed: str = ALLOWED, window:
         found = F.col(f"_s_m_{c}")
         pairs = F.arrays_zip(located(whole, pattern, found).alias("span"), found.alias("candidate"))
         plausible = F.filter(pairs, lambda x: ~x.candidate.rlike(allowed))
-        hot = F.transform(plausible, lambda x, least=least: F.struct(x.span.start.alias("at"), hot_stretch(x.candidate, least, window).alias("in")))
+        hot = F.transform(plausible, _stretch_in_text(least, window))
         spans = F.transform(F.filter(hot, lambda x: x["in"].start >= 0), lambda x: F.struct((x["at"] + x["in"].start).alias("start"), (x["at"] + x["in"].end).alias("end")))
         placed[f"_s_{c}"] = F.when(F.exists(found, lambda x: ~x.rlike(allowed)), spans).otherwise(F.array().cast(_SPANS))
     out = out.withColumns(placed)
     known = F.concat("_s_assign", "_s_access", "_s_hex")
     entropy = F.array().cast(_SPANS)
     for c in CLASSES:
-        own = F.col(f"_s_{c}")
-        entropy = F.concat(entropy, F.filter(own, lambda x, before=F.concat(known, entropy): ~_overlaps(x, before)))
+        entropy = F.concat(entropy, F.filter(F.col(f"_s_{c}"), _apart_from(F.concat(known, entropy))))
     any_hot = F.greatest(*[F.size(f"_s_{c}") for c in CLASSES]) > 0
     out = out.withColumn("_s_entropy", F.when(any_hot, F.array_sort(entropy)).otherwise(F.array().cast(_SPANS)))
     return out.drop(*[f"_s_m_{k}" for k in [*base, *CLASSES]], *[f"_s_{c}" for c in CLASSES])
@@ -109,7 +116,7 @@ def scan(docs: DataFrame, *, text: str = "text", allowed: str = ALLOWED, window:
 
 def joined(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of the spans of these kinds, by start and then by kind, comma-joined."""
-    own = [F.transform(F.col(f"_s_{k}"), lambda x, i=i: F.struct(x.start.alias("start"), F.lit(i).alias("kind"), x.end.alias("end"))) for i, k in enumerate(kinds)]
+    own = [F.transform(F.col(f"_s_{k}"), _of_kind(i)) for i, k in enumerate(kinds)]
     names = F.array(*map(F.lit, kinds))
     every = F.array_sort(F.concat(*own))
     return F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(names, x.kind + 1), x.start.cast("string"), x.end.cast("string"))), ",")
