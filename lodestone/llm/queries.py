@@ -48,6 +48,12 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.neardup import link
+
+    return link(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.packing import pack
 
@@ -65,4 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lodestone.llm.oracles import SQL
+
+    return SQL
