@@ -1,0 +1,107 @@
+from pyspark.sql import functions as F
+
+from lodestone.operators import concepts, store
+from lodestone.sources import chunks, declarations, files
+from lodestone.streaming import changes
+
+
+def table(spark, **contents):
+    return spark.createDataFrame([(k.replace("__", "."), v) for k, v in contents.items()], "file string, content string")
+
+
+def shape(found):
+    return [(r.start_line, r.end_line, r.function_name) for r in found.orderBy("file", "start_line").collect()]
+
+
+def test_sliding(spark):
+    text = "\n".join(f"line {i}" for i in range(1, 201))
+    assert shape(chunks.sliding(table(spark, a__rs=text, b__rs=""))) == [(1, 150, None), (51, 200, None)]
+
+
+def test_markdown_ignores_fences(spark):
+    text = "intro\n\n# One\ntext\n```\n# not\n```\n## Two\nmore\n"
+    assert shape(chunks.markdown(table(spark, a__md=text))) == [(1, 2, None), (3, 7, "One"), (8, 9, "Two")]
+
+
+def test_formats(spark):
+    assert shape(chunks.yaml(table(spark, a__yaml="# c\nname: x\nlist:\n  - a\n  b: 2\n"))) == [(2, 2, "name"), (3, 5, "list")]
+    assert shape(chunks.toml(table(spark, a__toml="x = 1\n[one]\na = 1\n[[two]]\nb = 2\n"))) == [(2, 3, "one"), (4, 5, "two")]
+    assert shape(chunks.json(table(spark, a__json="{}\n", b__json="\n" * 500))) == [(1, 1, None)]
+    assert shape(chunks.plaintext(table(spark, a__txt="a\nb\n\n\nc\n" + "\n" + "x\n" * 60))) == [(1, 2, None), (5, 5, None), (7, 56, None), (57, 66, None)]
+    assert shape(chunks.xml(table(spark, a__xml="<r>\n<a>\n<b/>\n</a>\n<one>1</one>\n<c>\nx\n</c>\n</r>"))) == [(2, 4, "a"), (6, 8, "c")]
+    assert chunks.documents(table(spark, a__md="# x\n", b__rs="fn a() {}", c__json="{}", d__log="x")).count() == 4
+
+
+def test_oversized(spark):
+    found = chunks.split_oversized(chunks.whole(table(spark, a__rs="\n".join(["x"] * 201))))
+    parent = found.where("parent_chunk_id is null").first()
+    assert len(parent.child_chunk_ids) == found.count() - 1 == 4
+    assert [(r.start_line, r.end_line) for r in found.where("parent_chunk_id is not null").orderBy("start_line").collect()] == [(1, 100), (51, 150), (101, 200), (151, 201)]
+
+
+RUST = '''use serde::Value;
+/// Reads `Config` from HTTP
+pub struct Reader { a: u8 }
+impl Read for Reader {
+    fn read(&self) -> u8 { self.helper(); panic!("something bad here") }
+}
+fn helper() {}
+'''
+
+
+def test_declarations(spark):
+    rows = {r.function_name: r for r in declarations.declarations(table(spark, a__rs=RUST)).collect()}
+    assert {"Reader": "Impl", "Reader::read": "Method", "helper": "Function"}.items() <= {k: r.chunk_type for k, r in rows.items()}.items()
+    assert rows["Reader::read"].calls == ["helper", "panic"] and rows["Reader"].inherits_from == ["Read"]
+    python = "class A(B, C):\n    def run(self):\n        return go()\n\ndef top():\n    def inner():\n        pass\n    return 1\n"
+    got = {r.function_name: r for r in declarations.declarations(table(spark, m__py=python)).collect()}
+    assert set(got) == {"A", "run", "top"} and got["run"].chunk_type == "Method" and got["A"].inherits_from == ["B", "C"] and got["top"].end_line == 8
+    plain = declarations.declarations(table(spark, z__py="x = 1\n")).first()
+    assert plain.chunk_type == "Code" and plain.function_name is None
+
+
+def test_entities_and_virtual_terms(spark):
+    source = table(spark, a__rs=RUST)
+    entity = declarations.entities(source)
+    kinds = {(r.entity_type, r.text) for r in entity.collect()}
+    assert {("ModulePath", "serde::Value"), ("ExternalCrate", "serde"), ("NamedType", "Reader"), ("ErrorVariant", "panic!"), ("LiteralString", "something bad here")} <= kinds
+    found = declarations.virtual_terms(chunks.sliding(source, 3, 3), entity)
+    assert "serde" in found.where("start_line = 1").first().virtual_terms
+
+
+def test_paths(spark):
+    rows = spark.createDataFrame([("a/b.rs", 1), ("Cargo.lock", 1), ("x/app-1a2b3c4d.js", 1), ("x/app-main.js", 1), ("big.rs", 2_000_000), ("node_modules/a.js", 1), ("a.PNG", 1)], "p string, n long")
+    kept = [r.p for r in rows.where(~files.skipped_path(F.col("p"), F.col("n")) & ~files.in_skipped_folder(F.col("p"))).collect()]
+    assert kept == ["a/b.rs", "x/app-main.js"]
+    assert files.configured_extensions(["Rust", "ts", "nothing"]) == ["rs", "ts", "tsx"]
+
+
+def test_scan(spark, tmp_path):
+    for name, data in {"src/a.rs": b"fn a() {}", "src/target/b.rs": b"x", "README.md": b"# hi", "bad.py": b"\xff\xfe", "min.js": b"x" * 600, "c.bin": b"1"}.items():
+        path = tmp_path / "root" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    root = f"file://{tmp_path}/root"
+    good, bad = files.scan(spark, [root, root], exclude=["nothing*"])
+    assert sorted(r.file for r in good.collect()) == ["README.md", "src/a.rs"] and [r.file for r in bad.collect()] == ["bad.py"]
+    assert files.summary(good).first().summary == "# hi"
+
+
+def test_stream_updates_index(spark, tmp_path):
+    catalog = store.Catalog(spark, f"file://{tmp_path}/index")
+    catalog.create("x")
+    events = spark.createDataFrame([("2024-01-01 00:00:00", "a.rs", "Modified", "one\n"), ("2024-01-01 00:00:01", "b.rs", "Modified", "two\n"), ("2024-01-01 00:00:02", "a.rs", "Modified", "three\n"), ("2024-01-01 00:00:03", "b.rs", "Removed", None)], "ts string, file string, op string, content string").withColumn("ts", F.to_timestamp("ts"))
+    events.where("ts < '2024-01-01 00:00:02'").coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    stream = lambda: spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in/*")
+    changes.follow(stream(), catalog, "x", chunks.sliding, f"{tmp_path}/at").awaitTermination(60)
+    assert sorted(r.content for r in catalog.load("x", "chunks").collect()) == ["one", "two"]
+    events.where("ts >= '2024-01-01 00:00:02'").coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    changes.follow(stream(), catalog, "x", chunks.sliding, f"{tmp_path}/at").awaitTermination(60)
+    assert [r.content for r in catalog.load("x", "chunks").collect()] == ["three"]
+
+
+def test_concepts(spark):
+    vocabulary = spark.createDataFrame([("east", 0, [1.0, 0.0]), ("north", 1, [0.0, 1.0])], "word string, at int, embedding array<double>")
+    points = spark.createDataFrame([([1.0, 0.1],), ([1.0, 0.0],), ([0.0, 1.0],), ([0.1, 1.0],)], "embedding array<double>")
+    assert {r.text for r in concepts.clusters(points, vocabulary, "f").collect()} == {"east", "north"}
+    assert concepts.clusters(points.limit(3), vocabulary, "f").count() == 0
