@@ -29,7 +29,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 # Fixed values of HTML: elements whose content is no markup or is not shown, elements without an end tag, elements that part blocks.
-_HIDDEN = frozenset("head script style noscript template iframe object svg math textarea select canvas audio video datalist".split())
+_HIDDEN = frozenset("head title script style noscript template iframe object svg math textarea select canvas audio video datalist".split())
 _RAW = frozenset("script style textarea title iframe noscript template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
