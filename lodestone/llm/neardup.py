@@ -7,11 +7,13 @@ over the whole corpus, and differ in how they rank the rest.
 
 1. Texts whose words are the same form a class; one representative stands for it.
 2. Prefix postings of the first order are dealt by shingle; those that only one class holds go at once.
-3. In each shingle's group the members are held against the group's least member only. What links is joined into
+3. In each shingle's group the members are held against one hub only, the member with the least share of
+   prefix shingles of its own, which is what the others were copied from or close to it. What links is joined into
    preliminary components, so that a large group of near copies costs as many pairs as it has members.
-4. Between members of different components every pair is a candidate that lengths, positions and shingles which
-   are certain to have no match don't rule out. So no link between components is lost, and links inside
-   one can't change it.
+4. Between members of different components every pair is a candidate that lengths, positions, shingles which
+   are certain to have no match, and the measured overlaps of both with their group's hub don't rule out: two sets
+   share at most the smaller overlap with the hub and the smaller rest outside of it. So no link between components is
+   lost, and links inside one can't change it.
 5. Candidates of 3 and 4 must also share a prefix shingle under the other orders; then the sets are compared.
 
 Defined results: letters A to Z are lower-cased, words are parted by ASCII white space; texts of fewer words than
@@ -201,71 +203,70 @@ def _postings(docs: DataFrame, frequent, words: int, similar) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token and class: those of tokens that several classes hold, with the least class as the group's hub."""
-    names = ["token", "cls", "size", "pos", "hub", "hub_size", "hub_pos"]
-    hub = None  # (token, cls, size, pos, already handed on) of the group under way
-    last = None
+    """Of postings sorted by token and class: one of each class for the tokens that several classes hold."""
+    names = ["token", "cls", "size", "pos"]
+    held = None  # the last row so far, and whether it was handed on
     for batch in batches:
-        token, cls, size, pos = (c.to_numpy() for c in batch.columns)
+        columns = [c.to_numpy() for c in batch.columns]
+        if held:
+            columns = [np.concatenate([[h], c]) for h, c in zip(held[0], columns, strict=True)]
+        token, cls = columns[:2]
         if not len(token):
             continue
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
-        repeat = np.zeros(len(token), bool)
-        repeat[1:] = ~new[1:] & (cls[1:] == cls[:-1])
-        if last is not None and last[0] == token[0]:
-            new[0] = False
-            repeat[0] = last[1] == cls[0]
-        last = (token[-1], cls[-1])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-        old = start < 0  # rows of the group that began in an earlier batch
-        h = [np.where(old, hub[i + 1] if hub else 0, x[start]) for i, x in enumerate((cls, size, pos))]
-        member = (cls != h[0]) & ~repeat
-        out = [token[member], cls[member], size[member], pos[member], *[x[member] for x in h]]
-        # A hub itself goes on once its first member is known.
-        firsts = np.flatnonzero(member)
-        groups = np.unique(start[firsts]) if len(firsts) else np.zeros(0, np.int64)
-        rows = [(token[g], cls[g], size[g], pos[g]) for g in groups if g >= 0]
-        if len(groups) and groups[0] < 0 and hub and not hub[4]:
-            rows.append(hub[:4])
-            hub = (*hub[:4], True)
-        if rows:
-            extra = np.array(rows, np.int64).T
-            out = [np.concatenate([x, e]) for x, e in zip(out, [*extra, *extra[1:]], strict=True)]
-        g = start[-1]
-        if g >= 0:
-            hub = (token[g], cls[g], size[g], pos[g], bool(len(groups) and groups[-1] == g))
-        if len(out[0]):
-            yield _longs(*out, names=names)
+        same = token[1:] == token[:-1]
+        copy = np.zeros(len(token), bool)
+        copy[1:] = same & (cls[1:] == cls[:-1])
+        fresh = np.flatnonzero(~copy)
+        first = token[fresh]
+        grouped = np.zeros(len(fresh), bool)
+        grouped[1:] = first[1:] == first[:-1]
+        grouped[:-1] |= grouped[1:]
+        out = fresh[grouped]
+        if held and held[1] and len(out) and out[0] == 0:
+            out = out[1:]
+        # Rows of the group under way come with the next batch's first row, which is the last of this one.
+        last = fresh[-1]
+        held = ([c[last] for c in columns], bool(grouped[-1]) or bool(held and held[1] and last == 0))
+        if len(out):
+            yield _longs(*[c[out] for c in columns], names=names)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, frequent, words: int, similar, orders: int) -> DataFrame:
-    """The (a, b) pairs of classes that link, as (a, b, rep_a, rep_b)."""
-    names = ["a", "b", "rep_a", "rep_b"]
+    """The (a, b) pairs of classes with their representatives, how much they share, and whether they link."""
+    names = ["a", "b", "rep_a", "rep_b", "shared", "linked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, tuple] = {}
         for batch in batches:
-            ids = [batch.column(i).to_numpy() for i in range(4)]
             one, other = _raws(batch.column(4)), _raws(batch.column(5))
             new = list({r for r in [*one, *other] if r not in known})
             if sum(map(len, known)) > 32 << 20:
                 known.clear()
                 new = list({*one, *other})
             for a, b in _parts(new):
-                known.update(zip(new[a:b], shingles(new[a:b], words), strict=True))
-            keep = np.zeros(len(one), bool)
-            for i, (x, y) in enumerate(zip(one, other, strict=True)):
-                x, y = known[x], known[y]
-                if all(len(np.intersect1d(prefix(x, k, frequent.value, similar), prefix(y, k, frequent.value, similar), assume_unique=True)) for k in range(1, orders)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = similar[1] * both >= similar[0] * (len(x) + len(y) - both)
-            yield _longs(*[c[keep] for c in ids], names=names)
+                for r, s in zip(new[a:b], shingles(new[a:b], words), strict=True):
+                    known[r] = (s, [np.sort(prefix(s, k, frequent.value, similar)) for k in range(1, orders)])
+            shared, linked = [], []
+            for x, y in zip(one, other, strict=True):
+                (x, first), (y, second) = known[x], known[y]
+                n = _common(x, y)
+                candidates = all(_common(p, q) for p, q in zip(first, second, strict=True))
+                shared.append(n)
+                linked.append(int(candidates and similar[1] * n >= similar[0] * (len(x) + len(y) - n)))
+            yield _longs(*[batch.column(i) for i in range(4)], shared, linked, names=names)
 
     left = texts.select(F.col("cls").alias("a"), F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cls").alias("b"), F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
     full = pairs.join(right, "b").join(left, "a").select("a", "b", "rep_a", "rep_b", "text_a", "text_b")
-    return full.mapInArrow(run, "a long, b long, rep_a long, rep_b long")
+    return full.mapInArrow(run, "a long, b long, rep_a long, rep_b long, shared long, linked long")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many of two sorted sets' members are the same."""
+    if not len(x) or not len(y):
+        return 0
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return int((x[at] == y).sum())
 
 
 def _could_link(size_a: str, size_b: str, overlap: str, similar: tuple[int, int]) -> str:
@@ -290,12 +291,25 @@ def link(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int] = SIMI
     classes = cut(classes.select("hi", F.col("lo").alias("cls"), "rep"), "link-classes")
 
     dealt = _postings(docs.where("doc_id is not null"), frequent, words, similar).repartition("token").sortWithinPartitions("token", "cls")
-    shared = cut(dealt.mapInArrow(_shared, "token long, cls long, size long, pos long, hub long, hub_size long, hub_pos long"), "link-shared")
+    shared = cut(dealt.mapInArrow(_shared, "token long, cls long, size long, pos long"), "link-shared")
 
-    # Members against hubs. Their first common shingle is that with the least positions.
-    stars = shared.where("cls <> hub").groupBy("cls", "hub", "size", "hub_size").agg(F.min("pos").alias("pos"), F.min("hub_pos").alias("hub_pos"))
-    stars = stars.where(_could_link("size", "hub_size", "least(size - pos, hub_size - hub_pos)", similar))
-    stars = cut(stars.select(F.col("hub").alias("a"), F.col("cls").alias("b")), "link-stars")
+    # What comes before a shingle in a prefix and is in no shared group is sure to have no match with the group's
+    # members: whoever has it, and this shingle in its prefix, would have it in its prefix too.
+    n, d = similar
+    own = Window.partitionBy("cls")
+    alone = F.col("pos") - F.row_number().over(own.orderBy("pos", "token")) + 1
+    length = F.expr(f"size - (({n} * size + {d - 1}) div {d}) + 1")
+    member = shared.withColumns({"alone": alone, "lonely": ((length - F.count("*").over(own)) * 1000 / length).cast("int")})
+    hub = F.min(F.struct("lonely", "cls", "size", "pos", "alone")).over(Window.partitionBy("token"))
+    member = member.withColumn("hub", hub)
+    member = member.select("token", "cls", "size", "pos", "alone", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("cls", "size", "alone")])
+    member = cut(member, "link-members")
+
+    # Members against hubs, by the least bound of the groups where they meet.
+    most = F.least(F.col("size") - F.col("alone"), F.col("hub_size") - F.col("hub_alone"))
+    stars = member.where("cls <> hub_cls").groupBy("cls", "hub_cls", "size", "hub_size").agg(F.min(most).alias("most"))
+    stars = stars.where(_could_link("size", "hub_size", "most", similar)).select(F.col("hub_cls").alias("a"), F.col("cls").alias("b"))
+    stars = cut(stars, "link-stars")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -306,25 +320,28 @@ def link(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int] = SIMI
         return cut(_verified(pairs, texts_of(pairs), frequent, words, similar, orders), "link-links")
 
     first = links(stars)
-    roots = components(first.select("a", "b"))
+    roots = components(first.where("linked = 1").select("a", "b"))
 
-    # What is in no shared group before a shingle is sure to have no match there.
-    before = F.row_number().over(Window.partitionBy("cls").orderBy("pos", "token")) - 1
-    member = shared.select("token", "cls", "size", "pos").withColumn("alone", F.col("pos") - before)
     member = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     # Both of a pair lose what is alone: alone_a + alone_b <= (size_a + size_b) (1 - t) / (1 + t).
-    n, d = similar
     member = member.withColumn("spare", F.col("alone") * (n + d) - F.col("size") * (d - n))
     group = Window.partitionBy("token")
     member = member.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group), "least": F.min("spare").over(group)})
-    member = cut(member.where("low <> high and spare + least <= 0").select("token", "cls", "size", "pos", "alone", "root"), "link-members")
+    member = cut(member.where("low <> high and spare + least <= 0").drop("low", "high", "least", "spare"), "link-open")
+    # What each shares with its group's hub; all of itself if it is the hub.
+    measured = first.groupBy(F.col("a").alias("hub_cls"), F.col("b").alias("cls")).agg(F.max("shared").alias("met"))
+    member = member.join(measured, ["hub_cls", "cls"], "left").withColumn("met", F.when(F.col("cls") == F.col("hub_cls"), F.col("size")).otherwise(F.col("met")))
+    member = member.select("token", "cls", "size", "root", "met", (F.col("size") - F.col("alone")).alias("most"))
     x, y = member.alias("x"), member.alias("y")
-    fits = _could_link("x.size", "y.size", "least(x.size - x.alone, y.size - y.alone)", similar)
+    through_hub = "least(x.met, y.met) + greatest(0, least(x.most - x.met, y.most - y.met))"
+    fits = _could_link("x.size", "y.size", f"least(x.most, y.most, coalesce({through_hub}, x.size))", similar)
     rest = x.join(y, F.expr(f"x.token = y.token and x.cls < y.cls and x.root <> y.root and {fits}"))
-    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = links(cut(rest, "link-rest"))
+    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = links(cut(rest.join(tried, ["a", "b"], "left_anti"), "link-rest"))
 
-    edges = first.unionByName(second).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    linked = first.unionByName(second).where("linked = 1")
+    edges = linked.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     final = components(edges).select(F.col("node").alias("rep"), "root")
     known = join_counted(classes, cut(final, "link-final"), "rep", "left").select("hi", F.col("cls").alias("lo"), "rep", F.coalesce("root", "rep").alias("root"))
     out = rows.join(known, ["hi", "lo"], "left")
