@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, shared_path
+from lodestone.llm.common import cut, shared_path, shuffle_partitions
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
@@ -219,7 +219,7 @@ def read_archives(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BY
                 if rows:
                     yield _batch(rows, kinds, names)
 
-    return ranges.repartition("path", "start").mapInArrow(run, SCHEMA + ", payload binary" * with_payload)
+    return ranges.repartition(shuffle_partitions(spark), "path", "start").mapInArrow(run, SCHEMA + ", payload binary" * with_payload)
 
 
 def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
