@@ -122,11 +122,11 @@ parts as (
 first as (select * from (select *, row_number() over (partition by query_id order by round(score, 12) desc, chunk_id) as r from fused) where r <= 10),
 scaled as (
   select query_id, chunk_id, file, content, score * case when intent = 'Definition' and regexp_matches(file, '\\.(md|txt)$') then 0.5 else 1 end * case when file like 'src1/%' then 1.5 else 1 end as score, file like 'src1/%' as on_branch
-  from first join weights using (query_id) join chunks using (chunk_id)
+  from first join weights using (query_id) left join chunks using (chunk_id)
 )
-select s.query_id, s.chunk_id, file, round(s.score, 9) as score, row_number() over (partition by s.query_id order by round(s.score, 12) desc, s.chunk_id)::int as rank, on_branch,
+select * from (select s.query_id, s.chunk_id, file, round(s.score, 9) as score, row_number() over (partition by s.query_id order by round(s.score, 12) desc, s.chunk_id)::int as rank, on_branch,
   case when v.rank is not null and l.rank is not null then 'hybrid' when v.rank is not null then 'vector' when l.rank is not null then 'bm25' else 'fallback' end as match_reason
-from scaled s left join (select * from vectors where rank <= 40) v using (query_id, chunk_id) left join (select * from lexical where rank <= 40) l using (query_id, chunk_id)""")
+from scaled s left join (select * from vectors where rank <= 40) v using (query_id, chunk_id) left join (select * from lexical where rank <= 40) l using (query_id, chunk_id)) where file is not null""")
 def hybrid_search(spark, sf_dir):
     chunk = document_chunks(spark, sf_dir)
     index = search.Index(chunk, document_vectors(spark, sf_dir))
