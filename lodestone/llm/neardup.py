@@ -14,7 +14,8 @@ over the whole corpus, and differ in how they rank the rest.
    are certain to have no match, and the measured overlaps of both with their group's hub don't rule out: two sets
    share at most the smaller overlap with the hub and the smaller rest outside of it. So no link between components is
    lost, and links inside one can't change it.
-5. Candidates of 3 and 4 must also share a prefix shingle under the other orders; then the sets are compared.
+5. Counting sketches bound what the sets of a candidate can share: bucket by bucket the smaller count. Those that
+   pass must also share a prefix shingle under the other orders; then the sets are compared.
 
 Defined results: letters A to Z are lower-cased, words are parted by ASCII white space; texts of fewer words than
 a shingle has are one shingle; null texts and texts without words have no shingles, link with nothing and are
@@ -45,6 +46,12 @@ COUNTED = 3_000_000
 #: shingles are in it only ranks them, and any order gives the same links.
 FREQUENT = 1_000_000
 _OFTEN = 4
+#: Members from which on a group's pairs are bounded by measured overlaps with its hub.
+CROWDED = 48
+#: Buckets (a power of two) by which it is kept what of a hub's shingles a member lacks.
+BUCKETS = 64
+#: Buckets of a class's counting sketch.
+SKETCH = 512
 
 _rng = np.random.default_rng(5)
 _TABLE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + _rng.integers(0, 2, 256, np.uint64)
@@ -232,8 +239,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, frequent, words: int, similar, orders: int) -> DataFrame:
-    """The (a, b) pairs of classes with their representatives, how much they share, and whether they link."""
-    names = ["a", "b", "rep_a", "rep_b", "shared", "linked"]
+    """The (a, b) pairs of classes with their representatives, how much they share, whether they link, and how many of a's shingles b lacks, by bucket."""
+    names, kinds = ["a", "b", "rep_a", "rep_b", "shared", "linked", "missing"], [pa.int64()] * 6 + [pa.list_(pa.int8())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
@@ -246,27 +253,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequent, words: int, similar,
             for a, b in _parts(new):
                 for r, s in zip(new[a:b], shingles(new[a:b], words), strict=True):
                     known[r] = (s, [np.sort(prefix(s, k, frequent.value, similar)) for k in range(1, orders)])
-            shared, linked = [], []
+            shared, linked, missing = [], [], []
             for x, y in zip(one, other, strict=True):
                 (x, first), (y, second) = known[x], known[y]
-                n = _common(x, y)
-                candidates = all(_common(p, q) for p, q in zip(first, second, strict=True))
+                held = _held(x, y)
+                n = int(held.sum())
+                candidates = all(_held(p, q).any() for p, q in zip(first, second, strict=True))
                 shared.append(n)
                 linked.append(int(candidates and similar[1] * n >= similar[0] * (len(x) + len(y) - n)))
-            yield _longs(*[batch.column(i) for i in range(4)], shared, linked, names=names)
+                missing.append(np.minimum(np.bincount((x[~held] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 127).astype(np.int8))
+            columns = [*batch.columns[:4], shared, linked, missing]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     left = texts.select(F.col("cls").alias("a"), F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cls").alias("b"), F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
     full = pairs.join(right, "b").join(left, "a").select("a", "b", "rep_a", "rep_b", "text_a", "text_b")
-    return full.mapInArrow(run, "a long, b long, rep_a long, rep_b long, shared long, linked long")
+    return full.mapInArrow(run, "a long, b long, rep_a long, rep_b long, shared long, linked long, missing array<tinyint>")
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    """How many of two sorted sets' members are the same."""
+def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which members of the sorted set x are in the sorted set y."""
     if not len(x) or not len(y):
-        return 0
-    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    return int((x[at] == y).sum())
+        return np.zeros(len(x), bool)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
 def _could_link(size_a: str, size_b: str, overlap: str, similar: tuple[int, int]) -> str:
@@ -300,43 +309,50 @@ def link(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int] = SIMI
     alone = F.col("pos") - F.row_number().over(own.orderBy("pos", "token")) + 1
     length = F.expr(f"size - (({n} * size + {d - 1}) div {d}) + 1")
     member = shared.withColumns({"alone": alone, "lonely": ((length - F.count("*").over(own)) * 1000 / length).cast("int")})
-    hub = F.min(F.struct("lonely", "cls", "size", "pos", "alone")).over(Window.partitionBy("token"))
-    member = member.withColumn("hub", hub)
-    member = member.select("token", "cls", "size", "pos", "alone", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("cls", "size", "alone")])
+    group = Window.partitionBy("token")
+    # Both of a pair lose what is alone: alone_a + alone_b <= (size_a + size_b) (1 - t) / (1 + t).
+    member = member.withColumn("spare", F.col("alone") * (n + d) - F.col("size") * (d - n))
+    member = member.withColumns({"hub": F.min(F.struct("lonely", "cls", "size", "alone")).over(group), "members": F.count("*").over(group), "open": (F.col("spare") + F.min("spare").over(group)) <= 0})
+    member = member.select("token", "cls", "size", "pos", "alone", "spare", "members", "open", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("cls", "size", "alone")])
     member = cut(member, "link-members")
 
-    # Members against hubs, by the least bound of the groups where they meet.
+    # Members against hubs, where the least bound of the groups in which they meet allows a link. In larger groups
+    # those that can't link with the hub are measured too, for what it says about their other pairs.
     most = F.least(F.col("size") - F.col("alone"), F.col("hub_size") - F.col("hub_alone"))
-    stars = member.where("cls <> hub_cls").groupBy("cls", "hub_cls", "size", "hub_size").agg(F.min(most).alias("most"))
-    stars = stars.where(_could_link("size", "hub_size", "most", similar)).select(F.col("hub_cls").alias("a"), F.col("cls").alias("b"))
+    stars = member.where("cls <> hub_cls").groupBy("cls", "hub_cls", "size", "hub_size").agg(F.min(most).alias("most"), F.max(F.col("open") & (F.col("members") >= CROWDED)).alias("crowded"))
+    stars = stars.where(F.expr(_could_link("size", "hub_size", "most", similar)) | F.col("crowded")).select(F.col("hub_cls").alias("a"), F.col("cls").alias("b"), "crowded")
     stars = cut(stars, "link-stars")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         wanted = cut(classes.join(wanted, "cls").select(F.col("rep").alias("doc_id"), F.col("cls")), "link-wanted")
-        return cut(_of_class(join_counted(docs, wanted, "doc_id")), "link-texts")
+        return cut(_of_class(join_counted(docs, wanted, "doc_id"), words), "link-texts")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return cut(_verified(pairs, texts_of(pairs), frequent, words, similar, orders), "link-links")
+        texts = texts_of(pairs)
+        likely = cut(_plausible(pairs, texts, similar), "link-likely")
+        return cut(_verified(likely, texts, frequent, words, similar, orders), "link-links")
 
     first = links(stars)
     roots = components(first.where("linked = 1").select("a", "b"))
 
     member = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    # Both of a pair lose what is alone: alone_a + alone_b <= (size_a + size_b) (1 - t) / (1 + t).
-    member = member.withColumn("spare", F.col("alone") * (n + d) - F.col("size") * (d - n))
-    group = Window.partitionBy("token")
-    member = member.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group), "least": F.min("spare").over(group)})
-    member = cut(member.where("low <> high and spare + least <= 0").drop("low", "high", "least", "spare"), "link-open")
-    # What each shares with its group's hub; all of itself if it is the hub.
-    measured = first.groupBy(F.col("a").alias("hub_cls"), F.col("b").alias("cls")).agg(F.max("shared").alias("met"))
-    member = member.join(measured, ["hub_cls", "cls"], "left").withColumn("met", F.when(F.col("cls") == F.col("hub_cls"), F.col("size")).otherwise(F.col("met")))
-    member = member.select("token", "cls", "size", "root", "met", (F.col("size") - F.col("alone")).alias("most"))
+    member = member.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)})
+    member = cut(member.where("open and low <> high").select("token", "cls", "size", "alone", "hub_cls", "hub_size", "root"), "link-open")
+    # What each shares with its group's hub, and lacks of it; all of itself and nothing if it is the hub.
+    measured = first.select(F.col("a").alias("hub_cls"), F.col("b").alias("cls"), F.col("shared").alias("met"), "missing")
+    hub = F.col("cls") == F.col("hub_cls")
+    member = member.join(measured, ["hub_cls", "cls"], "left").withColumns({"met": F.when(hub, F.col("size")).otherwise(F.col("met")), "missing": F.when(hub, F.array_repeat(F.lit(0).cast("tinyint"), BUCKETS)).otherwise(F.col("missing"))})
+    member = member.select("token", "cls", "size", "root", "hub_size", "met", "missing", (F.col("size") - F.col("alone")).alias("most"))
     x, y = member.alias("x"), member.alias("y")
-    through_hub = "least(x.met, y.met) + greatest(0, least(x.most - x.met, y.most - y.met))"
-    fits = _could_link("x.size", "y.size", f"least(x.most, y.most, coalesce({through_hub}, x.size))", similar)
-    rest = x.join(y, F.expr(f"x.token = y.token and x.cls < y.cls and x.root <> y.root and {fits}"))
-    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    # Both have of the hub at most what neither lacks; in a bucket the larger lack counts, as one may hold the other.
+    lacking = "aggregate(zip_with(x.missing, y.missing, (p, q) -> greatest(p, q)), 0, (s, v) -> s + v)"
+    through_hub = f"least(x.met, y.met, x.hub_size - {lacking}) + greatest(0, least(x.most - x.met, y.most - y.met))"
+    cheap = "least(x.most, y.most, coalesce(least(x.met, y.met) + greatest(0, least(x.most - x.met, y.most - y.met)), x.size))"
+    bound = f"least(x.most, y.most, coalesce({through_hub}, x.size))"
+    rest = x.join(y, F.expr(f"x.token = y.token and x.cls < y.cls and x.root <> y.root and {_could_link('x.size', 'y.size', cheap, similar)} and {_could_link('x.size', 'y.size', bound, similar)}"))
+    rest = rest.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.max("x.size").alias("size_a"), F.max("y.size").alias("size_b"), F.min(F.expr(bound)).alias("most"))
+    rest = rest.where(_could_link("size_a", "size_b", "most", similar)).select("a", "b", F.lit(False).alias("crowded"))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = links(cut(rest.join(tried, ["a", "b"], "left_anti"), "link-rest"))
 
@@ -349,18 +365,47 @@ def link(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int] = SIMI
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _of_class(rows: DataFrame) -> DataFrame:
-    """(cls, rep, text) of rows whose text is of the class; another row may have the same id."""
+def _of_class(rows: DataFrame, words: int) -> DataFrame:
+    """(cls, rep, text, sketch) of rows whose text is of the class; another row may have the same id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.array([_key(r)[1] == c for r, c in zip(_raws(batch.column(2)), batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            yield batch.filter(own)
+            raws = _raws(batch.column(2))
+            own = pa.array([_key(r)[1] == c for r, c in zip(raws, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            sketches = [_sketch(x) for a, b in _parts(raws) for x in shingles(raws[a:b], words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketches, pa.binary())], ["cls", "rep", "text", "sketch"]).filter(own)
 
-    kept = rows.select("cls", F.col("doc_id").alias("rep"), "text").mapInArrow(run, "cls long, rep long, text string")
+    kept = rows.select("cls", F.col("doc_id").alias("rep"), "text").mapInArrow(run, "cls long, rep long, text string, sketch binary")
     return kept.dropDuplicates(["cls", "rep"])
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """How many shingles each bucket holds; 255 stands for any number from there on."""
+    return np.minimum(np.bincount((tokens >> np.uint64(8)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def _plausible(pairs: DataFrame, texts: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs whose sketches allow a link, and all crowded ones, as their overlap is asked for."""
+    n, d = similar
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (3, 4))
+            most = np.minimum(one, other).sum(axis=1, dtype=np.int64)
+            both = one.sum(axis=1, dtype=np.int64) + other.sum(axis=1, dtype=np.int64)
+            full = (one == 255).any(axis=1) | (other == 255).any(axis=1)
+            keep = full | (most * (n + d) >= both * n) | np.array(batch.column(2).to_pylist(), bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    # Classes whose 64-bit ids are the same have a row each; a pair passes if any of them does.
+    left = texts.select(F.col("cls").alias("a"), F.col("sketch").alias("one"))
+    right = texts.select(F.col("cls").alias("b"), F.col("sketch").alias("other"))
+    full = pairs.join(right, "b").join(left, "a").select("a", "b", "crowded", "one", "other")
+    return full.mapInArrow(run, "a long, b long").distinct()
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one document of each component: that whose id names it. Rows without an id or without words stay."""
     columns = docs.columns
