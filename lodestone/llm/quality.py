@@ -43,6 +43,12 @@ _SPACES = b" \t\n\r\x0b\x0c"
 _SYMBOLS = bytes(b for b in range(33, 127) if b not in _UPPER + _LOWER + _DIGITS + _STOPS + _MARKS)
 
 
+def _compressed(raw: bytes, piece: int = 1 << 20) -> int:
+    """Length of the whole of `raw` compressed; what comes out is counted piece by piece and not kept."""
+    packer = zlib.compressobj(1)
+    return sum(len(packer.compress(raw[i : i + piece])) for i in range(0, len(raw), piece)) + len(packer.flush())
+
+
 def statistics(text: str | None) -> list[float]:
     """The document statistics named in STATISTICS, over the whole text."""
     text = text or ""
@@ -64,13 +70,12 @@ def statistics(text: str | None) -> list[float]:
     marked = sum(k for c, k in ends.items() if not c.isalnum() and c not in ".,;:")
     symbol = sum(counts[w] for w in distinct if not w[0].isalnum() or not w[-1].isalnum() and w[-1] not in ".,;:!?")
     sentences = ends["."] + ends["!"] + ends["?"]
-    head = raw[: 1 << 20] if len(raw) <= 1 << 20 else b"".join(raw[i : i + 4096] for i in range(0, len(raw), len(raw) // 256))
     return [
         math.log1p(n_chars), math.log1p(len(words)), float(sizes.mean()), float((sizes > 12).mean()), float((sizes <= 3).mean()),
         len(counts) / n ** 0.8, max(counts.values(), default=0) / n, 1 - pairs / max(1, len(words) - 1) if len(words) > 1 else 0.0,
         share(_UPPER), share(_DIGITS), share(_SYMBOLS), share(_MARKS), share(_STOPS), share(_SPACES), (n_bytes - n_chars) / n_bytes if raw else 0.0,
         capital / n, shouted / n, marked / n, symbol / n, math.log1p(n_chars / max(1, len(lines))), 1 - len(set(lines)) / max(1, len(lines)), len(lines) / n,
-        len(words) / (1 + sentences), len(zlib.compress(head, 1)) / n_bytes, math.log1p(int(sizes.max())),
+        len(words) / (1 + sentences), _compressed(raw) / n_bytes, math.log1p(int(sizes.max())),
     ]
 
 

@@ -170,6 +170,16 @@ def test_trees_learn_and_walk_alike():
     assert np.allclose([walk(r) for r in x[1000:1020]], trees.score(x[1000:1020]))
 
 
+def test_compressed_is_of_the_whole_text():
+    rng, at = random.Random(4), quality.STATISTICS.index("compressed")
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    for n in (0, 1000, 600_000):
+        text = " ".join(rng.choice(words) for _ in range(n))
+        raw = text.encode()
+        assert quality.statistics(text)[at] == len(zlib.compress(raw, 1)) / max(1, len(raw))
+    assert len(raw) > 3 << 20 and abs(quality.statistics(text)[at] - quality.statistics(text[: 1 << 20])[at]) < 0.01
+
+
 def test_quality_held_out(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs, labels)
