@@ -4,7 +4,10 @@ Three fixed patterns (assign, access, hex) give the base spans. The method adds
 character class that no pattern names but that look random. A window slides over each such candidate; counts of
 its characters are kept up to date by the one that enters and the one that leaves, and with them the sum that
 Shannon's entropy needs. Where some window's entropy reaches the class's threshold, the stretch from the first to
-the end of the last such window is a span, unless the allow-list knows the candidate or a base span overlaps it.
+the end of the last such window is a span, unless the allow-list knows the candidate. Placeholders and counted-up
+alphabets part a run, so that a key beside one is judged by itself. Stretches of several classes that overlap are one
+span. Of a stretch that base spans overlap, what they leave is the span; words that a sign joins to a base span
+(user_ before a hex run) are left out.
 
 Positions come from the lengths of the stretches between matches, in code points, end exclusive.
 
@@ -25,14 +28,28 @@ KINDS = ("assign", "access", "hex", "entropy")
 MASK = "[secret]"
 
 WINDOW = 20
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Known to be harmless within a run, which they part: placeholders, their words, counted-up alphabets.
+HARMLESS = "(?i:example|sample|placeholder|changeme|x{6}|0123456789|" + "|".join(_LETTERS[i : i + 8] for i in range(19)) + ")"
+
+
+def _runs(of: str, end: str = "") -> str:
+    """Maximal runs of a class, parted by what is harmless."""
+    return f"(?=[{of}]{{20}})(?:(?<![{of}])|(?<={HARMLESS}))(?:(?!{HARMLESS})[{of}]){{20,}}+{end}"
+
+
 #: Character classes: candidate pattern and the least entropy of a window, in bits for each character.
 CLASSES = {
-    "hexadecimal": (r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}", 3.0),
-    "lower": (r"(?<![a-z0-9_-])[a-z0-9_-]{20,}", 3.55),
-    "base64": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", 3.75),
+    "hexadecimal": (_runs("0-9A-Fa-f"), 3.0),
+    "lower": (_runs("a-z0-9_-"), 3.55),
+    "base64": (_runs("A-Za-z0-9+/_-", "={0,2}"), 3.75),
 }
-#: Candidates that are known to be harmless: without digits or without letters, identifiers and paths made of words, counted-up alphabets, placeholders, UUIDs.
-ALLOWED = r"(?i)^[^0-9]*$|^[^a-z]*$|^(?:[a-z]*[-_/+])*[a-z]*[0-9]{0,4}$|0123456789|abcdefgh|example|sample|placeholder|changeme|x{6}|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+# Words in one case or capitalised, as camel case too; letters in any other mixture of cases are left to the entropy.
+_WORD = "(?:[a-z]++|(?:[A-Z](?![a-z]))*+)(?:[A-Z][a-z]{2,}+)*+"
+#: Candidates that are known to be harmless as a whole: without letters, identifiers and paths made of words, UUIDs.
+ALLOWED = rf"(?i)^[^a-z]*$|^(?-i:(?:{_WORD}[-_/+])*+{_WORD})[0-9]{{0,4}}={{0,2}}$|^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$"
+#: What joins words to a key.
+_JOINT = "^[-_/+]|[-_/+]$"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -80,8 +97,34 @@ def _stretch_in_text(least: float, window: int):
     return lambda x: F.struct(x.span.start.alias("at"), hot_stretch(x.candidate, least, window).alias("in"))
 
 
-def _apart_from(others: Column):
-    return lambda span: ~F.exists(others, lambda o: (o.start < span.end) & (span.start < o.end))
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"))
+
+
+def _merged(spans: Column) -> Column:
+    """Spans by start, those that overlap as one."""
+
+    def step(acc: Column, span: Column) -> Column:
+        last = F.element_at(acc, -1)
+        over = (F.size(acc) > 0) & (span.start < F.try_element_at(acc, F.lit(-1)).end)
+        return F.when(over, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_span(last.start, F.greatest(last.end, span.end))))).otherwise(F.concat(acc, F.array(_span(span.start, span.end))))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), step)
+
+
+def _uncovered(spans: Column, known: Column) -> Column:
+    """What the `known` spans, by start, leave of each of the spans."""
+
+    def left(span: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            before = F.when(k.start > acc.pos, F.array(_span(acc.pos, k.start))).otherwise(F.array().cast(_SPANS))
+            inside = (k.start < span.end) & (k.end > acc.pos)
+            return F.struct(F.when(inside, k.end).otherwise(acc.pos).alias("pos"), F.when(inside, F.concat(acc.out, before)).otherwise(acc.out).alias("out"))
+
+        begin = F.struct(span.start.alias("pos"), F.array().cast(_SPANS).alias("out"))
+        return F.aggregate(known, begin, step, lambda acc: F.when(acc.pos < span.end, F.concat(acc.out, F.array(_span(acc.pos, span.end)))).otherwise(acc.out))
+
+    return F.flatten(F.transform(spans, left))
 
 
 def _of_kind(i: int):
@@ -105,12 +148,17 @@ def scan(docs: DataFrame, *, text: str = "text", allowed: str = ALLOWED, window:
         spans = F.transform(F.filter(hot, lambda x: x["in"].start >= 0), lambda x: F.struct((x["at"] + x["in"].start).alias("start"), (x["at"] + x["in"].end).alias("end")))
         placed[f"_s_{c}"] = F.when(F.exists(found, lambda x: ~x.rlike(allowed)), spans).otherwise(F.array().cast(_SPANS))
     out = out.withColumns(placed)
-    known = F.concat("_s_assign", "_s_access", "_s_hex")
-    entropy = F.array().cast(_SPANS)
-    for c in CLASSES:
-        entropy = F.concat(entropy, F.filter(F.col(f"_s_{c}"), _apart_from(F.concat(known, entropy))))
+    known = F.array_sort(F.concat("_s_assign", "_s_access", "_s_hex"))
+    hot = _merged(F.concat(*[f"_s_{c}" for c in CLASSES]))
+    cut = F.exists(hot, lambda h: F.exists(known, lambda k: (k.start < h.end) & (h.start < k.end)))
+
+    def word(span: Column) -> Column:
+        rest = F.substr(whole, span.start + 1, span.end - span.start)
+        return rest.rlike(allowed) & rest.rlike(_JOINT) & F.exists(known, lambda k: (k.start == span.end) | (k.end == span.start))
+
+    entropy = F.when(cut, F.filter(_uncovered(hot, known), lambda span: ~word(span))).otherwise(hot)
     any_hot = F.greatest(*[F.size(f"_s_{c}") for c in CLASSES]) > 0
-    out = out.withColumn("_s_entropy", F.when(any_hot, F.array_sort(entropy)).otherwise(F.array().cast(_SPANS)))
+    out = out.withColumn("_s_entropy", F.when(any_hot, entropy).otherwise(F.array().cast(_SPANS)))
     return out.drop(*[f"_s_m_{k}" for k in [*base, *CLASSES]], *[f"_s_{c}" for c in CLASSES])
 
 

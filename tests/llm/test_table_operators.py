@@ -150,6 +150,19 @@ def test_entropy_finds_keys_and_leaves_prose(spark):
     assert "entropy" in got[0] and "entropy" not in got[1] and got[2] == "hex:50:66" and "entropy" in got[3]
 
 
+def test_entropy_keeps_what_base_spans_and_words_leave(spark):
+    key, other, hexed = "9fQ2xL7vB0mZ4tR8nW1cK6yH", "hQxdGlvxzXSCbFNVgnXJVRsi", "8b0e7153bf7c3706d85c524e44006655"
+    texts = [f"at user_{hexed}_{key} end", f"in samples/{key} too", f"only {other} letters", f"7F3A9C1E5B8D2046F9A1_{key}", f"AKIA12345678901234{other}", f"commit-{hexed}", "xxxxxxxxxxxxxxxxxxxxxxxx abcdefghijklmnopqrstuvwxyz234567"]
+    texts += ["getUserAuthenticationTokenFromHttpRequest", "docs/Internationalization/XMLHttpRequestFactory-notes==", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(t.split(":")[0], texts[r.doc_id][slice(*map(int, t.split(":")[1:]))]) for t in r.spans.split(",") if t] for r in secrets.find_secrets(docs).collect()}
+    assert got[0] == [("hex", hexed), ("entropy", f"_{key}")] and [k for k, _ in got[1]] == ["entropy"] and got[1][0][1].endswith(f"/{key}")
+    assert got[2] == [("entropy", other)] and got[3] == [("entropy", texts[3])] and got[4][-1] == ("entropy", other) and got[5] == [("hex", hexed)]
+    assert got[6] == got[7] == got[8] == got[9] == []
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert all(key not in (t or "") and other not in (t or "") for t in clean.values()) and clean[7] == texts[7]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a token=abcdefghijklmnop b AKIA12345678901234", 9, "x"), (2, None, None, "x"), (3, "clean é", 7, "x")], "doc_id long, text string, n_chars long, spans string")
     got = {r.doc_id: r for r in secrets.redacted(docs).collect()}
