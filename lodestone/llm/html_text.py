@@ -38,6 +38,8 @@ _BLOCK = frozenset(
 #: What a start tag closes if it is open, and the elements that such a search does not leave.
 _CLOSES = {t: ("p",) for t in _BLOCK - {"body", "html", "head", "button", "label", "option"}} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 _SCOPE = frozenset("html body table ul ol dl div article section main td th form button aside nav header footer blockquote".split())
+#: What may stand in a head; any other start tag ends it, and so does text.
+_IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
 _LENGTHS = (1, 2, 4, 8, 15, 30, 60)
 
 
@@ -77,8 +79,14 @@ def blocks(page: str) -> list[tuple[str, Frame, str, float]]:
             parts.clear()
         linked = size = 0
 
+    def leave_head() -> None:
+        while stack[-1].tag == "head":
+            stack.pop()
+
     def shown(text: str) -> None:
         nonlocal linked, size, first, block
+        if stack[-1].tag == "head" and html.unescape(text).strip(" \t\n\r\f"):
+            leave_head()
         top = stack[-1]
         if not text or top.hidden:
             return
@@ -113,6 +121,8 @@ def blocks(page: str) -> list[tuple[str, Frame, str, float]]:
                 if tag not in _BLOCK and stack[i].tag in _SCOPE:
                     break
             continue
+        if tag not in _IN_HEAD:
+            leave_head()
         if tag in _BLOCK:
             flush()
             for closed in _CLOSES.get(tag, ()):

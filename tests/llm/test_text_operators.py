@@ -246,3 +246,19 @@ def test_html_blocks_and_edge_rows(spark):
     got = {r.page_id: r for r in html_text.extract(rows).collect()}
     assert got[1].text == got[2].text == "" and got[3].n_chars == 6 * 30_000 - 1 and html_text.extract(rows).count() == 5
     assert html_text.extract(rows.limit(0)).count() == 0
+
+
+def test_html_with_the_tags_of_head_and_body_left_out(spark, sf_dir):
+    import re
+
+    shown = {"<article><p>a</article>": ["a"], "a<p>b": ["a", "b"], " <!-- c --> <p>a": ["a"], "<head><img><h1>a</h1>b": ["a", "b"], "<noframes><p>n</noframes><p>a<title>u</title>b": ["a", "b"], "&#32;<body><p>a": ["a"]}
+    for rest, texts in shown.items():
+        page = "<html><head><meta charset=x><title>T</title><script>'<p>s'</script><link href=y>\n<style>p {}</style>" + rest
+        assert [b[0] for b in html_text.blocks(page)] == texts
+    assert html_text.blocks("<head><title>t</title><noscript><p>n</noscript></head>") == []
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(100)
+    rows = [(r.page_id, re.sub("</head>|</?body[^>]*>", "", r.html), simple_truth(r.html)) for r in pages.collect()]
+    cut = spark.createDataFrame([(i, "u", h, 1) for i, h, _ in rows], "page_id long, url string, html string, n_chars int")
+    got = {r.page_id: r.text for r in html_text.extract(cut).collect()}
+    assert any(text for _, _, text in rows) and all("<head>" in h and "<body" not in h for _, h, _ in rows)
+    assert got == {i: text for i, _, text in rows}
