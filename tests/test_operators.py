@@ -105,6 +105,11 @@ def test_cap_takes_updates_first(spark):
     assert {r.chunk_id for r in store.within_cap(old, small(spark), 3).collect()} == {"a", "b", "d"}
 
 
+def test_health_looks_at_all_chunks(spark):
+    chunks = spark.range(0, 12_000, 1, 1).select(F.col("id").cast("string").alias("chunk_id"), F.when(F.col("id") == 11_999, "def probe").otherwise("nothing here").alias("content"))
+    assert store.healthy(chunks) and not store.healthy(chunks.where("chunk_id <> '11999'")) and not store.healthy(chunks.limit(0))
+
+
 def test_routing(spark):
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
     contexts = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [0.0, 1.0]), ("r", None), ("s", [-1.0, 0.0])], "index_id string, embedding array<double>")
