@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,22 +25,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share. Only a local session may go without: it gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        made = tempfile.mkdtemp(prefix="lodestone-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        named = f"file://{made}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        named = _local_dir()
     return named.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    made = tempfile.mkdtemp(prefix="lodestone-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"file://{made}"
+
+
+def _in_shared(spark: SparkSession, name: str):
+    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; Spark's file system removes it when the driver ends."""
-    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path, where, fs = _in_shared(spark, name)
+    fs.deleteOnExit(where)
     return path
 
 
@@ -50,12 +62,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_counted(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
-    """Join, with `small` broadcast if it is counted to be within BROADCAST_ROWS, else shuffled.
+@contextmanager
+def scratch():
+    """A `cut` whose tables are deleted at the end of the block; what outlives it has to be written by the plain one."""
+    made = []
+
+    def own_cut(df: DataFrame, name: str) -> DataFrame:
+        path, where, fs = _in_shared(df.sparkSession, name)
+        fs.deleteOnExit(where)
+        made.append((where, fs))
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    try:
+        yield own_cut
+    finally:
+        for where, fs in made:
+            fs.delete(where, True)
+            fs.cancelDeleteOnExit(where)
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join, with `small` broadcast if it is counted to have at most `rows` rows, else shuffled.
 
-    `small` has to be cheap to count: a written table or a small local one.
+    `small` has to be cheap to count: a written table or a small local one, and of narrow rows.
     """
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = small.limit(rows + 1).count() <= rows
     return big.join(F.broadcast(small) if few else small, on, how)
 
 

@@ -5,7 +5,8 @@ taken for a member if it decodes, with its checksum, to something that starts wi
 members follow one another from there on to the range's end and for at least PROOF bytes, or to the end of the
 file. What looks like a member within the stored blocks of another one can't pass that: stored blocks are
 shorter than PROOF. If a candidate decodes but its chain breaks, the file is walked from its first byte instead. A
-task owns the records of the members that start inside its range.
+task owns the records of the members that start inside its range. A file that doesn't start with a member, or in which
+something else follows a member, is an error, wherever the damage lies.
 
 Defined results: a null html is an empty payload; of records with equal payloads of at least `least` bytes the
 one with the largest page_id is the response and the others revisit it; rows that repeat both that page_id and
@@ -136,12 +137,17 @@ class Archive:
         return pos - len(unpack.unused_data) if len(head) == 5 else None
 
     def chain(self, at: int, upto: int) -> tuple[list[int], bool]:
-        """Starts of the members from `at` to `upto`, and whether they follow one another without a break."""
+        """Starts of the members from `at` to `upto`, and whether they follow one another without a break.
+
+        What follows the last one has to be a member too, so a damaged member is found by whoever owns the one before it.
+        """
         starts = []
-        while at < min(upto, self.size):
+        while at < self.size:
             end = self.end_of_member(at)
             if end is None:
                 return starts, False
+            if at >= upto:
+                break
             starts.append(at)
             at = end
         return starts, True
@@ -158,6 +164,8 @@ class Archive:
 
     def members(self, start: int, end: int) -> list[int]:
         """Starts of all members inside the range."""
+        if not start:
+            return self._walk(start, end)
         doubted = False
         for at in self.candidates(start, end):
             starts, whole = self.chain(at, max(end, at + PROOF))
