@@ -28,6 +28,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 MASK = "[secret]"
 
 WINDOW = 20
+#: Characters of a candidate that are handled at once.
+PIECE = 256
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Known to be harmless within a run, which they part: placeholders, their words, counted-up alphabets.
 HARMLESS = "(?i:example|sample|placeholder|changeme|x{6}|0123456789|" + "|".join(_LETTERS[i : i + 8] for i in range(19)) + ")"
@@ -52,6 +54,7 @@ ALLOWED = rf"(?i)^[^a-z]*$|^(?-i:(?:{_WORD}[-_/+])*+{_WORD})[0-9]{{0,4}}={{0,2}}
 _JOINT = "^[-_/+]|[-_/+]$"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 _SPANS = "array<struct<start:int,end:int>>"
+_ROW = 128
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -59,38 +62,65 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def located(text: Column, pattern: str, found: Column) -> Column:
-    """(start, end) of each of the `found` matches of `pattern`."""
-    gaps = F.split(text, pattern, -1)
+    """(start, end) of each of the `found` matches of `pattern`.
 
-    def step(acc: Column, at: Column) -> Column:
-        start = acc.pos + F.length(F.element_at(acc.gaps, at))
-        end = start + F.length(F.element_at(found, at))
-        return F.struct(end.alias("pos"), F.concat(acc.out, F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"), acc.gaps.alias("gaps"))
+    Spans are put into rows of _ROW, and rows into one array, as adding to an array copies it.
+    """
+    none = F.array().cast(_SPANS)
+    # The last gap has no match behind it.
+    steps = F.slice(F.zip_with(F.split(text, pattern, -1), found, lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x).alias("own"))), F.lit(1), F.size(found))
 
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPANS).alias("out"), gaps.alias("gaps"))
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(1), F.size(found)), begin, step, lambda acc: acc.out)).otherwise(F.array().cast(_SPANS))
+    def step(acc: Column, x: Column) -> Column:
+        start, full = acc.pos + x.gap, F.size(acc.row) >= _ROW
+        row = F.concat(F.when(full, none).otherwise(acc.row), F.array(_span(start, start + x.own)))
+        return F.struct((start + x.own).alias("pos"), row.alias("row"), F.when(full, F.concat(acc.rows, F.array(acc.row))).otherwise(acc.rows).alias("rows"))
 
+    begin = F.struct(F.lit(0).alias("pos"), none.alias("row"), F.array().cast(f"array<{_SPANS}>").alias("rows"))
+    return F.when(F.size(found) > 0, F.aggregate(steps, begin, step, lambda acc: F.flatten(F.concat(acc.rows, F.array(acc.row))))).otherwise(none)
 
-def hot_stretch(candidate: Column, least: float, window: int = WINDOW) -> Column:
-    """(start, end) within the candidate of the windows whose entropy reaches `least`; start is -1 if none does."""
+
+def _hot_in_piece(piece: Column, least: float, window: int) -> Column:
+    """(start, end) within a short piece of the windows whose entropy reaches `least`; start is -1 if none does."""
     # Entropy of a window is log2(w) - s / w with s the sum of n log2 n over its counts n.
     def term(n: Column) -> Column:
         return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0)
 
-    w = F.lit(window)
+    def changed(counts: Column, at: Column, n: Column) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), at - 1), F.array(n), F.slice(counts, at + 1, F.lit(len(_ALPHABET))))
 
-    def step(acc: Column, at: Column) -> Column:
-        entering = F.instr(F.lit(_ALPHABET), F.substr(candidate, at, F.lit(1)))
-        leaving = F.when(at > w, F.instr(F.lit(_ALPHABET), F.substr(candidate, at - w, F.lit(1)))).otherwise(0)
-        came, left = F.element_at(acc.counts, entering), F.when(leaving > 0, F.element_at(acc.counts, leaving))
-        same = leaving == entering
-        s = acc.s + F.when(same, 0.0).otherwise(term(came + 1) - term(came) + F.when(leaving > 0, term(left - 1) - term(left)).otherwise(0.0))
-        counts = F.transform(acc.counts, lambda n, i: n + F.when(i + 1 == entering, 1).otherwise(0) - F.when(i + 1 == leaving, 1).otherwise(0))
+    w = F.lit(window)
+    letters = F.transform(F.split(piece, ""), lambda c: F.instr(F.lit(_ALPHABET), c))
+    # What enters the window at each step, and what leaves it (0: nothing does yet).
+    steps = F.zip_with(letters, F.slice(F.concat(F.array_repeat(F.lit(0), window), letters), F.lit(1), F.length(piece)), lambda x, y: F.struct(x.alias("enters"), y.alias("leaves")))
+
+    def step(acc: Column, x: Column) -> Column:
+        came, left = F.element_at(acc.counts, x.enters), F.when(x.leaves > 0, F.element_at(acc.counts, x.leaves))
+        same, at = x.leaves == x.enters, acc["at"] + 1
+        s = acc.s + F.when(same, 0.0).otherwise(term(came + 1) - term(came) + F.when(x.leaves > 0, term(left - 1) - term(left)).otherwise(0.0))
+        more = changed(acc.counts, x.enters, came + 1)
+        counts = F.when(same, acc.counts).when(x.leaves > 0, changed(more, x.leaves, left - 1)).otherwise(more)
         hot = (at >= w) & (F.log2(w.cast("double")) - s / w >= least - 1e-9)
-        return F.struct(counts.alias("counts"), s.alias("s"), F.when(hot & (acc.start < 0), at - w).otherwise(acc.start).alias("start"), F.when(hot, at).otherwise(acc.end).alias("end"))
+        return F.struct(at.alias("at"), counts.alias("counts"), s.alias("s"), F.when(hot & (acc.start < 0), at - w).otherwise(acc.start).alias("start"), F.when(hot, at).otherwise(acc.end).alias("end"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"), F.lit(0.0).alias("s"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+    return F.aggregate(steps, begin, step, lambda acc: F.struct(acc.start.alias("start"), acc.end.alias("end")))
+
+
+def hot_stretch(candidate: Column, least: float, window: int = WINDOW) -> Column:
+    """(start, end) within the candidate of the windows whose entropy reaches `least`; start is -1 if none does.
+
+    Candidates of any length are taken in pieces that overlap by a window less one, so the work grows with the length.
+    """
+    pieces = F.regexp_extract_all(candidate, F.lit(rf"(?s)(?=(.{{1,{PIECE + window - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+
+    def place(piece: Column, i: Column) -> Column:
+        return F.struct((i * PIECE).alias("at"), _hot_in_piece(piece, least, window).alias("in"))
+
+    def join(acc: Column, x: Column) -> Column:
+        hot = x["in"].start >= 0
+        return F.struct(F.when(hot & (acc.start < 0), x["at"] + x["in"].start).otherwise(acc.start).alias("start"), F.when(hot, x["at"] + x["in"].end).otherwise(acc.end).alias("end"))
 
-    begin = F.struct(F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"), F.lit(0.0).alias("s"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), begin, step, lambda acc: F.struct(acc.start.alias("start"), acc.end.alias("end")))
+    return F.aggregate(F.transform(pieces, place), F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end")), join)
 
 
 def _stretch_in_text(least: float, window: int):
