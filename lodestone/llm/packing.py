@@ -23,15 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import BROADCAST_ROWS, cut, join_counted
 from lodestone.llm.tokens import Memo, load
 
 CAPACITY = 2048
 #: Buckets in which the pieces of one length are ranked.
-BUCKETS = 256
-
-#: Rows of counts that may be broadcast.
-_FEW = 500_000
+BUCKETS = 64
 
 _GAP = re.compile(r"[ \t\n\r\f\v]+")
 #: Python takes these for white space, the tokenizer doesn't.
@@ -186,7 +183,7 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     found = slots(plan({r.length: r.n for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity))
     ranks = {length: np.array([s[0] for s in own]) for length, own in found.items()}
     places = {length: np.array([s[1:] for s in own]) for length, own in found.items()}
-    ranked = bucketed.join(F.broadcast(offsets.select("length", "bucket", "before")), ["length", "bucket"]) if offsets.limit(_FEW + 1).count() <= _FEW else bucketed.join(offsets.select("length", "bucket", "before"), ["length", "bucket"])
+    ranked = join_counted(bucketed, offsets.select("length", "bucket", "before"), ["length", "bucket"], rows=max(BROADCAST_ROWS, CAPACITY * BUCKETS))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = ranked.withColumn("rank", F.col("before") + F.row_number().over(order) - 1).select(*names, "length", "rank")
 

@@ -7,8 +7,8 @@ it, merges never leave a piece, and no special token holds a space, so both chun
 that both do is checked too. Where an overlap holds no such place, it is doubled until it does or until the
 chunk reaches the document's end.
 
-Within a chunk, the same places part the text into short strings of which most recur. Each distinct one is
-encoded by the library once for each worker and remembered, up to a fixed number.
+In shorter texts the same places part the text into short strings of which most recur. Each distinct one is
+encoded by the library once for each worker and remembered, up to a fixed number of bytes.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; every row is counted by itself, repeated or
 not; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +27,10 @@ from pyspark.sql import DataFrame
 #: Texts of more characters are encoded in overlapping chunks of so many.
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
-#: Strings that a worker remembers at once; then it starts anew.
-REMEMBERED = 400_000
+#: Bytes that a worker spends on remembered strings, and characters of the longest that it remembers.
+REMEMBERED_BYTES = 160 << 20
+REMEMBERED_CHARS = 64
+_SLOT = 110
 
 _STABLE = re.compile(r"(?<=\S)(?= \S)")
 _LOOSE = re.compile(r"\s\s")
@@ -62,32 +65,38 @@ def stable_parts(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
-class Memo(dict):
-    """Values of strings, in two generations: the older half goes as a whole once the younger is full."""
+class Memo:
+    """Values of short strings, up to a number of bytes; then it starts anew. Longer strings are never kept."""
 
-    def __init__(self, value_many, most: int = REMEMBERED):
-        self.value_many, self.most, self.older = value_many, most, {}
+    def __init__(self, value_many, most: int = REMEMBERED_BYTES, longest: int = REMEMBERED_CHARS):
+        self.value_many, self.most, self.longest = value_many, most, longest
+        self.known: dict = {}
+        self.held = 0
 
     def all(self, keys: list[str]) -> list:
-        try:
-            return [self[k] for k in keys]
-        except KeyError:
-            self._learn(keys)
-        return [self[k] for k in keys]
-
-    def _learn(self, keys: list[str]) -> None:
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        new = {k for k in keys if k not in self}
-        for k in [k for k in new if k in self.older]:
-            self[k] = self.older[k]
-            new.discard(k)
+        values = list(map(self.known.get, keys))
+        if None in values:
+            missing = [i for i, v in enumerate(values) if v is None]
+            fresh = self._learn({keys[i] for i in missing})
+            for i in missing:
+                values[i] = fresh[keys[i]]
+        return values
+
+    def _learn(self, new: set[str]) -> dict:
         # A word of letters with punctuation behind it is two pieces to either pre-tokenizer.
         joint = {k: m.groups() for k in new if (m := _WORD_MARKS.fullmatch(k))}
-        single = list({x for pair in joint.values() for x in pair if x not in self} | (new - joint.keys()))
-        self.update(zip(single, self.value_many(single), strict=True))
-        self.update({k: self[x] + self[y] for k, (x, y) in joint.items()})
+        single = {x for pair in joint.values() for x in pair} | (new - joint.keys())
+        fresh = {x: self.known[x] for x in single if x in self.known}
+        unknown = [x for x in single if x not in fresh]
+        fresh.update(zip(unknown, self.value_many(unknown), strict=True))
+        fresh.update({k: fresh[x] + fresh[y] for k, (x, y) in joint.items()})
+        if self.held > self.most:
+            self.known, self.held = {}, 0
+        for k, v in fresh.items():
+            if len(k) <= self.longest and k not in self.known:
+                self.known[k] = v
+                self.held += getsizeof(k) + getsizeof(v) + _SLOT
+        return fresh
 
 
 class Counter:
