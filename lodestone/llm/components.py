@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges of long ids to (node, root): the least node reachable, for every node that is not its own root.
 
-    Each round is written to the shared folder, so lineage stays short; rounds grow with the logarithm of the
-    longest chain. Only counts and checksums come to the driver.
+    Each round is written to the shared folder, so lineage stays short; the rounds' tables are deleted at the end.
+    Rounds grow with the logarithm of the longest chain. Only counts and checksums come to the driver.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, state = cut(now, "components"), None
-    while True:
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if found == state or found[0] == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = found
-        now = cut(_small_star(cut(_large_star(now), "components")), "components")
+    with scratch() as own:
+        now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        now, state = own(now, "components"), None
+        while True:
+            found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if found == state or found[0] == 0:
+                return cut(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "components")
+            state = found
+            now = own(_small_star(own(_large_star(now), "components")), "components")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

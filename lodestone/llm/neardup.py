@@ -6,21 +6,25 @@ each of several orders before they are verified. All orders put shingles that ma
 over the whole corpus, and differ in how they rank the rest.
 
 1. Texts whose words are the same form a class; one representative stands for it.
-2. Prefix postings of the first order are dealt by shingle; those that only one class holds go at once.
-3. In each shingle's group the members are held against one hub only, the member with the least share of
-   prefix shingles of its own, which is what the others were copied from or close to it. What links is joined into
-   preliminary components, so that a large group of near copies costs as many pairs as it has members.
-4. Between members of different components every pair is a candidate that lengths, positions, shingles which
-   are certain to have no match, and the measured overlaps of both with their group's hub don't rule out: two sets
-   share at most the smaller overlap with the hub and the smaller rest outside of it. So no link between components is
-   lost, and links inside one can't change it.
-5. Counting sketches bound what the sets of a candidate can share: bucket by bucket the smaller count. Those that
-   pass must also share a prefix shingle under the other orders; then the sets are compared.
+2. A class posts its prefix under the first order and all its shingles of low rank. Postings are dealt by shingle
+   (by class as well for shingles that very many documents hold); those that only one class holds go at once. Up to
+   the rank that the postings of both of two classes reach, a shingle that no other class posts is one that the other
+   doesn't have. With too many of these between them they can't link.
+3. In each shingle's group the members are held against one hub only, the member with the least share of such
+   shingles, which is what the others were copied from or close to it. What links is joined into preliminary
+   components, so that a large group of near copies costs as many pairs as it has members.
+4. Between members of different components every pair is a candidate that lengths, shingles without a match,
+   and the measured overlaps of both with their group's hub don't rule out: two sets share at most the smaller overlap
+   with the hub and the smaller rest outside of it. So no link between components is lost, and links inside one
+   can't change it.
+5. Counting sketches bound what the sets of a candidate can share: bucket by bucket the smaller count. Texts are
+   fetched for the pairs that pass; these must also share a prefix shingle under the other orders; then the sets
+   are compared.
 
 Defined results: letters A to Z are lower-cased, words are parted by ASCII white space; texts of fewer words than
 a shingle has are one shingle; null texts and texts without words have no shingles, link with nothing and are
-components of their own; rows that repeat are copies; rows without an id link with nothing and have no component;
-an empty table gives an empty result; other columns are ignored.
+components of their own; rows that repeat are copies; rows that share an id are one node, whatever their texts; rows
+without an id link with nothing and have no component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, join_counted
+from lodestone.llm.common import SPACE, WORD, cut, join_counted, scratch
 from lodestone.llm.components import components
 
 WORDS = 5
@@ -46,6 +50,15 @@ COUNTED = 3_000_000
 #: shingles are in it only ranks them, and any order gives the same links.
 FREQUENT = 1_000_000
 _OFTEN = 4
+#: Shares of the range of ranks. Infrequent shingles below the first are all posted; up to which of the others
+#: its prefix reaches is kept for each class.
+REACHES = (1 / 4, 3 / 8, 1 / 2, 3 / 4, 1)
+#: Postings of shingles that were counted at least 2 to this power times are dealt by class as well.
+HOT = 13
+#: Bits that hold a share of a class's size, rounded down.
+_BITS, _FULL = 12, 4095
+#: Rows of two numbers that may be broadcast: some 100 MB in a task's memory.
+_IDS = 1_000_000
 #: Members from which on a group's pairs are bounded by measured overlaps with its hub.
 CROWDED = 48
 #: Buckets (a power of two) by which it is kept what of a hub's shingles a member lacks.
@@ -53,6 +66,7 @@ BUCKETS = 64
 #: Buckets of a class's counting sketch.
 SKETCH = 512
 
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _rng = np.random.default_rng(5)
 _TABLE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + _rng.integers(0, 2, 256, np.uint64)
 _RADIX = 0x9E3779B97F4A7C15
@@ -185,39 +199,53 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, frequent, words: int, similar) -> DataFrame:
-    """(token, cls, size, pos) of the first order's prefixes; copies within a batch once."""
-    names = ["token", "cls", "size", "pos"]
+    """(token, cls, facts) of prefixes and low shingles under the first order; copies within a batch once.
+
+    `facts` is the class's size, whether the shingle is hot, and the number of reaches that lie below its rank. One
+    more row for each class, with itself as token and facts below 0, holds how many reaches its postings cover, and
+    which share of its shingles lies below each.
+    """
+    names, cuts = ["token", "cls", "facts"], np.array([int(r * 2**63) for r in REACHES], np.uint64)
+    shifts = np.arange(len(REACHES)) * _BITS + 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set = set()
         for batch in batches:
             raws = _raws(batch.column(0))
             for a, b in _parts(raws):
-                cls, firsts = [], []
+                rows: list[tuple] = []
                 keys = [_key(r)[1] for r in raws[a:b]]
                 for c, s in zip(keys, shingles(raws[a:b], words), strict=True):
-                    if c not in known and len(s):
-                        known.add(c)
-                        cls.append((c, len(s)))
-                        firsts.append(prefix(s, 0, frequent.value, similar))
+                    if c in known or not len(s):
+                        continue
+                    known.add(c)
+                    own, p = ranks(s, 0, frequent.value), prefix_length(len(s), similar)
+                    last = np.partition(own, p - 1)[p - 1]
+                    chosen = (own <= last) | (own < cuts[0])
+                    tokens, own = s[chosen], own[chosen]
+                    level = np.searchsorted(cuts, own, side="right")
+                    hot = own >= np.uint64(HOT << 56 | 1 << 63)
+                    below = np.bincount(level, minlength=len(cuts) + 1)[: len(cuts)].cumsum() * _FULL // len(s)
+                    covered = max(1, int(np.searchsorted(cuts, last, side="right")))
+                    about = ~(np.bitwise_or.reduce(below << shifts) | covered)
+                    rows.append((np.append(tokens.view(np.int64), c), np.full(len(own) + 1, c), np.append(len(s) << 8 | hot << 4 | level, about)))
                 if len(known) > 100_000:
                     known.clear()
-                if firsts:
-                    n = [len(p) for p in firsts]
-                    yield _longs(np.concatenate(firsts), np.repeat([c for c, _ in cls], n), np.repeat([s for _, s in cls], n), np.concatenate([np.arange(k) for k in n]), names=names)
+                if rows:
+                    yield _longs(*map(np.concatenate, zip(*rows, strict=True)), names=names)
 
-    return docs.select("text").mapInArrow(run, "token long, cls long, size long, pos long")
+    return docs.select("text").mapInArrow(run, "token long, cls long, facts long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token and class: one of each class for the tokens that several classes hold."""
-    names = ["token", "cls", "size", "pos"]
+    """Of postings sorted by token and class: one of each class for the tokens that several classes hold or that are hot, and the classes' own rows."""
+    names = ["token", "cls", "facts"]
     held = None  # the last row so far, and whether it was handed on
     for batch in batches:
         columns = [c.to_numpy() for c in batch.columns]
         if held:
             columns = [np.concatenate([[h], c]) for h, c in zip(held[0], columns, strict=True)]
-        token, cls = columns[:2]
+        token, cls, facts = columns
         if not len(token):
             continue
         same = token[1:] == token[:-1]
@@ -225,9 +253,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copy[1:] = same & (cls[1:] == cls[:-1])
         fresh = np.flatnonzero(~copy)
         first = token[fresh]
-        grouped = np.zeros(len(fresh), bool)
-        grouped[1:] = first[1:] == first[:-1]
-        grouped[:-1] |= grouped[1:]
+        grouped = (facts[fresh] < 0) | ((facts[fresh] & 16) > 0)
+        grouped[1:] |= first[1:] == first[:-1]
+        grouped[:-1] |= first[1:] == first[:-1]
         out = fresh[grouped]
         if held and held[1] and len(out) and out[0] == 0:
             out = out[1:]
@@ -284,10 +312,47 @@ def _could_link(size_a: str, size_b: str, overlap: str, similar: tuple[int, int]
     return f"least({size_a}, {size_b}) * {d} >= greatest({size_a}, {size_b}) * {n} and ({overlap}) * {n + d} >= ({size_a} + {size_b}) * {n}"
 
 
+def _share(packed: str, k: str | int) -> str:
+    """SQL: the number at reach k of a packed long, whose lowest three bits say how many reaches it covers."""
+    return f"(shiftright({packed}, {k} * {_BITS} + 3) & {_FULL})"
+
+
+def _met(shared: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Postings (token, cls, size, lone, low) of shared tokens whose class can be in a link.
+
+    `lone` packs, for each reach that the class covers, which share of its shingles lies below and has no match, as
+    no other class posts them.
+    """
+    n, d = similar
+    own = Window.partitionBy("cls")
+    seen = shared.withColumn("about", F.max(F.when(F.col("facts") < 0, F.bitwise_not("facts"))).over(own)).withColumns({
+        f"met_{k}": F.count_if((F.col("facts") >= 0) & (F.col("facts").bitwiseAND(15) <= k)).over(own) for k in range(len(REACHES))
+    })
+    member = seen.where("facts >= 0").withColumn("size", F.expr("shiftright(facts, 8)"))
+    lone = [f"shiftleft(greatest(0L, {_share('about', k)} * size div {_FULL} - met_{k}) * {_FULL} div size, {k * _BITS + 3})" for k in range(len(REACHES))]
+    member = member.withColumn("lone", F.expr(" | ".join(["(about & 7)", *lone])))
+    return member.where(f"{_rest('', '0')} * {d} >= size * {n}").select("token", "cls", "size", "lone", F.expr("facts & 15 = 0 as low"))
+
+
+def _rest(a: str, k: str) -> str:
+    """SQL: how many of a class's shingles may have a match."""
+    return f"({a}size - {_share(f'{a}lone', k)} * {a}size div {_FULL})"
+
+
+def _most(a: str, b: str) -> str:
+    """SQL: what two classes share at most, by what is lone up to where both reach."""
+    k = f"cast(least({a}lone & 7, {b}lone & 7) - 1 as int)"
+    return f"least({_rest(a, k)}, {_rest(b, k)})"
+
+
 def link(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int] = SIMILAR, orders: int = ORDERS) -> DataFrame:
     """doc_id, n_shingles, class_id (the least doc_id with the same words), component_id of every row of `docs` (doc_id, text)."""
+    with scratch() as own_cut:
+        return cut(_linked(docs.select("doc_id", "text"), own_cut, words, similar, orders), "link")
+
+
+def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders: int) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     survey = cut(_survey(docs, words), "link-survey")
     met = survey.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "hi").limit(FREQUENT)
     met = met.select("hi", F.least(F.floor(F.log2("n")), F.lit(60)).cast("long").alias("level")).toArrow()
@@ -299,83 +364,92 @@ def link(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int] = SIMI
     classes = rows.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
     classes = cut(classes.select("hi", F.col("lo").alias("cls"), "rep"), "link-classes")
 
-    dealt = _postings(docs.where("doc_id is not null"), frequent, words, similar).repartition("token").sortWithinPartitions("token", "cls")
-    shared = cut(dealt.mapInArrow(_shared, "token long, cls long, size long, pos long"), "link-shared")
-
-    # What comes before a shingle in a prefix and is in no shared group is sure to have no match with the group's
-    # members: whoever has it, and this shingle in its prefix, would have it in its prefix too.
+    # A hot token's classes are dealt to many tasks; nothing below needs a token's rows together.
+    hot = (F.col("facts") >= 0) & (F.col("facts").bitwiseAND(16) > 0)
+    deal = F.when(hot, F.xxhash64("token", F.pmod("cls", F.lit(1024)))).otherwise(F.col("token"))
+    dealt = _postings(docs.where("doc_id is not null"), frequent, words, similar).repartition(deal).sortWithinPartitions("token", "cls")
+    shared = cut(dealt.mapInArrow(_shared, "token long, cls long, facts long"), "link-shared")
     n, d = similar
-    own = Window.partitionBy("cls")
-    alone = F.col("pos") - F.row_number().over(own.orderBy("pos", "token")) + 1
-    length = F.expr(f"size - (({n} * size + {d - 1}) div {d}) + 1")
-    member = shared.withColumns({"alone": alone, "lonely": ((length - F.count("*").over(own)) * 1000 / length).cast("int")})
-    group = Window.partitionBy("token")
-    # Both of a pair lose what is alone: alone_a + alone_b <= (size_a + size_b) (1 - t) / (1 + t).
-    member = member.withColumn("spare", F.col("alone") * (n + d) - F.col("size") * (d - n))
-    member = member.withColumns({"hub": F.min(F.struct("lonely", "cls", "size", "alone")).over(group), "members": F.count("*").over(group), "open": (F.col("spare") + F.min("spare").over(group)) <= 0})
-    member = member.select("token", "cls", "size", "pos", "alone", "spare", "members", "open", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("cls", "size", "alone")])
-    member = cut(member, "link-members")
-
-    # Members against hubs, where the least bound of the groups in which they meet allows a link. In larger groups
-    # those that can't link with the hub are measured too, for what it says about their other pairs.
-    most = F.least(F.col("size") - F.col("alone"), F.col("hub_size") - F.col("hub_alone"))
-    stars = member.where("cls <> hub_cls").groupBy("cls", "hub_cls", "size", "hub_size").agg(F.min(most).alias("most"), F.max(F.col("open") & (F.col("members") >= CROWDED)).alias("crowded"))
-    stars = stars.where(F.expr(_could_link("size", "hub_size", "most", similar)) | F.col("crowded")).select(F.col("hub_cls").alias("a"), F.col("cls").alias("b"), "crowded")
+    member = cut(_met(shared, similar), "link-met")
+
+    # Members against hubs. In larger groups those that can't link with the hub are measured too, for what it says
+    # about their other pairs.
+    group = member.groupBy("token").agg(F.min(F.struct(F.expr(_share("lone", 0)).alias("part"), "cls", "size", "lone")).alias("hub"), F.count("*").alias("members"))
+    group = group.where("members > 1").select("token", "members", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("cls", "size", "lone")])
+    member = cut(member.join(group, "token"), "link-members")
+    stars = member.where("cls <> hub_cls").groupBy("cls", "hub_cls").agg(*[F.any_value(c).alias(c) for c in ("size", "lone", "hub_size", "hub_lone")], F.max(F.col("members") >= CROWDED).alias("crowded"))
+    stars = stars.where(F.expr(_could_link("size", "hub_size", _most("", "hub_"), similar)) | F.col("crowded")).select(F.col("hub_cls").alias("a"), F.col("cls").alias("b"), "crowded")
     stars = cut(stars, "link-stars")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
+    def of_classes(pairs: DataFrame, with_text: bool) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         wanted = cut(classes.join(wanted, "cls").select(F.col("rep").alias("doc_id"), F.col("cls")), "link-wanted")
-        return cut(_of_class(join_counted(docs, wanted, "doc_id"), words), "link-texts")
+        return cut(_of_class(join_counted(docs, wanted, "doc_id", rows=_IDS), words, with_text), "link-texts" if with_text else "link-sketches")
 
     def links(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(pairs)
-        likely = cut(_plausible(pairs, texts, similar), "link-likely")
-        return cut(_verified(likely, texts, frequent, words, similar, orders), "link-links")
+        likely = cut(_plausible(pairs, of_classes(pairs, False), similar), "link-likely")
+        return cut(_verified(likely, of_classes(likely, True), frequent, words, similar, orders), "link-links")
 
     first = links(stars)
     roots = components(first.where("linked = 1").select("a", "b"))
 
+    # The smaller of two that link lacks at most this many of the other's shingles, lone ones included, so among any
+    # one more of its shingles is one of the other's. The other posts it too if it is low; those of the smallest
+    # groups are taken. Classes with too few low ones look for partners by all they post.
+    lacks = F.expr(f"floor(size * {d - n} / {n + d}) + 1 - {_share('lone', 0)} * size div {_FULL}")
+    own = Window.partitionBy("cls", "low")
+    member = member.withColumn("asks", F.when(F.col("low"), F.row_number().over(own.orderBy("members", "token")) <= lacks).otherwise(False))
+    member = member.withColumn("asks", F.col("asks") | (F.count_if("low").over(Window.partitionBy("cls")) < lacks))
     member = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    member = member.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)})
-    member = cut(member.where("open and low <> high").select("token", "cls", "size", "alone", "hub_cls", "hub_size", "root"), "link-open")
+    parted = member.groupBy("token").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root")).where("low_root <> high_root")
+    member = cut(member.join(parted.select("token"), "token").select("token", "cls", "size", "lone", "hub_cls", "hub_size", "root", "asks"), "link-open")
     # What each shares with its group's hub, and lacks of it; all of itself and nothing if it is the hub.
     measured = first.select(F.col("a").alias("hub_cls"), F.col("b").alias("cls"), F.col("shared").alias("met"), "missing")
     hub = F.col("cls") == F.col("hub_cls")
     member = member.join(measured, ["hub_cls", "cls"], "left").withColumns({"met": F.when(hub, F.col("size")).otherwise(F.col("met")), "missing": F.when(hub, F.array_repeat(F.lit(0).cast("tinyint"), BUCKETS)).otherwise(F.col("missing"))})
-    member = member.select("token", "cls", "size", "root", "hub_size", "met", "missing", (F.col("size") - F.col("alone")).alias("most"))
-    x, y = member.alias("x"), member.alias("y")
+    member = member.select("token", "cls", "size", "root", "hub_size", "met", "missing", "lone", "asks")
+    x, y = member.where("asks").alias("x"), member.alias("y")
     # Both have of the hub at most what neither lacks; in a bucket the larger lack counts, as one may hold the other.
     lacking = "aggregate(zip_with(x.missing, y.missing, (p, q) -> greatest(p, q)), 0, (s, v) -> s + v)"
-    through_hub = f"least(x.met, y.met, x.hub_size - {lacking}) + greatest(0, least(x.most - x.met, y.most - y.met))"
-    cheap = "least(x.most, y.most, coalesce(least(x.met, y.met) + greatest(0, least(x.most - x.met, y.most - y.met)), x.size))"
-    bound = f"least(x.most, y.most, coalesce({through_hub}, x.size))"
-    rest = x.join(y, F.expr(f"x.token = y.token and x.cls < y.cls and x.root <> y.root and {_could_link('x.size', 'y.size', cheap, similar)} and {_could_link('x.size', 'y.size', bound, similar)}"))
-    rest = rest.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.max("x.size").alias("size_a"), F.max("y.size").alias("size_b"), F.min(F.expr(bound)).alias("most"))
-    rest = rest.where(_could_link("size_a", "size_b", "most", similar)).select("a", "b", F.lit(False).alias("crowded"))
+
+    def through_hub(of_hub: str) -> str:
+        return f"coalesce({of_hub} + greatest(0, least(x.size - x.met, y.size - y.met)), x.size)"
+
+    bounds = [_most("x.", "y."), through_hub("least(x.met, y.met)"), through_hub(f"least(x.met, y.met, x.hub_size - {lacking})")]
+    bounded = " and ".join(_could_link("x.size", "y.size", b, similar) for b in bounds)
+    rest = x.join(y, F.expr(f"x.token = y.token and (x.size, x.cls) < (y.size, y.cls) and x.root <> y.root and {bounded}"))
+    rest = rest.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.lit(False).alias("crowded")).distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = links(cut(rest.join(tried, ["a", "b"], "left_anti"), "link-rest"))
 
     linked = first.unionByName(second).where("linked = 1")
     edges = linked.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    # Rows that share an id are one node: their classes' representatives are joined.
+    twice = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("lo").alias("low"), F.max("lo").alias("high"), F.collect_set("lo").alias("los")).where("low <> high")
+    twice = twice.select("doc_id", F.explode("los").alias("cls")).join(classes, "cls")
+    edges = edges.unionByName(twice.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     final = components(edges).select(F.col("node").alias("rep"), "root")
-    known = join_counted(classes, cut(final, "link-final"), "rep", "left").select("hi", F.col("cls").alias("lo"), "rep", F.coalesce("root", "rep").alias("root"))
+    known = join_counted(classes, final, "rep", "left").select("hi", F.col("cls").alias("lo"), "rep", F.coalesce("root", "rep").alias("root"))
     out = rows.join(known, ["hi", "lo"], "left")
     own = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _of_class(rows: DataFrame, words: int) -> DataFrame:
-    """(cls, rep, text, sketch) of rows whose text is of the class; another row may have the same id."""
+def _of_class(rows: DataFrame, words: int, with_text: bool) -> DataFrame:
+    """(cls, rep, text or sketch) of rows whose text is of the class; another row may have the same id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = _raws(batch.column(2))
             own = pa.array([_key(r)[1] == c for r, c in zip(raws, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            sketches = [_sketch(x) for a, b in _parts(raws) for x in shingles(raws[a:b], words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketches, pa.binary())], ["cls", "rep", "text", "sketch"]).filter(own)
-
-    kept = rows.select("cls", F.col("doc_id").alias("rep"), "text").mapInArrow(run, "cls long, rep long, text string, sketch binary")
+            if not with_text:
+                raws = [r for r, o in zip(raws, own.to_pylist(), strict=True) if o]
+                sketches = pa.array([_sketch(x) for a, b in _parts(raws) for x in shingles(raws[a:b], words)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.filter(own) for c in batch.columns[:2]), sketches], ["cls", "rep", "sketch"])
+            else:
+                yield batch.filter(own)
+
+    kept = rows.select("cls", F.col("doc_id").alias("rep"), "text").mapInArrow(run, "cls long, rep long, " + ("text string" if with_text else "sketch binary"))
     return kept.dropDuplicates(["cls", "rep"])
 
 
@@ -407,12 +481,17 @@ def _plausible(pairs: DataFrame, texts: DataFrame, similar: tuple[int, int]) ->
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each component: that whose id names it. Rows without an id or without words stay."""
+    """`docs` with one document of each component: that whose id names it. Rows without an id or without words stay.
+
+    Where several rows have that id, one stays for each of their different texts (copies in other spacing or case are no
+    different ones).
+    """
     columns = docs.columns
     found = link(docs, **options)
     kept = found.where("component_id = doc_id and n_shingles > 0").select(F.col("doc_id").alias("_l_id")).distinct()
-    plain = docs.withColumn("_l_words", F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)) & F.col("doc_id").isNotNull())
-    unique = Window.partitionBy("doc_id").orderBy("text")
+    plain = docs.withColumn("_l_words", F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False)) & F.col("doc_id").isNotNull())
+    words = F.translate(F.regexp_replace(F.btrim("text", F.lit("\x20\x09\x0a\x0b\x0c\x0d")), SPACE, " "), _CAPITALS, _CAPITALS.lower())
+    unique = Window.partitionBy("doc_id", "_l_same").orderBy("text")
     chosen = plain.where("_l_words").join(kept, F.col("doc_id") == F.col("_l_id"), "left_semi")
-    chosen = chosen.withColumn("_l_n", F.row_number().over(unique)).where("_l_n = 1")
+    chosen = chosen.withColumn("_l_same", F.md5(words)).withColumn("_l_n", F.row_number().over(unique)).where("_l_n = 1")
     return chosen.select(*columns).unionByName(plain.where("not _l_words").select(*columns))

@@ -70,6 +70,22 @@ def test_warc_ranges_own_each_record_once(spark, tmp_path):
         assert sorted(r.offset for r in got) == starts and sorted(r.page_id for r in got) == list(range(300))
 
 
+def test_damage_is_never_passed_over(spark, tmp_path):
+    raws = [warc.member(i, "u", bytes(random.Random(i).randrange(256) for _ in range(3000)), "0" * 40, None, False) for i in range(100)]
+    starts = list(itertools.accumulate(map(len, raws), initial=0))
+    for hurt in (0, 1, 37, 98, 99):
+        data = bytearray(b"".join(raws))
+        data[starts[hurt] + 40] ^= 255
+        (tmp_path / "a.warc.gz").write_bytes(data)
+        archive = warc.Archive(f"file://{tmp_path}/a.warc.gz")
+        for split in (1000, 20_000, 1 << 20):
+            with pytest.raises(ValueError, match="damaged"):
+                [archive.members(at, min(at + split, archive.size)) for at in range(0, archive.size, split)]
+    (tmp_path / "a.warc.gz").write_bytes(b"no archive")
+    with pytest.raises(ValueError, match="damaged"):
+        warc.Archive(f"file://{tmp_path}/a.warc.gz").members(0, 10)
+
+
 # Mixing
 
 
@@ -99,6 +115,52 @@ def test_mix_reaches_its_targets_and_repeats(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_equals_plain_pareto_ranking(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(["w"] * rng.choice((0, 1, 7, 60, 400))), rng.choice(("a", "b", "b", "c", "d", None))) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn = {r.doc_id: r.u for r in docs.select("doc_id", mixing.uniform("doc_id", F.xxhash64("text"), seed=20).alias("u")).collect()}
+    sizes = {i: len(t.split()) for i, t, _ in rows}
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    members = {s: [i for i, _, x in rows if x == s] for s in names}
+    targets = mixing.fill_targets([sum(sizes[i] for i in members[s]) for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5, 2)
+    got = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    for s, target in zip(names, targets, strict=True):
+        of_class = collections.Counter()
+        for i in members[s]:
+            of_class[sizes[i].bit_length() - 1 if sizes[i] else 0] += sizes[i]
+        copies = mixing.expected_copies(of_class, target, 2, 0.25)
+        expected = {i: copies[sizes[i].bit_length() - 1] for i in members[s] if sizes[i]}
+        whole = {i: min(2, int(e + 1e-12)) for i, e in expected.items()}
+        left = target - sum(whole[i] * sizes[i] for i in expected)
+        pi = {i: expected[i] - whole[i] for i in expected if expected[i] - whole[i] > 1e-9}
+        rank = {i: (drawn[i] / (1 - drawn[i])) / (p / (1 - p)) for i, p in pi.items()}
+        taken, used = set(), 0
+        for i in sorted(rank, key=lambda i: (rank[i], i)):
+            if used + sizes[i] > left:
+                break
+            taken.add(i)
+            used += sizes[i]
+        gap = left - used
+        closing = min(((abs(gap - sizes[i]), rank[i], i) for i in rank if i not in taken and abs(gap - sizes[i]) < gap), default=None)
+        taken |= {closing[2]} if closing else set()
+        assert {i: got[i] for i in members[s]} == {i: whole.get(i, 0) + (i in taken) for i in members[s]}
+
+
+def test_mixed_documents_of_one_text_in_two_sources(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.choice((3, 9))), s, "x", "y") for i in range(40) for s in ("a", "b", "b", "c")] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, closing string, size string")
+    copies = mixing.mix(docs).agg(F.sum("copies")).first()[0]
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.count() == copies and mixed.columns == docs.columns
+    per = {(r.doc_id, r.source): r["count"] for r in mixed.groupBy("doc_id", "source").count().collect()}
+    wanted = collections.Counter()
+    for r, s in zip(mixing.mix(docs.where("source = 'b'").unionByName(docs.where("source <> 'b'"))).collect(), [0] * len(rows), strict=False):
+        wanted[r.doc_id] += r.copies
+    assert {i: sum(n for (j, _), n in per.items() if j == i) for i in range(40)} == {i: wanted[i] for i in range(40)}
+
+
 # Secrets
 
 BASE = {
@@ -163,6 +225,17 @@ def test_entropy_keeps_what_base_spans_and_words_leave(spark):
     assert all(key not in (t or "") and other not in (t or "") for t in clean.values()) and clean[7] == texts[7]
 
 
+def test_very_long_candidates(spark):
+    key = "9fQ2xL7vB0mZ4tR8nW1cK6yH"
+    texts = ["ab/" * 330_000 + "A1b2", "a-" * 500_000, "ab/" * 8_000 + "A1b2", "AbcDef" * 20_000 + "x1", "XMLHttp/" * 10_000 + key, key * 2_000, "0123456789abcdef " * 3_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert all(got[i].spans == "" for i in range(4)) and got[6].n_hex == 3000
+    assert got[5].spans == f"entropy:0:{len(texts[5])}" and int(got[4].spans.split(":")[2]) == len(texts[4])
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs.where("doc_id > 3")).collect()}
+    assert key not in clean[4] and clean[5] == "[secret]" and clean[6] == "[secret] " * 3000
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a token=abcdefghijklmnop b AKIA12345678901234", 9, "x"), (2, None, None, "x"), (3, "clean é", 7, "x")], "doc_id long, text string, n_chars long, spans string")
     got = {r.doc_id: r for r in secrets.redacted(docs).collect()}
@@ -239,7 +312,7 @@ def test_jaccard_join_equals_brute_force(spark):
     passage = " ".join(f"common{i}" for i in range(30))
     rows += [passage + " " + " ".join(f"u{k}x{j}" for j in range(rng.choice((3, 8, 40)))) for k in range(60)]
     rows += [None, "", " \n", "one", "ONE", "one two three", "a b c d e", "a\x1cb c d e f", "É é", "é É"]
-    table = [(i * 3 % 1009, t) for i, t in enumerate(rows)] + [(5000, rows[0].upper()), (5000, rows[0]), (5001, "shared id"), (5001, "other text with the id"), (None, rows[0]), (None, None)]
+    table = [(i * 3 % 1009, t) for i, t in enumerate(rows)] + [(5000, rows[0].upper()), (5000, rows[0]), (5002, rows[0]), (5002, 'no copy of it'), (0, rows[0]), (5001, "shared id"), (5001, "other text with the id"), (None, rows[0]), (None, None)]
     docs = spark.createDataFrame([(*r, "x", 1) for r in table], "doc_id long, text string, cls string, n int").repartition(6)
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.link(docs).collect())
     # Rows that share an id are one node.
@@ -248,7 +321,9 @@ def test_jaccard_join_equals_brute_force(spark):
     kept = neardup.one_of_each(docs)
     assert kept.columns == docs.columns
     chosen = [r.doc_id for r in kept.collect() if r.doc_id is not None and (r.text or "").strip()]
-    assert sorted(chosen) == sorted({c for (i, n, c) in got if i is not None and n})
+    # Different texts under the id that names a component stay, each once.
+    assert sorted(chosen) == sorted([*{c for (i, n, c) in got if i is not None and n}, 5001])
+    assert {r.text for r in kept.where("doc_id = 5001").collect()} == {"shared id", "other text with the id"}
 
 
 def test_components(spark):
