@@ -1,13 +1,17 @@
 """Exact top-k inner products by the three-phase uniform threshold.
 
 A score is the sum of the partial scores of `lists` slices of the dimensions; each slice is one list.
-1. Each task gathers, for every query and list, its k highest partial scores and the lowest one. Partial scores
-   less the list's lowest are never negative, so what a vector is known to have in some lists bounds its score
-   from below. The k-th highest of these sums is a query's first bound.
-2. That bound over the number of lists is a safe cutoff: a vector below it in every list can't reach the bound.
-   The cutoffs go to all tasks, which collect the entries at or above them. What a list doesn't show counts as
-   the cutoff at most, and vectors whose upper bound falls short of the k-th best known sum go.
-3. The scores of those that remain are resolved exactly, and the tasks' k best of each query are merged.
+1. Each task gathers, for every query and list, its k highest entries, with the whole scores of their vectors. The
+   k-th highest of these scores is a query's first bound.
+2. That bound over the number of lists is a safe cutoff: a vector below it in every list can't reach the bound. The
+   cutoffs go to all tasks, which collect the entries at or above them and nothing else. Entries of a vector are
+   joined; a vector that shows in all lists has its score. The k-th best of those, if higher, is the second bound. A
+   list that doesn't show counts as the cutoff at most, and vectors whose upper bound falls short go.
+3. Of those that remain, the ones with a list that doesn't show are looked up, and their scores resolved exactly.
+
+Cutoffs are the tighter the fewer lists there are, so two are the default. Of equal vectors a task keeps those
+with the k + 1 smallest ids, as no others can be among the best; a vector that a third of the rows repeat costs
+no more than any other.
 
 Queries are taken in blocks of bounded size, each against all rows; only a block's vectors and cutoffs are
 sent to the tasks.
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, scratch
 
 #: Most queries in a block, about.
 BLOCK = 2048
@@ -79,109 +83,139 @@ class Block:
                 yield queries, ids[rows], x, parts, queries[:, None] == ids[rows][None]
 
 
-def local_lists(block: Block, k: int):
-    """Phase 1 in a task: the k highest partial scores and the lowest of every query and list."""
+def _few_of_equal(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows by id, less those with whose vector k + 1 smaller ids came before, or k rows of the same id."""
+    met: dict[bytes, list[int]] = {}  # ids so far, the last one, its rows
+    for batch in batches:
+        ids, column = batch.column(0).to_numpy(), batch.column(1)
+        ends = np.cumsum(np.diff(column.offsets.to_numpy()))
+        values, keep, at = column.flatten().to_numpy(zero_copy_only=False), [], 0
+        for i, end in zip(ids.tolist(), ends.tolist(), strict=True):
+            own = met.setdefault(hashlib.blake2b(values[at:end].tobytes(), digest_size=16).digest(), [0, 0, 0])
+            own[:] = [own[0], i, own[2] + 1] if own[0] and own[1] == i else [own[0] + 1, i, 1]
+            keep.append(own[0] <= k + 1 and own[2] <= k)
+            at = end
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _marks(x: np.ndarray) -> np.ndarray:
+    """64 bits of each row's content."""
+    return np.array([int.from_bytes(hashlib.blake2b(r.astype(float).tobytes(), digest_size=8).digest(), "little", signed=True) for r in x], np.int64)
+
+
+def gathered(block: Block, k: int):
+    """Phase 1 in a task: the whole scores of the vectors with the k highest entries of every query and list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list] = {}
-        for batch in batches:
+        best: dict[tuple, list] = {}
+        for batch in _few_of_equal(batches, k):
             for queries, ids, x, parts, own in block.partials(batch):
-                marks = np.array([int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "little", signed=True) for r in x], np.int64)
+                marks, total = _marks(x), sum(parts)
                 for j, p in enumerate(parts):
-                    p = p.astype(object) if p.dtype == object else p.copy()
-                    low = np.where(own, np.inf, p).min(axis=1)
+                    p = p.astype(float)
                     p[own] = -np.inf
                     top = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
-                    new = [np.take_along_axis(p, top, 1), ids[top], marks[top], low]
+                    new = [np.take_along_axis(p, top, 1), ids[top], marks[top], np.take_along_axis(total, top, 1)]
                     key = (x.shape[1], j)
                     if key in best:
-                        old = best[key]
-                        merged = [np.concatenate([old[i + 1], new[i]], axis=1) for i in range(3)]
-                        keep = np.argpartition(-merged[0], min(k, merged[0].shape[1]) - 1, axis=1)[:, :k]
-                        best[key] = [queries, *[np.take_along_axis(m, keep, 1) for m in merged], np.minimum(old[4], low)]
-                    else:
-                        best[key] = [queries, *new]
-        for (_, j), (queries, p, ids, marks, low) in best.items():
+                        both = [np.concatenate([a, b], axis=1) for a, b in zip(best[key][1], new, strict=True)]
+                        keep = np.argpartition(-both[0], min(k, both[0].shape[1]) - 1, axis=1)[:, :k]
+                        new = [np.take_along_axis(m, keep, 1) for m in both]
+                    best[key] = [queries, new]
+        for queries, (p, ids, marks, total) in best.values():
             seen = p > -np.inf
-            q, n = np.repeat(queries, seen.sum(axis=1)), len(queries)
-            real = low < np.inf
-            names = ["query_id", "list", "vec_id", "mark", "partial"]
-            yield _batch(names, q, np.full(len(q), j), ids[seen], marks[seen], p[seen])
-            yield _batch(names, queries[real], np.full(real.sum(), j), [None] * int(real.sum()), np.zeros(int(real.sum()), np.int64), low[real])
-            del n
+            yield _batch(["query_id", "vec_id", "mark", "score"], np.repeat(queries, seen.sum(axis=1)), ids[seen], marks[seen], total[seen])
 
     return run
 
 
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([None if v is None else max(-(2**63), min(2**63 - 1, int(v))) for v in c], pa.int64()) for c in columns], names)
+    return pa.RecordBatch.from_arrays([pa.array([max(-(2**63), min(2**63 - 1, int(v))) for v in c] if getattr(c, "dtype", object) == object else np.asarray(c).astype(np.int64), pa.int64()) for c in columns], names)
 
 
-def resolved(block: Block, k: int, bounds: dict[int, int], lows: dict[int, list[int]]):
-    """Phases 2 and 3 in a task: entries from the cutoff on, bounds, and exact scores of what remains."""
+def collected(block: Block, k: int, bounds: dict[int, int]):
+    """Phase 2 in a task: the entries at or above their query's cutoff; `covers` is how many lists an entry stands for."""
+    names = ["query_id", "list", "vec_id", "mark", "partial", "covers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list[tuple[int, int]]] = {}
-        for batch in batches:
-            for queries, ids, _, parts, own in block.partials(batch):
-                m = len(parts)
-                bound = np.array([bounds.get(int(q), 0) for q in queries], parts[0].dtype)[:, None]
-                low = np.array([lows.get(int(q), [0] * m) for q in queries], parts[0].dtype)
-                known, hidden, total = 0, 0, 0
+        for batch in _few_of_equal(batches, k):
+            for queries, ids, x, parts, own in block.partials(batch):
+                if parts[0].dtype == object:  # numbers beyond exact floats: the whole score is one entry
+                    parts = [sum(parts)]
+                bound = np.array([bounds.get(int(q), -(2**63)) for q in queries], parts[0].dtype)[:, None]
+                marks = None
                 for j, p in enumerate(parts):
-                    p = p - low[:, j : j + 1]  # a query's own row may fall below, but it is dropped in any case
-                    shown = m * p >= bound
-                    known, hidden, total = known + np.where(shown, p, 0), hidden + ~shown, total + p
-                reaches = (m * known + hidden * bound >= m * bound) & (hidden < m) & ~own
-                if known.shape[1] > k:
-                    sums = np.where(reaches, known, -1)
-                    kth = -np.partition(-sums, k - 1, axis=1)[:, k - 1 : k]
-                    reaches &= m * known + hidden * bound >= m * kth
-                at_q, at_x = np.nonzero(reaches)
-                scores = total[at_q, at_x] + low.sum(axis=1)[at_q]
-                order = np.lexsort((ids[at_x], -scores, at_q)) if scores.dtype != object else np.array(sorted(range(len(scores)), key=lambda i: (at_q[i], -scores[i], ids[at_x[i]])), np.int64)
-                first = np.searchsorted(at_q[order], np.arange(len(queries)))
-                last = np.searchsorted(at_q[order], np.arange(len(queries)), side="right")
-                for i, q in enumerate(queries):
-                    if last[i] > first[i]:
-                        mine = order[first[i] : min(last[i], first[i] + k)]
-                        both = kept.get(int(q), []) + [(int(-scores[t]), int(ids[at_x[t]])) for t in mine]
-                        kept[int(q)] = sorted(both)[:k]
-        rows = [(q, i, -s) for q, own in kept.items() for s, i in own]
-        if rows:
-            yield _batch(["query_id", "vec_id", "score"], *zip(*rows, strict=True))
+                    at_q, at_x = np.nonzero((len(parts) * p >= bound) & ~own)
+                    if len(at_q):
+                        marks = _marks(x) if marks is None else marks
+                        n = np.full(len(at_q), 1 if len(parts) == block.lists else block.lists)
+                        yield _batch(names, queries[at_q], np.full(len(at_q), j), ids[at_x], marks[at_x], p[at_q, at_x], n)
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, lists: int = 4, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best rows for each row of `vectors` (vec_id, embedding) that is a query."""
+def looked_up(block: Block):
+    """Phase 3 in a task: the exact scores of (query_id, vec_id, mark, embedding) rows; those of another vector go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = {int(i): v for ids, q in block.by_length.values() for i, v in zip(ids, q, strict=True)}
+        for batch in batches:
+            rows: list[tuple] = []
+            for q, i, mark, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, own = whole(np.array([v], float)), vectors[q][None]
+                if x.shape == own.shape and _marks(x)[0] == mark:
+                    own, x = exact(own, x)
+                    rows.append((q, i, mark, (own @ x.T)[0, 0]))
+            if rows:
+                yield _batch(["query_id", "vec_id", "mark", "score"], *map(list, zip(*rows, strict=True)))
+
+    return run
+
+
+def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, lists: int = 2, block: int = BLOCK, counts: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best rows for each row of `vectors` (vec_id, embedding) that is a query.
+
+    `counts`, if given, gets the numbers of gathered, collected and looked-up pairs added.
+    """
     rows = usable(vectors)
     queries = cut(rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "topk-queries")
     blocks = max(1, -(-queries.count() // block))
     number = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     done = None
     for b in range(blocks):
-        found = _top_k_block(rows, queries.where(number == b).collect(), k, lists)
-        if blocks > 1:
-            found = cut(found, "topk-block")
+        with scratch() as own_cut:
+            found = cut(_top_k_block(rows, queries.where(number == b).collect(), k, lists, own_cut, counts), "topk-block")
         done = done.unionByName(found) if done else found
     return done
 
 
-def _top_k_block(rows: DataFrame, queries: list, k: int, lists: int) -> DataFrame:
-    block = Block(queries, lists)
-    entries = cut(rows.mapInArrow(local_lists(block, k), "query_id long, list long, vec_id long, mark long, partial long"), "topk-lists")
-    lows = entries.where("vec_id is null").groupBy("query_id", "list").agg(F.min("partial").alias("low"))
-    best = Window.partitionBy("query_id", "list").orderBy(F.desc("partial"), "vec_id", "mark")
-    gathered = entries.where("vec_id is not null").distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
-    sums = gathered.join(lows, ["query_id", "list"]).groupBy("query_id", "vec_id", "mark").agg(F.sum(F.col("partial") - F.col("low")).alias("known"))
-    kth = sums.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("known"), "vec_id", "mark"))).where(F.col("n") == k)
-    bounds = {r.query_id: r.known for r in kth.select("query_id", "known").collect()}
-    floor: dict[int, list[int]] = {}
-    for r in lows.collect():
-        floor.setdefault(r.query_id, [0] * lists)[r.list] = r.low
-    # No more than a block's queries, each with a bound and a number for each list.
-    merged = rows.mapInArrow(resolved(block, k, bounds, floor), "query_id long, vec_id long, score long")
+def _top_k_block(rows: DataFrame, queries: list, k: int, lists: int, cut, counts: dict | None) -> DataFrame:
+    block, pair = Block(queries, lists), ["query_id", "vec_id", "mark"]
+    by_id = rows.sortWithinPartitions("vec_id")  # within tasks, not among them
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "mark")
+
+    first = cut(by_id.mapInArrow(gathered(block, k), "query_id long, vec_id long, mark long, score long"), "topk-gathered")
+    kth = first.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") == k)
+    # No more than a block's queries, each with a number.
+    bounds = {r.query_id: r.score for r in kth.select("query_id", "score").collect()}
+
+    entries = by_id.mapInArrow(collected(block, k, bounds), "query_id long, list long, vec_id long, mark long, partial long, covers long")
+    # Rows that are equal in id and vector show the same entries; how many there are is kept.
+    entries = entries.groupBy(*pair, "list").agg(F.any_value("partial").alias("partial"), F.any_value("covers").alias("covers"), F.count("*").alias("copies"))
+    known = cut(entries.groupBy(*pair).agg(F.sum("partial").alias("known"), F.sum("covers").alias("shown"), F.max("copies").alias("copies")), "topk-known")
+    cutoffs = rows.sparkSession.createDataFrame(list(bounds.items()), "query_id long, cutoff long")
+    whole_ = known.where(F.col("shown") == lists).select(*pair, F.col("known").alias("score"), "copies")
+    second = whole_.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", F.col("score").alias("second"))
+    hidden = known.where(F.col("shown") < lists).join(F.broadcast(cutoffs), "query_id").join(second, "query_id", "left")
+    wide = {c: F.col(c).cast("decimal(30,0)") for c in ("known", "cutoff")}
+    upper = lists * wide["known"] + (lists - F.col("shown")) * wide["cutoff"]
+    likely = cut(hidden.where(upper >= lists * F.greatest("cutoff", F.coalesce("second", "cutoff")).cast("decimal(30,0)")).select(*pair, "copies"), "topk-likely")
+    found = likely.select(*pair).join(rows, "vec_id").select(*pair, "embedding").mapInArrow(looked_up(block), "query_id long, vec_id long, mark long, score long")
+    every = whole_.unionByName(found.distinct().join(likely, pair).select(*pair, "score", "copies"))
+    if counts is not None:
+        for name, df in (("gathered", first), ("collected", known), ("looked_up", likely)):
+            counts[name] = counts.get(name, 0) + df.count()
+    top = every.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    top = top.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

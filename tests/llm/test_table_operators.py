@@ -270,9 +270,21 @@ def test_top_k_equals_brute_force(spark):
         got = topk.top_k(frame.repartition(5).withColumn("score", F.lit("x")), F.col("vec_id") % 100 == 0, **options).collect()
         # Rows that share an id may swap places, so scores and ids are compared.
         assert sorted(map(tuple, got)) == wanted
+    counts = {}
+    assert topk.top_k(frame.repartition(3), F.col("vec_id") % 100 == 0, counts=counts).count() == len(wanted)
+    pairs = len({q for q, *_ in wanted}) * len(rows)
+    assert 0 < counts["looked_up"] <= counts["collected"] < pairs / 4
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_a_vector_that_most_rows_repeat(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(1, 1500)] + [(100, [1.0, 2.0]), (100, [1.0, 2.0]), (200, [-1.0, 0.5])] + [(5, [1.0, 2.0])] * 14
+    frame, counts = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), {}
+    got = topk.top_k(frame, F.col("vec_id") % 100 == 0, counts=counts).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_top([(r.vec_id, r.embedding) for r in frame.collect()], 10))
+    assert counts["collected"] <= 16 * 4 * 13
+
+
 # Near duplicates
 
 
