@@ -14,8 +14,8 @@ over the whole corpus, and differ in how they rank the rest.
    shingles, which is what the others were copied from or close to it. What links is joined into preliminary
    components, so that a large group of near copies costs as many pairs as it has members.
 4. Between members of different components every pair is a candidate that lengths, shingles without a match,
-   and the measured overlaps of both with their group's hub don't rule out: two sets share at most the smaller overlap
-   with the hub and the smaller rest outside of it. So no link between components is lost, and links inside one
+   and the measured overlaps of both with their group's hub don't rule out: two sets share of the hub at most what neither
+   lacks, and besides it what can be common to their rests, by bitmaps of both. So no link between components is lost, and links inside one
    can't change it.
 5. Counting sketches bound what the sets of a candidate can share: bucket by bucket the smaller count. Texts are
    fetched for the pairs that pass; these must also share a prefix shingle under the other orders; then the sets
@@ -31,6 +31,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +63,8 @@ _BITS, _FULL = 12, 4095
 _IDS = 1_000_000
 #: Members from which on a group's pairs are bounded by measured overlaps with its hub.
 CROWDED = 48
-#: Buckets (a power of two) by which it is kept what of a hub's shingles a member lacks.
-BUCKETS = 64
+#: Buckets (a power of two) of the bitmaps that keep what of a hub's shingles a member lacks, and what it has besides.
+BUCKETS = 256
 #: Buckets of a class's counting sketch.
 SKETCH = 512
 
@@ -267,8 +269,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, frequent, words: int, similar, orders: int) -> DataFrame:
-    """The (a, b) pairs of classes with their representatives, how much they share, whether they link, and how many of a's shingles b lacks, by bucket."""
-    names, kinds = ["a", "b", "rep_a", "rep_b", "shared", "linked", "missing"], [pa.int64()] * 6 + [pa.list_(pa.int8())]
+    """The (a, b) pairs of classes with their representatives, how much they share, whether they link, and by bucket which of a's shingles b lacks and which it has besides."""
+    names = ["a", "b", "rep_a", "rep_b", "shared", "linked", "lacks", "extras"]
+    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
@@ -281,7 +284,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequent, words: int, similar,
             for a, b in _parts(new):
                 for r, s in zip(new[a:b], shingles(new[a:b], words), strict=True):
                     known[r] = (s, [np.sort(prefix(s, k, frequent.value, similar)) for k in range(1, orders)])
-            shared, linked, missing = [], [], []
+            shared, linked, lacks, extras = [], [], [], []
             for x, y in zip(one, other, strict=True):
                 (x, first), (y, second) = known[x], known[y]
                 held = _held(x, y)
@@ -289,14 +292,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequent, words: int, similar,
                 candidates = all(_held(p, q).any() for p, q in zip(first, second, strict=True))
                 shared.append(n)
                 linked.append(int(candidates and similar[1] * n >= similar[0] * (len(x) + len(y) - n)))
-                missing.append(np.minimum(np.bincount((x[~held] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 127).astype(np.int8))
-            columns = [*batch.columns[:4], shared, linked, missing]
+                lacks.append(_bitmap(x[~held]))
+                extras.append(_bitmap(y[~_held(y, x)]))
+            columns = [*batch.columns[:4], shared, linked, lacks, extras]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     left = texts.select(F.col("cls").alias("a"), F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cls").alias("b"), F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
     full = pairs.join(right, "b").join(left, "a").select("a", "b", "rep_a", "rep_b", "text_a", "text_b")
-    return full.mapInArrow(run, "a long, b long, rep_a long, rep_b long, shared long, linked long, missing array<tinyint>")
+    return full.mapInArrow(run, "a long, b long, rep_a long, rep_b long, shared long, linked long, lacks array<long>, extras array<long>")
+
+
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    """BUCKETS bits, set where a shingle falls, as 64-bit numbers."""
+    bits = np.zeros(BUCKETS, np.uint8)
+    bits[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -403,19 +414,23 @@ def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders:
     member = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     parted = member.groupBy("token").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root")).where("low_root <> high_root")
     member = cut(member.join(parted.select("token"), "token").select("token", "cls", "size", "lone", "hub_cls", "hub_size", "root", "asks"), "link-open")
-    # What each shares with its group's hub, and lacks of it; all of itself and nothing if it is the hub.
-    measured = first.select(F.col("a").alias("hub_cls"), F.col("b").alias("cls"), F.col("shared").alias("met"), "missing")
-    hub = F.col("cls") == F.col("hub_cls")
-    member = member.join(measured, ["hub_cls", "cls"], "left").withColumns({"met": F.when(hub, F.col("size")).otherwise(F.col("met")), "missing": F.when(hub, F.array_repeat(F.lit(0).cast("tinyint"), BUCKETS)).otherwise(F.col("missing"))})
-    member = member.select("token", "cls", "size", "root", "hub_size", "met", "missing", "lone", "asks")
+    # What each shares with its group's hub, lacks of it and has besides; all of itself and nothing if it is the hub.
+    measured = first.select(F.col("a").alias("hub_cls"), F.col("b").alias("cls"), F.col("shared").alias("met"), "lacks", "extras")
+    hub, none = F.col("cls") == F.col("hub_cls"), F.array_repeat(F.lit(0).cast("long"), BUCKETS // 64)
+    member = member.join(measured, ["hub_cls", "cls"], "left").withColumns({"met": F.when(hub, F.col("size")).otherwise(F.col("met")), **{c: F.when(hub, none).otherwise(F.col(c)) for c in ("lacks", "extras")}})
+    words_ = range(BUCKETS // 64)
+    # Shingles besides the hub's that fall in a bucket with another one.
+    member = member.withColumn("slack", F.col("size") - F.col("met") - reduce(add, [F.bit_count(F.col("extras")[i]) for i in words_]))
+    member = member.select("token", "cls", "size", "root", "hub_size", "met", "lacks", "extras", "slack", "lone", "asks")
     x, y = member.where("asks").alias("x"), member.alias("y")
-    # Both have of the hub at most what neither lacks; in a bucket the larger lack counts, as one may hold the other.
-    lacking = "aggregate(zip_with(x.missing, y.missing, (p, q) -> greatest(p, q)), 0, (s, v) -> s + v)"
+    # Both have of the hub at most what neither lacks, and besides it at most what falls in buckets of both.
+    lacking = " + ".join(f"bit_count(x.lacks[{i}] | y.lacks[{i}])" for i in words_)
+    besides = " + ".join(f"bit_count(x.extras[{i}] & y.extras[{i}])" for i in words_)
 
-    def through_hub(of_hub: str) -> str:
-        return f"coalesce({of_hub} + greatest(0, least(x.size - x.met, y.size - y.met)), x.size)"
+    def through_hub(of_hub: str, also: str) -> str:
+        return f"coalesce({of_hub} + least({also}, x.size - x.met, y.size - y.met), x.size)"
 
-    bounds = [_most("x.", "y."), through_hub("least(x.met, y.met)"), through_hub(f"least(x.met, y.met, x.hub_size - {lacking})")]
+    bounds = [_most("x.", "y."), through_hub(f"least(x.met, y.met, x.hub_size - ({lacking}))", f"{besides} + least(x.slack, y.slack)")]
     bounded = " and ".join(_could_link("x.size", "y.size", b, similar) for b in bounds)
     rest = x.join(y, F.expr(f"x.token = y.token and (x.size, x.cls) < (y.size, y.cls) and x.root <> y.root and {bounded}"))
     rest = rest.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.lit(False).alias("crowded")).distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
 #: Bytes that a worker spends on remembered strings, and characters of the longest that it remembers.
-REMEMBERED_BYTES = 160 << 20
+REMEMBERED_BYTES = 80 << 20
 REMEMBERED_CHARS = 64
 _SLOT = 110
 
