@@ -62,7 +62,7 @@ _BITS, _FULL = 12, 4095
 #: Rows of two numbers that may be broadcast: some 100 MB in a task's memory.
 _IDS = 1_000_000
 #: Members from which on a group's pairs are bounded by measured overlaps with its hub.
-CROWDED = 48
+CROWDED = 12
 #: Buckets (a power of two) of the bitmaps that keep what of a hub's shingles a member lacks, and what it has besides.
 BUCKETS = 256
 #: Buckets of a class's counting sketch.
