@@ -11,13 +11,13 @@ MULTIPLIERS = {
     "ModuleContains": 0.80, "ReExports": 0.75, "RaisesError": 0.85, "Configures": 0.70, "TestedBy": 0.80, "TestUsesFixture": 0.65,
     "CoOccursInTest": 0.55, "Documents": 0.65, "ReferencesConcept": 0.60, "Aliases": 0.80, "ErrorDescribes": 0.70,
 }
-#: Edge kinds that each intent follows.
+# The kinds of edges that each intent follows.
 FOLLOWED = {
-    "Usage": ("CallsFunction", "CalledByFunction", "Implements", "UsesType", "Derives", "TestedBy", "TestUsesFixture"),
-    "Definition": ("Implements", "TypeContains", "UsesType", "ModuleContains", "ReExports", "Aliases"),
-    "Conceptual": ("CoOccursInTest", "Documents", "ReferencesConcept"),
-    "BugDebt": ("RaisesError", "Configures", "TestedBy", "ErrorDescribes"),
-    "Unknown": (),
+    "Definition": ("Implements", "Aliases", "UsesType"),
+    "Usage": ("CallsFunction", "CalledByFunction", "TestedBy", "CoOccursInTest"),
+    "Conceptual": ("ReferencesConcept", "Documents"),
+    "BugDebt": ("RaisesError", "ErrorDescribes", "Configures"),
+    "Unknown": ("CallsFunction", "CalledByFunction"),
 }
 CONTAINERS = ("Impl", "Class", "Struct", "Module")
 
@@ -90,14 +90,25 @@ def neighbours(edge: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.max("multiplier").alias("multiplier"))
 
 
+def followed(edge: DataFrame) -> DataFrame:
+    """(intent, src, dst, multiplier): the neighbours that a query of each intent follows."""
+    found = None
+    for intent, kinds in FOLLOWED.items():
+        part = neighbours(edge, kinds).select(F.lit(intent).alias("intent"), "src", "dst", "multiplier")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def expanded(seeds: DataFrame, chunk_symbols: DataFrame, node: DataFrame, edge: DataFrame, *, kinds: tuple[str, ...] = ("CallsFunction",)) -> DataFrame:
     """(query_id, chunk_id, score) of the seeds' neighbours that are no seeds themselves.
 
     A seed (query_id, chunk_id, score) stands for the symbol of its chunk (chunk_id, symbol); a neighbour is
-    represented by the chunk that defines it and gets its best seed's score times the edge's multiplier.
+    represented by the chunk that defines it and gets its best seed's score times the edge's multiplier. Where seeds
+    have an `intent`, its kinds of edges are followed instead of `kinds`.
     """
-    from_seed = seeds.select("query_id", "chunk_id", "score").join(chunk_symbols, "chunk_id")
-    near = from_seed.join(neighbours(edge, kinds), F.col("symbol") == F.col("src"))
+    by_intent = ["intent"] * ("intent" in seeds.columns)
+    from_seed = seeds.select("query_id", "chunk_id", "score", *by_intent).join(chunk_symbols, "chunk_id").withColumnRenamed("symbol", "src")
+    near = from_seed.join(followed(edge) if by_intent else neighbours(edge, kinds), ["src", *by_intent])
     hits = near.join(node.select(F.col("symbol").alias("dst"), F.col("chunk_id").alias("_at")), "dst")
     scored = hits.groupBy("query_id", F.col("_at").alias("chunk_id")).agg(F.max(F.col("score") * F.col("multiplier")).alias("score"))
     return scored.join(seeds.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")

@@ -68,9 +68,9 @@ def search(index: Index, queries: DataFrame, *, top: int = 10, expand: bool = Tr
         results = fusion.diverse(with_vectors).select("query_id", "chunk_id", (1.0 / F.col("rank")).alias("score"))
     near = None
     if expand and index.edges is not None:
-        seeds = results.join(weights.where("use_graph"), "query_id").select("query_id", "chunk_id", "score")
+        seeds = results.join(weights.where("use_graph"), "query_id").select("query_id", "chunk_id", "score", "intent")
         symbols = index.chunks.where("function_name <> ''").select("chunk_id", F.col("function_name").alias("symbol"))
-        near = graph.expanded(seeds, symbols, index.nodes, index.edges, kinds=("CallsFunction",))
+        near = graph.expanded(seeds, symbols, index.nodes, index.edges)
         results = results.unionByName(near)
     files = results.join(index.chunks.select("chunk_id", "file"), "chunk_id", "left")
     files = files.join(weights.select("query_id", "intent"), "query_id")

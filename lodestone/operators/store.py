@@ -64,8 +64,10 @@ def status(chunks: DataFrame) -> DataFrame:
 class Catalog:
     """Named indexes below a folder that all executors share; each table of an index is a chain of versions.
 
-    A write goes to a new folder, and a small pointer file is replaced once it is whole: readers see the old
-    version or the new one. The pointers go through Spark's own file system, so any store that Spark reaches will do.
+    A write goes to a new folder, and a small pointer file is replaced by one rename once it is whole: readers see the
+    old version or the new one, and a driver that is lost in between leaves the old one. The version before the one
+    that is replaced is deleted; the replaced one stays for those who still read it. The pointers go through Spark's own
+    file system, so any store that Spark reaches will do.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -94,8 +96,15 @@ class Catalog:
         out = fs.create(trial, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
-        fs.delete(where, False)
-        fs.rename(trial, where)
+        self._replace(trial, where)
+
+    def _replace(self, trial, where) -> None:
+        """One step: there is no moment without a pointer."""
+        rename = getattr(self._jvm.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context = self._jvm.fs.FileContext.getFileContext(where.toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(trial), context.makeQualified(where), options)
 
     def create(self, index_id: str, **settings) -> bool:
         """Register an index; False if it is there already, which then stays as it is."""
@@ -120,7 +129,12 @@ class Catalog:
     def save(self, index_id: str, table: str, df: DataFrame) -> None:
         version = f"{self.path}/{index_id}/{table}/{uuid.uuid4().hex}"
         df.write.parquet(version)
-        self._write(f"{self.path}/{index_id}/{table}.json", {"at": version})
+        pointer = f"{self.path}/{index_id}/{table}.json"
+        old = self._read(pointer) or {}
+        self._write(pointer, {"at": version, "before": old.get("at")})
+        if old.get("before"):
+            fs, where = self._fs(old["before"])
+            fs.delete(where, True)
 
     def load(self, index_id: str, table: str) -> DataFrame | None:
         """The table as it was last saved; None if it never was."""

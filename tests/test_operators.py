@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import fusion, graph, lexical, search, store, vectors
@@ -100,6 +101,33 @@ def test_store_versions(spark, tmp_path):
     assert catalog.drop("x") and catalog.ids() == []
 
 
+def test_a_write_that_stops_half_way_loses_nothing(spark, tmp_path, monkeypatch):
+    catalog = store.Catalog(spark, f"file://{tmp_path}/c")
+    catalog.create("x")
+    catalog.save("x", "chunks", small(spark))
+
+    def stop(*_):
+        raise OSError("the driver is lost")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(catalog, "_replace", stop)
+        catalog.save("x", "chunks", small(spark).limit(1))
+    assert store.Catalog(spark, f"file://{tmp_path}/c").load("x", "chunks").count() == 4
+    for n in (1, 2, 3):
+        catalog.save("x", "chunks", small(spark).limit(n))
+    assert catalog.load("x", "chunks").count() == 3
+    # The version in use, the one before it, and that of the write which stopped.
+    assert len([p for p in (tmp_path / "c" / "x" / "chunks").iterdir()]) == 3
+
+
+def test_intents_follow_their_kinds_of_edges(spark):
+    edge = spark.createDataFrame([("s", "t", "CallsFunction"), ("u", "s", "TestedBy"), ("s", "v", "Implements"), ("s", "w", "ErrorDescribes")], "src string, dst string, kind string")
+    node = spark.createDataFrame([(x, x.upper(), "f") for x in "stuvw"], "symbol string, chunk_id string, file string")
+    seeds = spark.createDataFrame([(1, "S", 1.0, "Usage"), (2, "S", 1.0, "Definition"), (3, "S", 1.0, "BugDebt"), (4, "S", 1.0, "Unknown"), (5, "S", 1.0, "Conceptual")], "query_id long, chunk_id string, score double, intent string")
+    got = {(r.query_id, r.chunk_id): r.score for r in graph.expanded(seeds, node.select("chunk_id", "symbol"), node, edge).collect()}
+    assert got == {(1, "T"): 0.7, (1, "U"): 0.8, (2, "V"): 0.85, (3, "W"): 0.7, (4, "T"): 0.7}
+
+
 def test_cap_takes_updates_first(spark):
     old = small(spark).where("chunk_id in ('a', 'b')")
     assert {r.chunk_id for r in store.within_cap(old, small(spark), 3).collect()} == {"a", "b", "d"}
