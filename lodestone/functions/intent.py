@@ -21,7 +21,7 @@ CHAIN = (
 )
 LONG_PROSE = r"(?U)^[^():_.](?:[^():_.\s]*+\s[^():_.]){5}[^():_.]*\z"
 IDENTIFIER = r"(?U)\b(?:[A-Z][a-z]+[A-Z][a-zA-Z0-9]*|[A-Z]{2,}(?:[0-9]+[A-Za-z][a-zA-Z0-9]*|[0-9]+|[A-Z][a-z][a-zA-Z0-9]*))\b"
-#: alpha (vector lane), beta (lexical lane), and whether the graph is consulted.
+# Alpha (vector lane), beta (lexical lane), and whether the graph is consulted.
 WEIGHTS = {"Definition": (0.3, 0.7, False), "Usage": (0.5, 0.5, True), "Conceptual": (0.8, 0.2, False), "BugDebt": (0.1, 0.9, False), "Unknown": (0.6, 0.4, False)}
 
 

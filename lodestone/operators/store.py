@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of which one at least should find something in a fresh index.
+# Words of which one at least should find something in a fresh index.
 PROBES = ("fn", "function", "def", "class", "the")
 
 
