@@ -50,7 +50,7 @@ fn helper() {}
 
 
 def test_declarations(spark):
-    rows = {r.function_name: r for r in declarations.declarations(table(spark, a__rs=RUST)).collect()}
+    rows = {r.function_name: r for r in declarations.declarations(table(spark, a__rs=RUST)).orderBy("start_line").collect()}
     assert {"Reader": "Impl", "Reader::read": "Method", "helper": "Function"}.items() <= {k: r.chunk_type for k, r in rows.items()}.items()
     assert rows["Reader::read"].calls == ["helper", "panic"] and rows["Reader"].inherits_from == ["Read"]
     python = "class A(B, C):\n    def run(self):\n        return go()\n\ndef top():\n    def inner():\n        pass\n    return 1\n"
