@@ -36,6 +36,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,6 +165,15 @@ def _parts(raws: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield at, len(raws)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], *texts: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches whose columns of texts hold about so many bytes, so that few long texts are unpacked at once."""
+    for batch in batches:
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in texts)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def _longs(*columns, names: list[str]) -> pa.RecordBatch:
     signed = [c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if getattr(c, "dtype", None) == np.uint64 else c, pa.int64()) for c in columns]
     return pa.RecordBatch.from_arrays(signed, names)
@@ -182,7 +192,7 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
             ids, n = ids[n >= _OFTEN], n[n >= _OFTEN]
             return _longs(np.ones(len(ids), np.int64), pa.nulls(len(ids), pa.int64()), ids, np.zeros(len(ids), np.int64), n, names=names)
 
-        for batch in batches:
+        for batch in _slices(batches, 1):
             raws = _raws(batch.column(1))
             for a, b in _parts(raws):
                 keys = [_key(r) for r in raws[a:b]]
@@ -212,7 +222,7 @@ def _postings(docs: DataFrame, frequent, words: int, similar) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set = set()
-        for batch in batches:
+        for batch in _slices(batches, 0):
             raws = _raws(batch.column(0))
             for a, b in _parts(raws):
                 rows: list[tuple] = []
@@ -275,7 +285,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequent, words: int, similar,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
-        for batch in batches:
+        for batch in _slices(batches, 4, 5):
             one, other = _raws(batch.column(4)), _raws(batch.column(5))
             new = list({r for r in [*one, *other] if r not in known})
             if sum(map(len, known)) > 32 << 20:
@@ -454,7 +464,7 @@ def _of_class(rows: DataFrame, words: int, with_text: bool) -> DataFrame:
     """(cls, rep, text or sketch) of rows whose text is of the class; another row may have the same id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 2):
             raws = _raws(batch.column(2))
             own = pa.array([_key(r)[1] == c for r, c in zip(raws, batch.column(0).to_pylist(), strict=True)], pa.bool_())
             if not with_text:
