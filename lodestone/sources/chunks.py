@@ -22,10 +22,10 @@ def chunk_id(file: Column, kind: Column, name: Column, start: Column, end: Colum
     return F.when(name.isNotNull(), named).otherwise(F.concat_ws(":", file, start.cast("string"), end.cast("string")))
 
 
-def _finished(found: DataFrame) -> DataFrame:
-    """(file, start_line, end_line, content, function_name, chunk_type) with ids, in the order of COLUMNS."""
+def _finished(found: DataFrame, *more: str) -> DataFrame:
+    """(file, start_line, end_line, content, function_name, chunk_type) with ids, in the order of COLUMNS, then `more`."""
     ident = chunk_id(*[F.col(c) for c in ("file", "chunk_type", "function_name", "start_line", "end_line")])
-    return found.withColumn("chunk_id", ident).select(*COLUMNS)
+    return found.withColumn("chunk_id", ident).select(*COLUMNS, *more)
 
 
 def windows(rows: Column, size: int, stride: int) -> Column:
@@ -72,7 +72,7 @@ def _sections(marked: DataFrame, kind: str) -> DataFrame:
 
 def _or_whole(found: DataFrame, files: DataFrame, kind: str = "Code") -> DataFrame:
     """Files that gave no chunk become one whole chunk."""
-    return found.unionByName(whole(files.join(found.select("file").distinct(), "file", "left_anti"), kind))
+    return found.unionByName(whole(files.join(found.select("file").distinct(), "file", "left_anti"), kind), allowMissingColumns=True)
 
 
 def markdown(files: DataFrame) -> DataFrame:

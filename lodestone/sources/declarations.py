@@ -50,18 +50,35 @@ def _declared(tongue: Column, line: Column) -> Column:
     return out.otherwise(F.lit(None).cast("struct<kind:string,name:string>"))
 
 
+def _leads(tongue: Column, line: Column) -> Column:
+    """Whether a line can belong to the declaration below it: a comment, an attribute, an annotation or a decorator."""
+    return F.when(tongue.isin("python", "ruby"), line.rlike(r"^\s*[#@]")).otherwise(line.rlike(r"^\s*(?://|/\*|\*(?:\s|/|\z)|@\w|#!?\[|\[\w)"))
+
+
+def _after_bare(at: Column) -> Column:
+    """The line after the last one above `at` that doesn't lead; `bare` holds the numbers of all such lines."""
+    return F.coalesce(F.array_max(F.filter("bare", lambda b: b < at)), F.lit(0)) + 1
+
+
 def declarations(files: DataFrame) -> DataFrame:
-    """Chunks of the declarations of each file, with language, depth, parent type, calls, bases and doc keywords; a file without any is one chunk."""
+    """Chunks of the declarations of each file, with language, calls, bases and doc keywords; a file without any is one chunk.
+
+    Comments and attributes right above a declaration belong to it: the one before ends above them, and doc keywords are
+    taken from them.
+    """
     rows = files.select("file", language(F.col("file")).alias("language"), lines(F.col("content")).alias("rows"))
     line = rows.select("file", "language", F.posexplode("rows").alias("at", "line")).withColumn("at", F.col("at") + 1)
     heads = line.withColumn("d", _declared(F.col("language"), F.col("line"))).where("d is not null")
     heads = heads.select("file", "language", "at", F.length(F.regexp_extract("line", r"^\s*", 0)).alias("indent"), "d.kind", "d.name", "line")
     # The end of a declaration: before the next head that is not deeper. Heads of a file are few against its lines.
     spans = heads.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "indent", "kind", "name"))).alias("heads"))
-    joined = heads.join(spans, "file").join(rows.select("file", "rows"), "file")
+    bare = F.filter(F.transform("rows", lambda x, i: F.when(~_leads(F.col("language"), x), i + 1)), lambda i: i.isNotNull())
+    joined = heads.join(spans, "file").join(rows.select("file", "rows", bare.alias("bare")), "file")
     after = F.filter("heads", lambda h: (h["at"] > F.col("at")) & (h.indent <= F.col("indent")))
     around = F.filter("heads", lambda h: (h["at"] < F.col("at")) & (h.indent < F.col("indent")) & ~F.exists(F.col("heads"), lambda o: (o["at"] > h["at"]) & (o["at"] < F.col("at")) & (o.indent <= h.indent)))
-    joined = joined.withColumns({"end": F.when(F.size(after) > 0, F.element_at(after, 1)["at"] - 1).otherwise(F.size("rows")), "around": around})
+    joined = joined.withColumns({"end": F.when(F.size(after) > 0, _after_bare(F.element_at(after, 1)["at"]) - 1).otherwise(F.size("rows")), "around": around})
+    top = _after_bare(F.col("at"))
+    joined = joined.withColumn("doc", doc_comment(F.array_join(F.slice("rows", top, F.col("at") - top), "\n")))
     owner = F.element_at(F.filter("around", lambda h: h.kind.isin(*_TYPES)), -1)
     owner = F.when(F.size(F.filter("around", lambda h: h.kind.isin(*_TYPES))) > 0, owner)
     in_function = F.exists("around", lambda h: h.kind.isin("Function", "Method"))
@@ -69,10 +86,10 @@ def declarations(files: DataFrame) -> DataFrame:
     name = F.when((kind == "Method") & F.col("language").isin(*QUALIFIED) & owner.isNotNull(), F.concat_ws("::", owner["name"], "name")).otherwise(F.col("name"))
     body = F.regexp_replace(F.array_join(F.slice("rows", F.col("at"), F.col("end") - F.col("at") + 1), "\n"), r"\s+\z", "")
     last = F.col("at") + F.size(F.split(body, "\n")) - 1
-    found = joined.where(~in_function).select("file", F.col("at").alias("start_line"), last.alias("end_line"), body.alias("content"), name.alias("function_name"), kind.alias("chunk_type"))
-    done = _or_whole(_finished(found), files)
-    above = F.col("content")
-    return done.withColumns({"language": language(F.col("file")), "calls": calls(F.col("content"), F.col("function_name")), "inherits_from": bases(language(F.col("file")), F.col("content")), "nlp_keywords": keywords(doc_comment(above)), "nlp_code_refs": backtick_refs(doc_comment(above))})
+    found = joined.where(~in_function).select("file", F.col("at").alias("start_line"), last.alias("end_line"), body.alias("content"), name.alias("function_name"), kind.alias("chunk_type"), "doc")
+    done = _or_whole(_finished(found, "doc"), files)
+    doc = F.coalesce("doc", F.lit(""))
+    return done.withColumns({"language": language(F.col("file")), "calls": calls(F.col("content"), F.col("function_name")), "inherits_from": bases(language(F.col("file")), F.col("content")), "nlp_keywords": keywords(doc), "nlp_code_refs": backtick_refs(doc)}).drop("doc")
 
 
 def calls(content: Column, own: Column) -> Column:

@@ -60,6 +60,18 @@ def test_declarations(spark):
     assert plain.chunk_type == "Code" and plain.function_name is None
 
 
+def test_comments_and_attributes_belong_to_what_follows(spark):
+    rust = "fn a() {\n    // inside\n    go();\n}\n\n/// Makes a Widget from `Bar`\n#[inline]\nfn b() {}\n// loose\n\nfn c() {}\n"
+    rows = {r.function_name: r for r in declarations.declarations(table(spark, a__rs=rust)).collect()}
+    assert [(n, rows[n].start_line, rows[n].end_line) for n in "abc"] == [("a", 1, 4), ("b", 8, 9), ("c", 11, 11)]
+    assert rows["b"].nlp_keywords == ["Bar", "Makes", "Widget"] and rows["b"].nlp_code_refs == ["Bar"]
+    assert rows["a"].nlp_keywords == [] and rows["c"].nlp_keywords == []
+    python = "@first\ndef a():\n    return 1\n\n# on b\n@second\ndef b():\n    return 2\n"
+    assert shape(declarations.declarations(table(spark, m__py=python))) == [(2, 3, "a"), (7, 8, "b")]
+    java = "class A {\n    /** Makes one. */\n    @Override\n    public int one() {\n        return 1;\n    }\n    // two\n    public int two() {\n        return 2;\n    }\n}\n"
+    assert {(r.function_name, r.start_line, r.end_line) for r in declarations.declarations(table(spark, m__java=java)).collect()} == {("A", 1, 11), ("one", 4, 6), ("two", 8, 11)}
+
+
 def test_entities_and_virtual_terms(spark):
     source = table(spark, a__rs=RUST)
     entity = declarations.entities(source)
