@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 _NOT_ALNUM = r"[^\p{IsAlphabetic}\p{N}]+"
 _CAMEL = r"(?<=[\p{IsLowercase}0-9])(?=\p{IsUppercase})|(?<=\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})"
 _DIGITS = r"(?<=\p{IsAlphabetic})(?=[0-9])|(?<=[0-9])(?=\p{IsAlphabetic})"
+#: What every word with a border of either kind holds.
+_BORDER = r"[0-9]|.\p{IsUppercase}"
 
 
 def camel_parts(word: Column) -> Column:
@@ -25,14 +27,17 @@ def digit_parts(word: Column) -> Column:
 def code_tokens(text: Column) -> Column:
     """Distinct sorted lower-case tokens: words, their camel-case parts and their letter and digit runs.
 
-    Borders inside words become spaces in the whole text, so there is one pass for each kind of part.
+    The text is parted into words once; only the distinct words that may hold a border are looked through for more.
     """
-    whole = F.coalesce(text, F.lit(""))
+    words = F.array_distinct(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), _NOT_ALNUM, " "), " "))
 
-    def words(marked: Column) -> Column:
-        return F.split(F.lower(F.regexp_replace(marked, _NOT_ALNUM, " ")), " ")
+    def parts(distinct: Column) -> Column:
+        inner = F.array_join(F.filter(distinct, lambda w: w.rlike(_BORDER)), " ")
+        every = F.concat_ws(" ", F.array_join(distinct, " "), F.regexp_replace(inner, _CAMEL, " "), F.regexp_replace(inner, _DIGITS, " "))
+        return F.split(F.lower(every), " ")
 
-    every = F.concat(words(whole), words(F.regexp_replace(whole, _CAMEL, " ")), words(F.regexp_replace(whole, _DIGITS, " ")))
+    # A function over an array of one element binds the words, which would be computed at each use otherwise.
+    every = F.element_at(F.transform(F.array(words), parts), 1)
     return F.array_sort(F.array_remove(F.array_distinct(every), ""))
 
 
