@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,11 +92,12 @@ def search(index: Index, queries: DataFrame, *, top: int = 10, expand: bool = Tr
     return out.withColumn("compact_snippet", snippet(F.col("content")) if compact else F.lit(None).cast("string"))
 
 
-def fan_out(lanes: DataFrame, *, top: int = 10, mode: str = "flat") -> DataFrame:
+def fan_out(lanes: DataFrame, *, top: int = 10, mode: str = "flat", ids: Sequence[str] | None = None) -> DataFrame:
     """Merge the ranked lanes (query_id, index_id, chunk_id, rank) of many indexes into (query_id, chunk_id, score, rank).
 
     `flat` fuses all lanes at once. `fold` fuses them pairwise in the order of index_id: each step ranks what is
-    merged so far, keeps max(4 top, top, 10) of it, and fuses it with the next lane; its lanes are few.
+    merged so far, keeps max(4 top, top, 10) of it, and fuses it with the next lane; its lanes are few. Their `ids` are
+    looked up if they aren't given.
     """
     named = lanes.select("query_id", "index_id", F.concat_ws("::", "index_id", "chunk_id").alias("chunk_id"), "rank")
     if mode == "flat":
@@ -102,14 +105,40 @@ def fan_out(lanes: DataFrame, *, top: int = 10, mode: str = "flat") -> DataFrame
     if mode != "fold":
         raise ValueError(f"no fan-out mode {mode}")
     deep = max(OVERSAMPLE * top, 10)
-    ids = [r.index_id for r in named.select("index_id").distinct().orderBy("index_id").collect()]
+    if ids is None:
+        ids = [r.index_id for r in named.select("index_id").distinct().collect()]
     merged = None
-    for i in ids:
+    for i in sorted(ids):
         own = named.where(F.col("index_id") == i)
         merged = own.select("query_id", "chunk_id", "rank", (1.0 / (fusion.K + F.col("rank"))).alias("score")) if merged is None else fusion.fused([fusion.lane(merged, 1.0), fusion.lane(own, 1.0)], deep)
     return merged.select("query_id", "chunk_id", "score", "rank").where(F.col("rank") <= top) if merged is not None else fusion.fused([fusion.lane(named, 1.0)], top)
 
 
+def search_all(indexes: Mapping[str, Index], queries: DataFrame, *, only: Sequence[str] | None = None, routes: DataFrame | None = None, top: int = 10, mode: str = "flat", **options) -> DataFrame:
+    """`search` in each named index, with its own lanes and the weights of each query's intent, merged as by `fan_out`.
+
+    Results carry their chunk's columns, index_id, and the merged score and rank. `only` restricts the indexes (names that
+    there are none of are passed over; where none is left, there is no result); `routes` (query_id, index_id) those that
+    a query is sent to. The plan has a part for each index.
+    """
+    names = sorted(n for n in indexes if only is None or n in only)
+
+    def own(name: str) -> DataFrame:
+        asked = queries if routes is None else queries.join(routes.where(F.col("index_id") == name).select("query_id"), "query_id", "left_semi")
+        return search(indexes[name], asked, top=top, **options).withColumn("index_id", F.lit(name))
+
+    if not names:
+        return own(min(indexes)).limit(0)
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(own, names))
+    named = found.withColumns({"_own": F.col("chunk_id"), "chunk_id": F.concat_ws("::", "index_id", "chunk_id")})
+    if mode == "flat":
+        merged = fusion.best(named.withColumn("score", 1.0 / (fusion.K + F.col("rank"))), top)
+    else:
+        ranks = fan_out(found.select("query_id", "index_id", "chunk_id", "rank"), top=top, mode=mode, ids=names)
+        merged = named.drop("score", "rank").join(ranks, ["query_id", "chunk_id"])
+    return merged.withColumn("chunk_id", F.col("_own")).drop("_own")
+
+
 def page(chunks: DataFrame, offset: int = 0, limit: int = 100, most: int = 1000) -> DataFrame:
     """A page of the chunks by file and lines."""
     return chunks.orderBy("file", "start_line", "end_line", "chunk_id").offset(max(0, offset)).limit(max(0, min(limit, most)))

@@ -202,6 +202,16 @@ def fan_out_fold(spark, sf_dir):
     return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+@query(f"""with {_BY_LANG} select query_id, index_id, split_part(id, '::', 2)::bigint as chunk_id, score, rank from (
+  select query_id, index_id, chunk_id as id, round(1.0 / (60 + rank), 9)::double as score, row_number() over (partition by query_id order by round(1.0 / (60 + rank), 12) desc, chunk_id)::int as rank from lanes where index_id in ('de', 'en')
+) where rank <= 10""")
+def fan_out_search(spark, sf_dir):
+    chunk = document_chunks(spark, sf_dir)
+    indexes = {name: search.Index(chunk.where(F.col("index_id") == name)) for name in ("de", "en", "es", "fr")}
+    found = search.search_all(indexes, _asked(spark, LITERAL), only=("en", "de", "absent"), top=10)
+    return found.select("query_id", "index_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
 _CENTRES = "centres as (select label, list(x order by i) as embedding from (select label, i, avg(x) as x from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings) group by label, i) group by label)"
 _ROUTES = f"with {_CENTRES}, weights as (select q.item_id as query_id, c.label as index_id, greatest(0, {o.COSINE.format('e.embedding', 'c.embedding')}) as weight from benchmark q join embeddings e on e.vec_id = q.item_id cross join centres c)"
 
@@ -455,7 +465,13 @@ def overlaps_merged(spark, sf_dir):
     return fusion.merged_overlaps(found.select("query_id", "rank", "chunk_id", "file", "start_line", "end_line", F.round("score", 6).alias("score"), "content")).drop("content")
 
 
-@query()
+@query(f"""with recursive {o.bm25(_values(LITERAL))}, {o.CHUNKS},
+items as (select query_id, rank, chunk_id, ((least(strlen(content), 560) + strlen(file) + 80) // 4)::bigint as tokens from lexical join chunks using (chunk_id) where rank <= 20),
+walk as (
+  select query_id, rank, chunk_id, tokens, tokens as used, true as kept from items where rank = 1
+  union all select i.query_id, i.rank, i.chunk_id, i.tokens, w.used + case when w.used + i.tokens <= 1500 then i.tokens else 0 end, w.used + i.tokens <= 1500
+  from walk w join items i on i.query_id = w.query_id and i.rank = w.rank + 1
+) select query_id, rank::int as rank, chunk_id, tokens from walk where kept""")
 def token_budget(spark, sf_dir):
     chunk = document_chunks(spark, sf_dir)
     found = lexical.bm25_top(chunk, _asked(spark, LITERAL), 20).join(chunk.select("chunk_id", "file", "content"), "chunk_id")

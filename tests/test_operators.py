@@ -138,6 +138,21 @@ def test_health_looks_at_all_chunks(spark):
     assert store.healthy(chunks) and not store.healthy(chunks.where("chunk_id <> '11999'")) and not store.healthy(chunks.limit(0))
 
 
+def test_all_indexes_are_searched_with_both_lanes(spark):
+    table = small(spark)
+    near = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "chunk_id string, embedding array<double>")
+    indexes = {"one": search.Index(table, near), "two": search.Index(table.where("chunk_id <> 'a'")), "none": search.Index(table.limit(0))}
+    asked = spark.createDataFrame([(1, "login password", [1.0, 0.0])], "query_id long, text string, embedding array<double>")
+    for mode in ("flat", "fold"):
+        found = {(r.index_id, r.chunk_id): r for r in search.search_all(indexes, asked, mode=mode).collect()}
+        assert {("one", "a"), ("one", "d"), ("one", "b"), ("two", "d")} <= found.keys() and found["one", "a"].match_reason == "hybrid"
+        assert found["one", "a"].rank == 1 and abs(found["one", "a"].score - 1 / 61) < 1e-12 and found["two", "d"].content == "login password guide"
+    assert {r.index_id for r in search.search_all(indexes, asked, only=["two", "absent"]).collect()} == {"two"}
+    assert search.search_all(indexes, asked, only=["absent"]).count() == 0
+    routes = spark.createDataFrame([(1, "two"), (2, "one")], "query_id long, index_id string")
+    assert {r.index_id for r in search.search_all(indexes, asked, routes=routes).collect()} == {"two"}
+
+
 def test_routing(spark):
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
     contexts = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [0.0, 1.0]), ("r", None), ("s", [-1.0, 0.0])], "index_id string, embedding array<double>")
