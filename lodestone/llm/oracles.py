@@ -45,4 +45,24 @@ with recursive words as (
 select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id from sets s join (select a, min(b) as component_id from reach group by a) c on c.a = s.doc_id
 """
 
-SQL = {"op1_warc_round_trip": OP1, "op6_exact_top_k": OP6, "op7_jaccard_join": OP7}
+OP12 = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as ts from documents where text is not null
+), stats as (
+  select count(*) as n_docs, sum(len(ts))::bigint as n_terms from d where len(ts) > 0
+), postings as (
+  select doc_id, n, t, count(*) as tf from (select doc_id, len(ts) as n, unnest(ts) as t from d) group by all
+), weights as (
+  select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as w from (select t, count(*) as df from postings group by t), stats
+), asked as (
+  select item_id, t, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) as t from benchmark where text is not null) group by all
+), scored as (
+  select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint as score
+  from asked join postings using (t) join weights using (t), stats group by item_id, doc_id
+), ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
+
+SQL = {"op1_warc_round_trip": OP1, "op6_exact_top_k": OP6, "op7_jaccard_join": OP7, "op12_tiered_search": OP12}
