@@ -26,115 +26,132 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, join_counted, scratch
 
-#: Documents and postings in a block of the index, and items in a block of the search, at most or about.
-BLOCK_DOCS, BLOCK_POSTINGS, ITEMS = 4096, 2_000_000, 256
+#: Documents and bytes of text in a block of the index (a longer text is one alone), and items in a block of the search, at most.
+BLOCK_DOCS, BLOCK_BYTES, ITEMS = 4096, 16 << 20, 256
 #: Shares of all postings above the bounds between tiers, about.
 SHARES = (0.125, 0.5)
+#: A posting as it is read, and as it is kept.
+_READ = np.dtype([("at", "<u2"), ("tf", "<u4"), ("n", "<u4")])
+_KEPT = np.dtype([("at", "<u2"), ("impact", "<i8")])
 #: Bytes as they are in terms; what belongs to none is a space. All bytes of characters beyond ASCII belong to terms.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms(text: bytes | None) -> list[bytes]:
-    return text.translate(_TABLE).split() if text else []
+def terms(text: str | None) -> list[bytes]:
+    return text.encode().translate(_TABLE).split() if text else []
 
 
 @dataclass
 class Index:
-    """`documents` (block, ids), `postings` (tier, block, term, at, impact, top) and the number of tiers."""
+    """`documents` (block, ids) and `postings` (term, block, and for each tier a list and its highest impact)."""
 
     documents: DataFrame
     postings: DataFrame
     tiers: int
 
 
-def _lists(values: list[list[int]], kind: pa.DataType) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array([x for v in values for x in v], kind))
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Records as binary values of `counts` records each; null where there are none."""
+    ends = np.r_[0, np.cumsum(counts)].astype(np.int32) * values.dtype.itemsize
+    lists = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+    return pc.if_else(pa.array(counts > 0), lists, pa.scalar(None, pa.binary()))
 
 
-def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's blocks: a row of ids and lengths without a term, then a row for each term."""
-    first, blocks = TaskContext.get().partitionId() << 32, 0
-    ids, sizes, found, held = [], [], {}, 0
-
-    def block() -> Iterator[pa.RecordBatch]:
-        number = pa.array(np.full(len(found) + 1, first + blocks))
-        words = pa.array([None, *found], pa.binary()).cast(pa.string())
-        own = list(found.values())
-        lists = [_lists([[], *[o[0] for o in own]], pa.int32()), _lists([[], *[o[1] for o in own]], pa.int32()), _lists([[], *[o[2] for o in own]], pa.int64())]
-        both = [_lists([x, *[[]] * len(own)], pa.int64()) for x in (ids, sizes)]
-        rows = pa.RecordBatch.from_arrays([number, words, *lists, *both], ["block", "term", "at", "tf", "n", "ids", "sizes"])
-        for start in range(0, rows.num_rows, 4096):
-            yield rows.slice(start, 4096)
+def _unpacked(lists: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The records of binary values without nulls, and how many each has."""
+    ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+    return np.frombuffer(lists.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind), np.diff(ends) // kind.itemsize
+
 
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a task: a row of ids and numbers of words without a term, then a row for each term."""
+    number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            words = terms(text.as_py())
-            for word, n in Counter(words).items():
-                own = found.get(word)
-                if own is None:
-                    own = found[word] = ([], [], [])
-                own[0].append(len(ids))
-                own[1].append(n)
-                own[2].append(len(words))
-                held += 1
-            ids.append(i)
-            sizes.append(len(words))
-            if len(ids) >= BLOCK_DOCS or held >= BLOCK_POSTINGS:
-                yield from block()
-                ids, sizes, found, held, blocks = [], [], {}, 0, blocks + 1
-    if ids:
-        yield from block()
+        column, start = batch.column(1).cast(pa.binary()), 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(), dtype=np.int64)
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = min(start + BLOCK_DOCS, max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right"))))
+            size = min(stop, batch.num_rows) - start
+            # What is left of a text is words with spaces between; an empty one gives an empty word.
+            texts = [(t or b"").translate(_TABLE).strip() for t in column.slice(start, size).to_pylist()]
+            split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+            n = np.where([bool(t) for t in texts], pc.list_value_length(split).to_numpy(zero_copy_only=False), 0)
+            words = split.flatten()
+            coded = words.filter(pc.greater(pc.binary_length(words), 0)).dictionary_encode()
+            key, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * size + np.repeat(np.arange(size), n), return_counts=True)
+            own = np.empty(len(key), _READ)
+            own["at"], own["tf"], own["n"] = key % size, tf, n[key % size]
+            lists = _packed(own, np.bincount(key // size, minlength=len(coded.dictionary)))
+            ids, sizes = batch.column(0).slice(start, size).to_pylist(), n.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))], _RAW)
+            rows, none = len(lists), pa.nulls(len(lists), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, number)), coded.dictionary, lists, none, none], _RAW)
+            number, start = number + 1, start + size
+
+
+_RAW = ["block", "term", "list", "ids", "sizes"]
 
 
 def _impacts(n_docs: int, n_terms: int, bounds: list[int]):
-    """Posting lists with the weights of their terms, as lists of impacts by tier."""
+    """Posting lists with the weights of their terms, as lists of impacts for each tier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, tf, n = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("at", "tf", "n"))
-            lengths = np.diff(batch.column("at").offsets.to_numpy())
+            read, lengths = _unpacked(batch.column("list"), _READ)
+            tf, n = read["tf"].astype(np.int64), read["n"].astype(np.int64)
             m = 25 + (75 * n * n_docs) // n_terms
-            impact = np.repeat(batch.column("w").to_numpy(), lengths) * ((1_000_000_000 * tf) // (1000 * tf + 8 * m))
-            tier, row = np.searchsorted(-np.array(bounds, np.int64), -impact, side="left"), np.repeat(np.arange(len(lengths)), lengths)
-            order = np.lexsort((row, tier))  # stable: positions stay in order within a list
-            tier, row, at, impact = tier[order], row[order], at[order], impact[order]
-            first = np.flatnonzero(np.r_[True, (np.diff(tier) != 0) | (np.diff(row) != 0)])
-            ends = pa.array(np.r_[first, len(row)].astype(np.int32))
-            own = [pa.array(tier[first].astype(np.int32)), *[batch.column(c).take(pa.array(row[first])) for c in ("block", "term")]]
-            lists = [pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(impact))]
-            yield pa.RecordBatch.from_arrays([*own, *lists, pa.array(np.maximum.reduceat(impact, first))], ["tier", "block", "term", "at", "impact", "top"])
+            own = np.empty(len(read), _KEPT)
+            own["at"] = read["at"]
+            own["impact"] = np.repeat(batch.column("w").to_numpy(), lengths) * ((1_000_000_000 * tf) // (1000 * tf + 8 * m))
+            tier, row = np.searchsorted(-np.array(bounds, np.int64), -own["impact"], side="left"), np.repeat(np.arange(len(lengths)), lengths)
+            lists, tops = [], []
+            for t in range(len(bounds) + 1):
+                here = tier == t
+                counts = np.bincount(row[here], minlength=len(lengths))
+                top = np.zeros(len(lengths), np.int64)
+                np.maximum.at(top, row[here], own["impact"][here])
+                lists.append(_packed(own[here], counts))
+                tops.append(pa.array(top, mask=counts == 0))
+            names = [f"{x}_{t}" for x in ("tier", "top") for t in range(len(lists))]
+            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("block"), *lists, *tops], ["term", "block", *names])
 
     return run
 
 
 def build(docs: DataFrame, *, shares: tuple[float, ...] = SHARES) -> Index | None:
     """The index of all rows of `docs` (doc_id, text), written to the shared folder; None if no text has a term."""
-    schema = "block long, term string, at array<int>, tf array<int>, n array<long>, ids array<long>, sizes array<long>"
-    raw = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_inverted, schema), "tiered-raw")
-    documents = raw.where("term is null").select("block", "ids", "sizes")
-    total = documents.select(F.explode("sizes").alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).first()
-    if not total.docs:
-        return None
-    lists = raw.where("term is not null").select("block", "term", "at", "tf", "n")
-    weight = F.floor(1000 * F.ln(F.lit(2.0 * total.docs + 2) / (2 * F.col("df") + 1)))
-    weights = cut(lists.groupBy("term").agg(F.sum(F.size("at")).alias("df")).select("term", "df", weight.cast("long").alias("w")), "tiered-weights")
-    # As many rows as weights differ: some ten thousand.
-    held = weights.groupBy("w").agg(F.sum("df").alias("n")).orderBy(F.desc("w")).collect()
-    bounds = [1_000_000_000 // 1800 * w for w in _quantiles([(r.w, r.n) for r in held], shares)]  # at a saturation of mean length
-    tiered = lists.join(weights.select("term", "w"), "term").mapInArrow(_impacts(total.docs, total.terms, bounds), "tier int, block long, term string, at array<int>, impact array<long>, top long")
-    return Index(documents.select("block", "ids"), cut(tiered.sortWithinPartitions("tier", "term"), "tiered-postings"), len(bounds) + 1)
+    with scratch() as own_cut:
+        inverted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_inverted, "block long, term string, list binary, ids array<long>, sizes array<long>")
+        raw = own_cut(inverted, "tiered-raw")
+        documents = raw.where("term is null").select("block", "ids", "sizes")
+        total = documents.select(F.explode("sizes").alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).first()
+        if not total.docs:
+            return None
+        lists = raw.where("term is not null").select("term", "block", "list")
+        weight = F.floor(1000 * F.ln(F.lit(2.0 * total.docs + 2) / (2 * F.col("df") + 1)))
+        held = lists.groupBy("term").agg((F.sum(F.octet_length("list")) / _READ.itemsize).cast("long").alias("df"))
+        weights = own_cut(held.select("term", "df", weight.cast("long").alias("w")), "tiered-weights")
+        # As many rows as weights differ: some ten thousand.
+        by_weight = weights.groupBy("w").agg(F.sum("df").alias("n")).orderBy(F.desc("w")).collect()
+        bounds = [1_000_000_000 // 1800 * w for w in _quantiles([(r.w, r.n) for r in by_weight], shares)]  # at a saturation of mean length
+        columns = [f"{x}_{t} {kind}" for x, kind in (("tier", "binary"), ("top", "long")) for t in range(len(bounds) + 1)]
+        tiered = lists.join(weights.select("term", "w"), "term").mapInArrow(_impacts(total.docs, total.terms, bounds), ", ".join(["term string, block long", *columns]))
+        return Index(cut(documents.select("block", "ids"), "tiered-documents"), cut(tiered, "tiered-postings"), len(bounds) + 1)
 
 
 def _quantiles(held: list[tuple[int, int]], shares: tuple[float, ...]) -> list[int]:
@@ -153,7 +170,7 @@ class Asked:
     def __init__(self, texts: list[str | None]):
         self.by_term: dict[str, list[tuple[int, int]]] = {}
         for i, text in enumerate(texts):
-            for word, n in Counter(terms((text or "").encode())).items():
+            for word, n in Counter(terms(text)).items():
                 self.by_term.setdefault(word.decode(), []).append((i, n))
         self.size = len(texts)
 
@@ -175,19 +192,20 @@ def _scored(asked: dict[str, list[tuple[int, int]]], size: int, k: int, residual
 
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
-        words, at, impact = block["term"].to_pylist(), block["at"], block["impact"]
+        words, lists = block["term"].to_pylist(), block["list"]
         ids, wanted = pa.array([], pa.int64()), None
         for row, word in enumerate(words):
             if word is None and block["ids"][row].is_valid:
                 ids = block["ids"][row].values
             elif word is None:
-                wanted = at[row].values.to_numpy(), impact[row].values.to_numpy()
+                wanted = block["at"][row].values.to_numpy(), block["item"][row].values.to_numpy()
         absent, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
         known = np.zeros((size, len(ids)), np.int64)
         upper = np.repeat(rest[:, None], len(ids), axis=1) if cutoffs else None
         for row, word in enumerate(words):
             if word is not None:
-                where, values = at[row].values.to_numpy(), impact[row].values.to_numpy()
+                own = np.frombuffer(lists[row].as_buffer(), _KEPT)
+                where, values = own["at"].astype(np.int64), own["impact"]
                 for item, n in asked[word]:
                     known[item, where] += n * values
                     if cutoffs:
@@ -227,25 +245,30 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def _search_block(index: Index, asked: Asked, k: int, own_cut, counts: dict | None) -> DataFrame:
     """(item, block, at, doc_id, score, rank) of a block of items."""
     spark = index.postings.sparkSession
-    empty = F.lit(None).cast("array<long>")
+    extra = {"ids": "array<long>", "at": "array<int>", "item": "array<int>", "term": "string", "list": "binary"}
+    columns = ["block", "term", "list", "ids", "at", "item"]
 
-    def lists(of: dict, upto: int) -> DataFrame:
-        words = spark.createDataFrame([(t,) for t in of], "term string")
-        rows = index.postings.where(F.col("tier") <= upto).select("block", "term", "at", "impact")
-        return join_counted(rows, words, "term", "left_semi").withColumn("ids", empty)
+    def full(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({c: F.lit(None).cast(kind) for c, kind in extra.items() if c not in rows.columns}).select(*columns)
 
-    documents = index.documents.select("block", F.lit(None).cast("string").alias("term"), F.lit(None).cast("array<int>").alias("at"), empty.alias("impact"), "ids")
-    # As many rows as the block's items have terms, for each tier.
+    def lists(of: dict, upto: int) -> DataFrame:
+        """The lists of these terms in the tiers up to one; lower tiers are columns that are not read."""
+        tiers = [F.col(f"tier_{t}") for t in range(min(upto + 1, index.tiers))]
+        rows = join_counted(index.postings, spark.createDataFrame([(t,) for t in of], "term string"), "term", "left_semi")
+        joined = F.concat(*[F.coalesce(t, F.lit(b"")) for t in tiers]).alias("list")
+        return full(rows.where(reduce(or_, [t.isNotNull() for t in tiers])).select("block", "term", joined))
+
+    documents = full(index.documents)
+    # As many rows as the block's items have terms.
     words = spark.createDataFrame([(t,) for t in asked.by_term], "term string")
-    tops: dict[str, dict[int, int]] = {}
-    for r in join_counted(index.postings.select("term", "tier", "top"), words, "term", "left_semi").groupBy("term", "tier").agg(F.max("top").alias("top")).collect():
-        tops.setdefault(r.term, {})[r.tier] = r.top
+    tops = join_counted(index.postings, words, "term", "left_semi").groupBy("term").agg(*[F.max(f"top_{t}").alias(f"top_{t}") for t in range(index.tiers)])
+    tops = {r.term: [r[f"top_{t}"] or 0 for t in range(index.tiers)] for r in tops.collect()}
     pending, results = {i for own in asked.by_term.values() for i, _ in own}, []
     for tier in range(index.tiers):
         of, last = asked.only(pending), tier == index.tiers - 1
         if not of:
             break
-        residual = {t: max((top for at, top in tops.get(t, {}).items() if at > tier), default=0) for t in of}
+        residual = {t: max(tops.get(t, [])[tier + 1 :], default=0) for t in of}
         rows = lists(of, tier).unionByName(documents)
         best = _best(own_cut(rows.groupBy("block").applyInArrow(_scored(of, asked.size, k), _OUT), "tiered-best"), k)
         rest = Counter()
@@ -266,10 +289,8 @@ def _search_block(index: Index, asked: Asked, k: int, own_cut, counts: dict | No
             if counts is not None:
                 counts["looked up"] = counts.get("looked up", 0) + reach.count()
             # In a block there are no more than its documents times the items.
-            named = reach.groupBy("block").agg(F.collect_list(F.struct("at", F.col("item").cast("long").alias("item"))).alias("x"))
-            named = named.select("block", F.lit(None).cast("string").alias("term"), F.col("x.at").alias("at"), F.col("x.item").alias("impact"), empty.alias("ids"))
-            blocks = named.select("block")
-            rows = lists(of, index.tiers).unionByName(documents).join(blocks, "block", "left_semi").unionByName(named)
+            named = full(reach.groupBy("block").agg(F.collect_list(F.struct("at", "item")).alias("x")).select("block", F.col("x.at").alias("at"), F.col("x.item").alias("item")))
+            rows = lists(of, index.tiers).unionByName(documents).join(named.select("block"), "block", "left_semi").unionByName(named)
             results.append(_best(rows.groupBy("block").applyInArrow(_scored(of, asked.size, k, named=True), _OUT), k))
             pending -= proven
     found = results[0]
