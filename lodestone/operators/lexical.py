@@ -53,11 +53,15 @@ def scores(posting: DataFrame, stats: DataFrame, queries: DataFrame, *, by: tupl
     """
     terms = queries.select("query_id", F.explode(code_tokens(F.col("text"))).alias("term"))
     hit = posting.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
-    dfs = hit.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    weighed = dfs.crossJoin(F.broadcast(stats)) if not by else dfs.join(stats, list(by))
-    weighed = weighed.select(*by, "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    matched = hit.join(weighed, [*by, "term"]).select("chunk_id", *by, "term", (F.col("idf") * term_weight(F.col("dl"), F.col("avgdl"))).alias("w"))
-    return matched.join(broadcast_if_small(terms), "term").groupBy("query_id", *by, "chunk_id").agg(F.sum("w").alias("score")).where("score > 0")
+    return weighed(hit, hit.groupBy(*by, "term").agg(F.count("*").alias("df")), stats, broadcast_if_small(terms), by)
+
+
+def weighed(hit: DataFrame, dfs: DataFrame, stats: DataFrame, terms: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Summed weights of the postings (chunk_id, *by, term, dl) that queries ask for by `terms` (query_id, term)."""
+    weights = dfs.crossJoin(F.broadcast(stats)) if not by else dfs.join(stats, list(by))  # one row without `by`
+    weights = weights.select(*by, "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
+    matched = hit.join(weights, [*by, "term"]).select("chunk_id", *by, "term", (F.col("idf") * term_weight(F.col("dl"), F.col("avgdl"))).alias("w"))
+    return matched.join(terms, "term").groupBy("query_id", *by, "chunk_id").agg(F.sum("w").alias("score")).where("score > 0")
 
 
 def ranked(scored: DataFrame, top: int | Column, *, by: tuple[str, ...] = (), digits: int = 9) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import intent as intents
 from lodestone.functions.text import match_reason, snippet
 from lodestone.operators import fusion, graph, lexical, vectors
+from lodestone.operators.inverted import LexicalIndex
 from lodestone.operators.joins import broadcast_if_small
 
 #: Candidates that a lane hands to fusion, for each wanted result.
@@ -28,14 +29,19 @@ class Index:
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     domain_terms: tuple[str, ...] = ()
+    kept: LexicalIndex | None = None
     postings: DataFrame | None = field(default=None)
 
     def __post_init__(self) -> None:
-        if self.postings is None:
+        if self.postings is None and self.kept is None:
             text = lexical.document_text() if "virtual_terms" in self.chunks.columns else F.col("content")
             source = self.chunks.withColumn("_text", text)
             self.postings, self.stats = lexical.postings(source, text="_text"), lexical.corpus_stats(source, text="_text")
 
+    def lexical_scores(self, queries: DataFrame) -> DataFrame:
+        """From the kept index if there is one; else the chunks are tokenized for these queries."""
+        return self.kept.scores(queries) if self.kept is not None else lexical.scores(self.postings, self.stats, queries)
+
 
 def exact_entities(queries: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id) where a one-word definition or unknown query is the name of an entity: the first by file and lines."""
@@ -55,7 +61,7 @@ def search(index: Index, queries: DataFrame, *, top: int = 10, expand: bool = Tr
     asked = queries.withColumn("intent", intents.domain_intent(F.col("text"), index.domain_terms))
     asked = asked.withColumns({"w": intents.weights(F.col("intent"))}).select("*", "w.*").drop("w")
     deep = OVERSAMPLE * top
-    lexical_lane = lexical.ranked(lexical.scores(index.postings, index.stats, asked), deep).select("query_id", "chunk_id", "rank")
+    lexical_lane = lexical.ranked(index.lexical_scores(asked), deep).select("query_id", "chunk_id", "rank")
     if index.entities is not None:
         lexical_lane = fusion.promoted(lexical_lane, exact_entities(asked, index.entities, index.chunks))
     weights = asked.select("query_id", "alpha", "beta", "use_graph", "intent")

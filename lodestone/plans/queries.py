@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import intent as intents
 from lodestone.functions.text import code_tokens, doc_demotion, excluded, first_part_matches, fingerprint, snippet, token_estimate
 from lodestone.operators import concepts, fusion, graph, lexical, search, store, vectors
+from lodestone.operators.inverted import LexicalIndex
+from lodestone.operators.shared import shared_path
 from lodestone.plans import oracles as o
-from lodestone.plans.tables import benchmark_queries, document_chunks, document_vectors, symbol_chunks, table
+from lodestone.plans.tables import benchmark_queries, document_chunks, document_index, document_vectors, symbol_chunks, table
 from lodestone.sources import chunks as chunkers
 from lodestone.sources.declarations import virtual_terms
 from lodestone.sources.files import in_skipped_folder, language, skipped_path
@@ -59,28 +61,51 @@ def tokenize_code(spark, sf_dir):
 
 @query(f"with {o.POSTINGS} select lang as index_id, count(*) as n, round(avg(len(ts)), 6) as avgdl from posted group by lang")
 def bm25_corpus_stats(spark, sf_dir):
-    found = lexical.corpus_stats(document_chunks(spark, sf_dir), by=("index_id",))
+    found = document_index(spark, sf_dir).corpus_stats(("index_id",))
     return found.select("index_id", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"with {o.POSTINGS} select term, count(*) as df from postings group by term")
 def bm25_term_stats(spark, sf_dir):
-    return lexical.term_stats(lexical.postings(document_chunks(spark, sf_dir)))
+    return document_index(spark, sf_dir).term_stats()
 
 
 @query(f"with {o.bm25(_values(LITERAL))} select query_id, chunk_id, round(score, 6) as score, rank::int as rank from lexical where rank <= 10")
 def bm25_topk(spark, sf_dir):
-    found = lexical.bm25_top(document_chunks(spark, sf_dir), _asked(spark, LITERAL), 10)
+    found = document_index(spark, sf_dir).top(_asked(spark, LITERAL), 10)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"with {o.bm25('select item_id as query_id, text from benchmark')} select query_id, chunk_id, round(score, 6) as score, rank::int as rank from lexical where rank <= 20")
 def bm25_batch_topk(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = lexical.bm25_top(document_chunks(spark, sf_dir), asked, 20)
+    found = document_index(spark, sf_dir).top(asked, 20)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+_UPDATED = "documents_now as (select doc_id, lang, case when source = 'src1' then text || ' fresh renewed' else text end as text from documents where source is null or source <> 'src2')"
+
+
+def _updated(spark, sf_dir):
+    """The index after an update that changes one folder's files and removes another's."""
+    chunk = document_chunks(spark, sf_dir)
+    index = LexicalIndex.build(chunk, shared_path(spark, "updated-index"))
+    changed = chunk.where("file like 'src1/%'").withColumn("content", F.concat("content", F.lit(" fresh renewed")))
+    index.update(1, chunk.where("file like 'src1/%' or file like 'src2/%'").select("file"), changed)
+    return index
+
+
+@query(f"with {_UPDATED}, {o.bm25('select item_id as query_id, text from benchmark').replace('from documents', 'from documents_now')} select query_id, chunk_id, round(score, 6) as score, rank::int as rank from lexical where rank <= 10")
+def bm25_after_update(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _updated(spark, sf_dir).top(asked, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"with {_UPDATED}, {o.POSTINGS.replace('from documents', 'from documents_now')} select lang as index_id, term, count(*) as df from postings group by all")
+def bm25_term_stats_after_update(spark, sf_dir):
+    return _updated(spark, sf_dir).term_stats(("index_id",))
+
+
 # Vector lane
 
 
@@ -107,7 +132,7 @@ _LANES = f"{o.bm25('select item_id as query_id, text from benchmark')}, {o.VECTO
 select * from (select query_id, chunk_id, round(score, 9) as score, row_number() over (partition by query_id order by round(score, 12) desc, chunk_id)::int as rank from fused) where rank <= 10""")
 def rrf_fuse(spark, sf_dir):
     asked = benchmark_queries(spark, sf_dir)
-    words = lexical.bm25_top(document_chunks(spark, sf_dir), asked, 40)
+    words = document_index(spark, sf_dir).top(asked, 40)
     near = vectors.cosine_top(document_vectors(spark, sf_dir), asked.where("embedding is not null"), 40)
     found = fusion.fused([fusion.lane(words, 0.5), fusion.lane(near, 0.5)], 10)
     return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
@@ -129,7 +154,7 @@ select * from (select s.query_id, s.chunk_id, file, round(s.score, 9) as score,
 from scaled s left join (select * from vectors where rank <= 40) v using (query_id, chunk_id) left join (select * from lexical where rank <= 40) l using (query_id, chunk_id)) where file is not null""")
 def hybrid_search(spark, sf_dir):
     chunk = document_chunks(spark, sf_dir)
-    index = search.Index(chunk, document_vectors(spark, sf_dir))
+    index = search.Index(chunk, document_vectors(spark, sf_dir), kept=document_index(spark, sf_dir))
     branch = chunk.where("file like 'src1/%'").select("file")
     found = search.search(index, benchmark_queries(spark, sf_dir), top=10, branch=branch, boost=1.5)
     return found.select("query_id", "chunk_id", "file", F.round("score", 9).alias("score"), "rank", "on_branch", "match_reason")
@@ -159,7 +184,7 @@ def doc_demotion_factor(spark, sf_dir):
   select l.query_id, l.chunk_id, l.rank from lexical l left join hit h on h.query_id = l.query_id and h.chunk_id = l.chunk_id where l.rank <= 20 and h.chunk_id is null
 ) select query_id, chunk_id, 1 as rank from hit union all select query_id, chunk_id, (1 + row_number() over (partition by query_id order by rank))::int from rest""")
 def entity_promotion(spark, sf_dir):
-    scored = lexical.bm25_top(document_chunks(spark, sf_dir), _asked(spark, LITERAL), 1_000_000_000)
+    scored = document_index(spark, sf_dir).top(_asked(spark, LITERAL), 1_000_000_000)
     hits = scored.groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
     return fusion.promoted(scored.where("rank <= 20"), hits).select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
 
@@ -175,7 +200,7 @@ lanes as (select * from (select query_id, index_id, index_id || '::' || chunk_id
 
 
 def _lanes_by_language(spark, sf_dir):
-    return lexical.bm25_top(document_chunks(spark, sf_dir), _asked(spark, LITERAL), 10, by=("index_id",))
+    return document_index(spark, sf_dir).top(_asked(spark, LITERAL), 10, by=("index_id",))
 
 
 @query(f"with {_BY_LANG} select query_id, chunk_id, round(1.0 / (60 + rank), 9)::double as score, row_number() over (partition by query_id order by round(1.0 / (60 + rank), 12) desc, chunk_id)::int as rank from lanes qualify row_number() over (partition by query_id order by round(1.0 / (60 + rank), 12) desc, chunk_id) <= 10")
@@ -257,7 +282,7 @@ from benchmark b left join firsts f on f.query_id = b.item_id group by all""")
 def retrieval_quality(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     chunk = document_chunks(spark, sf_dir)
-    results = lexical.bm25_top(chunk, asked, 10).join(chunk.select("chunk_id", "content"), "chunk_id")
+    results = document_index(spark, sf_dir).top(asked, 10).join(chunk.select("chunk_id", "content"), "chunk_id")
     expected = asked.select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("intent"), F.substring("text", 1, 40).alias("needle"))
     found = fusion.retrieval_quality(results, expected)
     return found.select("intent", F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"), "queries")
@@ -474,7 +499,7 @@ walk as (
 ) select query_id, rank::int as rank, chunk_id, tokens from walk where kept""")
 def token_budget(spark, sf_dir):
     chunk = document_chunks(spark, sf_dir)
-    found = lexical.bm25_top(chunk, _asked(spark, LITERAL), 20).join(chunk.select("chunk_id", "file", "content"), "chunk_id")
+    found = document_index(spark, sf_dir).top(_asked(spark, LITERAL), 20).join(chunk.select("chunk_id", "file", "content"), "chunk_id")
     return fusion.within_budget(found.select("query_id", "rank", "chunk_id", token_estimate(F.col("file"), F.col("content")).alias("tokens")), 1500)
 
 
@@ -482,6 +507,6 @@ def token_budget(spark, sf_dir):
 from lexical join chunks using (chunk_id) where rank <= 5 group by query_id""")
 def chat_context(spark, sf_dir):
     chunk = document_chunks(spark, sf_dir)
-    found = lexical.bm25_top(chunk, _asked(spark, LITERAL), 5).join(chunk, "chunk_id").withColumn("compact_snippet", F.lit(None).cast("string"))
+    found = document_index(spark, sf_dir).top(_asked(spark, LITERAL), 5).join(chunk, "chunk_id").withColumn("compact_snippet", F.lit(None).cast("string"))
     return search.chat_context(found).select("query_id", F.sha2("context", 256).alias("context_sha256"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import lines
+from lodestone.operators.inverted import LexicalIndex
+from lodestone.operators.shared import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,19 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("index_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), end).alias("file"), F.lit(1).alias("start_line"), F.size(lines(F.col("text"))).alias("end_line"), F.col("text").alias("content"), F.lit(None).cast("string").alias("function_name"))
 
 
+_kept: dict[tuple[str, str], tuple[tuple, LexicalIndex]] = {}
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The lexical index of the document chunks. It is built once in a session, and anew only if a file of the table has changed."""
+    source = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = tuple(sorted(tuple(map(str, r)) for r in source.collect()))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept or _kept[key][0] != state:
+        _kept[key] = state, LexicalIndex.build(document_chunks(spark, sf_dir), shared_path(spark, "documents-index"))
+    return _kept[key][1]
+
+
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
