@@ -1,14 +1,15 @@
-"""A mutable index kept as versioned Parquet tables: changed files, upserts, removals, caps and the registry of indexes."""
+"""Upkeep of an index: changed files, upserts, removals, caps, its tables and the registry of indexes."""
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.shared import cut
+
 # Words of which one at least should find something in a fresh index.
 PROBES = ("fn", "function", "def", "class", "the")
 
@@ -52,8 +53,8 @@ def within_cap(old: DataFrame, new: DataFrame, cap: int) -> DataFrame:
 
 
 def unfit_vectors(vectors: DataFrame, dim: int) -> DataFrame:
-    """Vectors of another length than the index has."""
-    return vectors.where(F.col("embedding").isNull() | (F.size("embedding") != dim))
+    """Vectors that are null, of another length than the index has, or not finite."""
+    return vectors.where(~fits(dim))
 
 
 def status(chunks: DataFrame) -> DataFrame:
@@ -61,85 +62,129 @@ def status(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("index_id").agg(F.count("*").alias("chunks"), F.countDistinct("file").alias("files"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines"))
 
 
-class Catalog:
-    """Named indexes below a folder that all executors share; each table of an index is a chain of versions.
+class BucketTable:
+    """Rows of named indexes as one Parquet table, partitioned by index and by bucket of the key that rows are replaced by.
 
-    A write goes to a new folder, and a small pointer file is replaced by one rename once it is whole: readers see the
-    old version or the new one, and a driver that is lost in between leaves the old one. The version before the one
-    that is replaced is deleted; the replaced one stays for those who still read it. The pointers go through Spark's own
-    file system, so any store that Spark reaches will do.
+    A write replaces the buckets of its keys and leaves all others as they are, by Spark's own dynamic partition overwrite.
+    What a bucket will hold is written to the shared folder first, so a driver that is lost before the overwrite has changed
+    nothing, and the same write may be repeated. A row without a key stands in each bucket that was written, so that one
+    which has become empty is replaced too; readers don't see it.
     """
 
+    def __init__(self, spark: SparkSession, path: str, columns: str, key: str, buckets: int = 64):
+        self.spark, self.path, self.columns, self.key, self.buckets = spark, path.rstrip("/"), columns, key, buckets
+
+    @classmethod
+    def of_chunks(cls, spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+        return cls(spark, path, "chunk_id string, file string, start_line int, end_line int, content string, function_name string, chunk_type string", "file", buckets)
+
+    @classmethod
+    def of_vectors(cls, spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+        return cls(spark, path, "chunk_id string, embedding array<float>", "chunk_id", buckets)
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.columns}, index_id string, bucket int").parquet(self.path)
+
+    def _any(self) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def rows(self, index_id: str | None = None) -> DataFrame:
+        """The rows of an index, or of all with their index_id."""
+        if not self._any():
+            return self.spark.createDataFrame([], f"{self.columns}, index_id string")
+        found = self._read().where(F.col(self.key).isNotNull()).drop("bucket")
+        return found if index_id is None else found.where(F.col("index_id") == index_id)
+
+    def replace(self, index_id: str, keys: DataFrame, new: DataFrame) -> None:
+        """Take the rows of `keys` out of an index and put `new` ones in; columns that `new` lacks are null."""
+        schema = self.spark.createDataFrame([], self.columns).schema
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket")
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        fresh = new.where(F.col(self.key).isNotNull()).select(*columns).select("*", bucket)
+        named = keys.select(F.col(self.key).cast(schema[self.key].dataType).alias(self.key)).where(F.col(self.key).isNotNull()).distinct()
+        # As many numbers as there are buckets, at most.
+        touched = sorted({r[0] for df in (named.select(bucket), fresh.select("bucket")) for r in df.distinct().collect()})
+        if not touched:
+            return
+        marks = self.spark.createDataFrame([(b,) for b in touched], "bucket int").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema], "bucket")
+        after = fresh.unionByName(marks)
+        if self._any():
+            old = self._read().where((F.col("index_id") == index_id) & F.col("bucket").isin(touched)).where(F.col(self.key).isNotNull())
+            after = old.drop("index_id").join(named, self.key, "left_anti").unionByName(after)
+        done = cut(after.withColumn("index_id", F.lit(index_id)), "bucket-table")
+        done.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_id", "bucket").parquet(self.path)
+
+
+class Registry:
+    """Named indexes and their settings as a table, a row for each name."""
+
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark._jvm.org.apache.hadoop
-
-    def _fs(self, path: str):
-        where = self._jvm.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def _read(self, path: str) -> dict | None:
-        fs, where = self._fs(path)
-        if not fs.exists(where):
-            return None
-        source = fs.open(where)
-        try:
-            return json.loads(bytes(source.readAllBytes()).decode())
-        except ValueError:
-            return None
-        finally:
-            source.close()
-
-    def _write(self, path: str, value: dict) -> None:
-        fs, where = self._fs(path)
-        trial = self._jvm.fs.Path(f"{path}.{uuid.uuid4().hex}")
-        out = fs.create(trial, True)
-        out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
-        out.close()
-        self._replace(trial, where)
-
-    def _replace(self, trial, where) -> None:
-        """One step: there is no moment without a pointer."""
-        rename = getattr(self._jvm.fs, "Options$Rename")
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context = self._jvm.fs.FileContext.getFileContext(where.toUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(context.makeQualified(trial), context.makeQualified(where), options)
+        self.spark, self.table = spark, BucketTable(spark, path, "name string, settings string, live boolean", "name", 1)
+
+    def _latest(self) -> DataFrame:
+        return self.table.rows().where("live").select(F.col("name").alias("index_id"), "settings")
 
     def create(self, index_id: str, **settings) -> bool:
         """Register an index; False if it is there already, which then stays as it is."""
-        at = f"{self.path}/{index_id}/index.json"
-        if self._read(at) is not None:
+        if index_id in self.ids():
             return False
-        self._write(at, settings)
+        self._put(index_id, json.dumps(settings, sort_keys=True), True)
         return True
 
+    def _put(self, index_id: str, settings: str | None, live: bool) -> None:
+        row = self.spark.createDataFrame([(index_id, settings, live)], "name string, settings string, live boolean")
+        self.table.replace("registry", row.select("name"), row)
+
     def settings(self, index_id: str) -> dict | None:
-        return self._read(f"{self.path}/{index_id}/index.json")
+        found = self._latest().where(F.col("index_id") == index_id).first()
+        return json.loads(found.settings) if found else None
 
     def ids(self) -> list[str]:
-        fs, where = self._fs(self.path)
-        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-        return sorted(n for n in names if self.settings(n) is not None)
-
-    def drop(self, index_id: str) -> bool:
-        fs, where = self._fs(f"{self.path}/{index_id}")
-        return bool(fs.delete(where, True))
-
-    def save(self, index_id: str, table: str, df: DataFrame) -> None:
-        version = f"{self.path}/{index_id}/{table}/{uuid.uuid4().hex}"
-        df.write.parquet(version)
-        pointer = f"{self.path}/{index_id}/{table}.json"
-        old = self._read(pointer) or {}
-        self._write(pointer, {"at": version, "before": old.get("at")})
-        if old.get("before"):
-            fs, where = self._fs(old["before"])
-            fs.delete(where, True)
-
-    def load(self, index_id: str, table: str) -> DataFrame | None:
-        """The table as it was last saved; None if it never was."""
-        pointer = self._read(f"{self.path}/{index_id}/{table}.json")
-        return self.spark.read.parquet(pointer["at"]) if pointer else None
+        """Names are few: people give them."""
+        return sorted(r.index_id for r in self._latest().select("index_id").collect())
+
+    def drop(self, index_id: str, *tables: BucketTable) -> bool:
+        """Forget an index and empty its rows in `tables`."""
+        there = index_id in self.ids()
+        for t in tables:
+            own = t.rows(index_id)
+            t.replace(index_id, own.select(t.key), own.limit(0))
+        if there:
+            self._put(index_id, None, False)
+        return there
+
+
+def checked_vectors(vectors: DataFrame, dim: int) -> DataFrame:
+    """`vectors` (chunk_id, embedding); whatever writes or reads them fails at a row whose vector is null, of another length than `dim`, or not finite."""
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    said = F.concat(F.lit(f"an index of dimension {dim} takes no vector of "), F.when(F.col("embedding").isNull(), "null").otherwise(size.cast("string")), F.lit(" for "), F.coalesce(F.col("chunk_id").cast("string"), F.lit("null")))
+    return vectors.withColumn("embedding", F.when(fits(dim), F.col("embedding")).otherwise(F.raise_error(said)))
+
+
+def fits(dim: int) -> Column:
+    return F.coalesce(F.col("embedding").isNotNull() & (F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+
+
+def write_vectors(table: BucketTable, index_id: str, vectors: DataFrame, dim: int, *, capacity: int = 0, refused: str | None = None) -> None:
+    """Upsert `vectors` (chunk_id, embedding) into an index.
+
+    Without `refused` one unfit row fails the write, and nothing changes. With it unfit rows are written there as Parquet and the
+    others go in. More ids than `capacity` (0: no bound) fail the write before anything changes. Of rows with one id, that
+    with the greatest vector stays.
+    """
+    one = vectors.select(F.col("chunk_id").cast("string"), "embedding").groupBy("chunk_id").agg(F.max_by("embedding", F.coalesce("embedding", F.array().cast("array<float>")).cast("array<double>")).alias("embedding"))
+    if refused is None:
+        kept = cut(checked_vectors(one, dim), "vectors")
+    else:
+        one = cut(one, "vectors")
+        one.where(~fits(dim)).write.mode("append").parquet(refused)
+        kept = one.where(fits(dim))
+    if capacity:
+        held = table.rows(index_id).select("chunk_id").unionByName(kept.select("chunk_id")).distinct().count()
+        if held > capacity:
+            raise ValueError(f"index {index_id} would hold {held} vectors; its capacity is {capacity}")
+    table.replace(index_id, kept.select("chunk_id"), kept)
 
 
 def healthy(chunks: DataFrame) -> bool:

@@ -90,34 +90,64 @@ def test_graph_suffix_loops_and_hops(spark):
     assert graph.reached(graph.edges(table), starts, 0).count() == 0
 
 
-def test_store_versions(spark, tmp_path):
-    catalog = store.Catalog(spark, f"file://{tmp_path}/c")
-    assert catalog.create("x", root="/r") and not catalog.create("x") and catalog.ids() == ["x"]
-    assert catalog.load("x", "chunks") is None
-    catalog.save("x", "chunks", small(spark))
-    old = catalog.load("x", "chunks")
-    catalog.save("x", "chunks", store.without_files(old, ["src/ui.rs"]))
-    assert catalog.load("x", "chunks").count() == 3 and catalog.settings("x") == {"root": "/r"}
-    assert catalog.drop("x") and catalog.ids() == []
+def test_tables_replace_touched_buckets_alone(spark, tmp_path):
+    table = store.BucketTable.of_chunks(spark, f"file://{tmp_path}/chunks", buckets=8)
+    assert table.rows("x").count() == 0
+    table.replace("x", small(spark).select("file"), small(spark))
+    table.replace("y", small(spark).select("file"), small(spark).where("chunk_id = 'a'"))
+    written = {p: p.stat().st_mtime_ns for p in (tmp_path / "chunks").rglob("*.parquet")}
+    files = spark.createDataFrame([("src/ui.rs",), ("unknown.rs",)], "file string")
+    for _ in range(2):  # a repeated write changes nothing
+        table.replace("x", files, small(spark).limit(0))
+        assert sorted(r.chunk_id for r in table.rows("x").collect()) == ["a", "c", "d"] and [r.chunk_id for r in table.rows("y").collect()] == ["a"]
+    touched = {r[0] for r in files.select(F.pmod(F.xxhash64("file"), F.lit(8))).collect()}
+    gone = [p for p in written if not p.exists()]
+    assert gone and all("index_id=x" in str(p) and int(str(p.parent).rpartition("=")[2]) in touched for p in gone)
+    table.replace("x", files, small(spark).where("chunk_id = 'b'").withColumn("content", F.lit("again")))
+    assert table.rows("x").where("chunk_id = 'b'").first().content == "again" and table.rows().count() == 5
 
 
 def test_a_write_that_stops_half_way_loses_nothing(spark, tmp_path, monkeypatch):
-    catalog = store.Catalog(spark, f"file://{tmp_path}/c")
-    catalog.create("x")
-    catalog.save("x", "chunks", small(spark))
+    table = store.BucketTable.of_chunks(spark, f"file://{tmp_path}/chunks", buckets=2)
+    table.replace("x", small(spark).select("file"), small(spark))
 
     def stop(*_):
         raise OSError("the driver is lost")
 
     with monkeypatch.context() as m, pytest.raises(OSError):
-        m.setattr(catalog, "_replace", stop)
-        catalog.save("x", "chunks", small(spark).limit(1))
-    assert store.Catalog(spark, f"file://{tmp_path}/c").load("x", "chunks").count() == 4
-    for n in (1, 2, 3):
-        catalog.save("x", "chunks", small(spark).limit(n))
-    assert catalog.load("x", "chunks").count() == 3
-    # The version in use, the one before it, and that of the write which stopped.
-    assert len([p for p in (tmp_path / "c" / "x" / "chunks").iterdir()]) == 3
+        m.setattr(store, "cut", stop)
+        table.replace("x", small(spark).select("file"), small(spark).limit(0))
+    assert table.rows("x").count() == 4
+
+
+def test_registry(spark, tmp_path):
+    table = store.BucketTable.of_chunks(spark, f"file://{tmp_path}/chunks", buckets=2)
+    table.replace("x", small(spark).select("file"), small(spark))
+    names = store.Registry(spark, f"file://{tmp_path}/names")
+    assert names.ids() == [] and names.settings("x") is None
+    assert names.create("x", root="/r") and not names.create("x", root="/other") and names.create("y") and names.ids() == ["x", "y"]
+    assert store.Registry(spark, f"file://{tmp_path}/names").settings("x") == {"root": "/r"}
+    assert names.drop("x", table) and not names.drop("x", table) and names.ids() == ["y"] and table.rows("x").count() == 0
+    assert names.create("x", root="/new") and names.settings("x") == {"root": "/new"}
+
+
+def test_vectors_are_checked_when_they_are_written(spark, tmp_path):
+    table = store.BucketTable.of_vectors(spark, f"file://{tmp_path}/vectors", buckets=2)
+    good = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "chunk_id string, embedding array<float>")
+    store.write_vectors(table, "x", good, 2)
+    for bad in ([1.0], None, [1.0, float("nan")], [1.0, None], []):
+        unfit = spark.createDataFrame([("c", bad), ("d", [5.0, 5.0])], "chunk_id string, embedding array<float>")
+        assert store.unfit_vectors(unfit, 2).count() == 1
+        with pytest.raises(Exception, match="an index of dimension 2 takes no vector"):
+            store.write_vectors(table, "x", unfit, 2)
+    assert {r.chunk_id for r in table.rows("x").collect()} == {"a", "b"}
+    store.write_vectors(table, "x", unfit, 2, refused=f"{tmp_path}/refused")
+    assert {r.chunk_id for r in table.rows("x").collect()} == {"a", "b", "d"} and [r.chunk_id for r in spark.read.parquet(f"{tmp_path}/refused").collect()] == ["c"]
+    more = spark.createDataFrame([("a", [3.0, 3.0]), ("e", [4.0, 4.0])], "chunk_id string, embedding array<float>")
+    with pytest.raises(ValueError, match="would hold 4 vectors; its capacity is 3"):
+        store.write_vectors(table, "x", more, 2, capacity=3)
+    store.write_vectors(table, "x", more, 2, capacity=4)
+    assert {r.chunk_id: r.embedding for r in table.rows("x").collect()}["a"] == [3.0, 3.0] and table.rows("x").count() == 4
 
 
 def test_intents_follow_their_kinds_of_edges(spark):

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import concepts, store
+from lodestone.operators.inverted import LexicalIndex
 from lodestone.sources import chunks, declarations, files
 from lodestone.streaming import changes
 
@@ -100,16 +101,47 @@ def test_scan(spark, tmp_path):
 
 
 def test_stream_updates_index(spark, tmp_path):
-    catalog = store.Catalog(spark, f"file://{tmp_path}/index")
-    catalog.create("x")
-    events = spark.createDataFrame([("2024-01-01 00:00:00", "a.rs", "Modified", "one\n"), ("2024-01-01 00:00:01", "b.rs", "Modified", "two\n"), ("2024-01-01 00:00:02", "a.rs", "Modified", "three\n"), ("2024-01-01 00:00:03", "b.rs", "Removed", None)], "ts string, file string, op string, content string").withColumn("ts", F.to_timestamp("ts"))
-    events.where("ts < '2024-01-01 00:00:02'").coalesce(1).write.parquet(f"{tmp_path}/in/0")
-    stream = lambda: spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in/*")
-    changes.follow(stream(), catalog, "x", chunks.sliding, f"{tmp_path}/at").awaitTermination(60)
-    assert sorted(r.content for r in catalog.load("x", "chunks").collect()) == ["one", "two"]
-    events.where("ts >= '2024-01-01 00:00:02'").coalesce(1).write.parquet(f"{tmp_path}/in/1")
-    changes.follow(stream(), catalog, "x", chunks.sliding, f"{tmp_path}/at").awaitTermination(60)
-    assert [r.content for r in catalog.load("x", "chunks").collect()] == ["three"]
+    index = LexicalIndex.build(spark.createDataFrame([], "index_id string, file string, chunk_id string, content string"), f"file://{tmp_path}/index", buckets=2)
+    table = store.BucketTable.of_chunks(spark, f"file://{tmp_path}/chunks", buckets=2)
+    found = lambda: {(r.file, r.content) for r in table.rows("x").collect()}
+    words = lambda: {r.term: r.df for r in index.term_stats().collect()}
+
+    def come(name, *rows):
+        batch = spark.createDataFrame([(f"2024-01-01 00:00:{t}", f, op, c) for t, f, op, c in rows], "ts string, file string, op string, content string")
+        batch.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def run():
+        stream = spark.readStream.schema("ts timestamp, file string, op string, content string").parquet(f"{tmp_path}/in/*")
+        done = changes.follow(stream, index, "x", chunks.sliding, f"{tmp_path}/at", table=table)
+        done.awaitTermination(120)
+        assert done.exception() is None
+        return done
+
+    # The burst of a.rs goes on in the second batch, so nothing is known of it before.
+    come("0", ("00.7", "a.rs", "Modified", "one\n"), ("00.1", "b.rs", "Modified", "two\n"), ("00.9", "d.rs", "Modified", "five\n"), ("01.0", "a.rs", "Modified", "one half\n"))
+    run()
+    assert found() == {("b.rs", "two")} and words() == {"two": 1}
+    come("1", ("01.3", "a.rs", "Modified", "three\n"), ("03.0", "unknown.rs", "Removed", None), ("05.0", "b.rs", "Modified", "two\n"))
+    run()
+    assert found() == {("a.rs", "three"), ("b.rs", "two"), ("d.rs", "five")} and words() == {"two": 1, "three": 1, "five": 1}
+    before = index.segments()
+    run()  # a restart without news
+    assert index.segments() == before
+    come("2", ("08.0", "b.rs", "Removed", None), ("08.1", "target/x.rs", "Modified", "skipped"), ("20.0", "z.rs", "Modified", "late"))
+    done = run()
+    assert found() == {("a.rs", "three"), ("d.rs", "five")} and words() == {"three": 1, "five": 1}
+    # a.rs, d.rs and x.rs have a hash, z.rs an open burst; nothing is kept of b.rs and unknown.rs.
+    assert done.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
+
+
+def test_changes_without_effect_go(spark, tmp_path):
+    rows = [("a", "Modified", "x", 1), ("a", "Modified", "x", 2), ("a", "Modified", "y", 3), ("b", "Removed", None, 4), ("a", "Removed", None, 5), ("a", "Modified", "y", 6), ("c", "Modified", None, 7), ("e", "Modified", "end", 99)]
+    events = spark.createDataFrame(rows, "file string, op string, content string, s int").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    events.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    got = []
+    changes.known_changes(stream).writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination(60)
+    assert [(r.file, r.op, r.content) for r in sorted(got, key=lambda r: r.last_ts)] == [("a", "Modified", "x"), ("a", "Modified", "y"), ("a", "Removed", None), ("a", "Modified", "y")]
 
 
 def test_concepts(spark):
