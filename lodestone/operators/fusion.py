@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lodestone.functions.text import doc_demotion, normal_path
 
@@ -84,8 +85,11 @@ def diverse(candidates: DataFrame, balance: float = 0.5) -> DataFrame:
     return candidates.select("query_id", "chunk_id", "score", "embedding").groupBy("query_id").applyInPandas(reorder, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, rank int")
 
 
-def within_budget(results: DataFrame, budget: int) -> DataFrame:
-    """Results (query_id, rank, tokens) in order as long as they fit a token budget; what doesn't fit is passed over, the first always stays."""
+def within_budget(results: DataFrame, budget: int, *, flag: bool = False) -> DataFrame:
+    """Results (query_id, rank, tokens) in order as long as they fit a token budget; what doesn't fit is passed over, the first always stays.
+
+    With `flag` a column `truncated` tells whether something of the query was passed over.
+    """
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", kind="stable")
@@ -94,9 +98,10 @@ def within_budget(results: DataFrame, budget: int) -> DataFrame:
             fits = not kept or used + n <= budget
             kept.append(fits)
             used += n if fits else 0
-        return pdf[kept]
+        return (pdf.assign(truncated=not all(kept)) if flag else pdf)[kept]
 
-    return results.groupBy("query_id").applyInPandas(keep, results.schema)
+    schema = StructType(list(results.schema.fields) + [StructField("truncated", BooleanType())] * flag)
+    return results.groupBy("query_id").applyInPandas(keep, schema)
 
 
 def merged_overlaps(results: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.shared import cut, shared_path
+
 # How much of a seed's score a neighbour gets, by the kind of edge.
 MULTIPLIERS = {
     "CallsFunction": 0.70, "CalledByFunction": 0.70, "Implements": 0.85, "TypeContains": 0.80, "UsesType": 0.75, "Derives": 0.70,
@@ -66,19 +70,34 @@ def both_ways(edge: DataFrame) -> DataFrame:
     return edge.select("src", "dst", "kind").unionByName(edge.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind"))
 
 
-def reached(edge: DataFrame, starts: DataFrame, hops: int, *, backwards: bool = False, kinds: tuple[str, ...] = ("CallsFunction",)) -> DataFrame:
-    """(start, symbol, hop) of what `starts` (start) reach in at most `hops` steps, each once at its nearest, without themselves.
+def reached(edge: DataFrame, starts: DataFrame, hops: int | None = None, *, backwards: bool = False, both: bool = False, kinds: tuple[str, ...] = ("CallsFunction",)) -> DataFrame:
+    """(start, symbol, hop) of what `starts` (start) reach in at most `hops` steps (None: any number), each once at its nearest, without themselves.
+
+    A breadth-first search for all starts together: a hop joins what the last one found with the edges, less what was found
+    before, until nothing is new. Edges and each hop are written to the shared folder, a hop as a partition of one table, so
+    the plan of a hop and of the result stays as small as that of the first. `both` follows edges in either direction.
 
-    A breadth-first search for all starts together: each hop is one join of the frontier, less what was seen.
+    Null starts and ends reach nothing; repeated edges and starts count once; a start that no edge has reaches nothing.
     """
-    step = edge.where(F.col("kind").isin(*kinds)).select(F.col("dst" if backwards else "src").alias("_from"), F.col("src" if backwards else "dst").alias("_to")).distinct()
-    frontier = starts.select("start", F.col("start").alias("symbol")).distinct()
-    seen = frontier.withColumn("hop", F.lit(0))
-    for hop in range(1, hops + 1):
-        met = frontier.join(step, F.col("symbol") == F.col("_from")).select("start", F.col("_to").alias("symbol")).distinct()
-        frontier = met.join(seen.select("start", "symbol"), ["start", "symbol"], "left_anti")
-        seen = seen.unionByName(frontier.withColumn("hop", F.lit(hop)))
-    return seen.where("hop > 0")
+    spark = edge.sparkSession
+    ends = [("dst", "src")] if backwards else [("src", "dst")]
+    ends += [ends[0][::-1]] * both
+    steps = [edge.where(F.col("kind").isin(*kinds)).select(F.col(a).alias("_from"), F.col(b).alias("symbol")) for a, b in ends]
+    step = cut(reduce(DataFrame.unionByName, steps).where("_from is not null and symbol is not null and _from <> symbol").distinct(), "steps")
+    path = shared_path(spark, "reached")
+    first = starts.where("start is not null").select("start", F.col("start").alias("symbol")).distinct()
+    schema = f"start {first.schema['start'].dataType.simpleString()}, symbol {first.schema['symbol'].dataType.simpleString()}, hop int"
+    first.write.parquet(f"{path}/hop=0")
+    hop = 0
+    while hops is None or hop < hops:
+        seen = spark.read.schema(schema).parquet(path)
+        last = seen.where(F.col("hop") == hop).select("start", F.col("symbol").alias("_from"))
+        met = last.join(step, "_from").select("start", "symbol").distinct()
+        hop += 1
+        met.join(seen, ["start", "symbol"], "left_anti").write.parquet(f"{path}/hop={hop}")
+        if spark.read.schema("start string").parquet(f"{path}/hop={hop}").isEmpty():
+            break
+    return spark.read.schema(schema).parquet(path).where("hop > 0")
 
 
 def neighbours(edge: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

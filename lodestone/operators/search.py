@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import intent as intents
 from lodestone.functions.text import match_reason, snippet
 from lodestone.operators import fusion, graph, lexical, vectors
+from lodestone.operators.intervals import points_in_ranges
 from lodestone.operators.inverted import LexicalIndex
 from lodestone.operators.joins import broadcast_if_small
 
@@ -48,7 +49,7 @@ def exact_entities(queries: DataFrame, entities: DataFrame, chunks: DataFrame) -
     asked = queries.where(F.col("intent").isin("Definition", "Unknown")).select("query_id", F.trim("text").alias("_t")).where("_t <> '' and not contains(_t, ' ')")
     named = entities.where(F.col("entity_type").isin("NamedType", "ModulePath")).select(F.col("text").alias("_name"), "file", "line")
     lines = chunks.select("chunk_id", "file", "start_line", "end_line")
-    hit = named.join(broadcast_if_small(asked), F.lower("_name") == F.lower("_t")).join(lines, "file").where("line between start_line and end_line")
+    hit = points_in_ranges(named.join(broadcast_if_small(asked), F.lower("_name") == F.lower("_t")), lines, "file")
     return hit.groupBy("query_id").agg(F.min(F.struct("file", "line", "start_line", "chunk_id")).alias("at")).select("query_id", "at.chunk_id")
 
 
@@ -150,6 +151,11 @@ def page(chunks: DataFrame, offset: int = 0, limit: int = 100, most: int = 1000)
     return chunks.orderBy("file", "start_line", "end_line", "chunk_id").offset(max(0, offset)).limit(max(0, min(limit, most)))
 
 
+def counted_page(chunks: DataFrame, offset: int = 0, limit: int = 100, most: int = 1000) -> tuple[DataFrame, int]:
+    """A page and the number of all chunks."""
+    return page(chunks, offset, limit, most), chunks.count()
+
+
 def seed(chunks: DataFrame, file_end: str, name: str | None = None) -> DataFrame:
     """The first chunk of a file (by the end of its path) and function."""
     found = chunks.where(F.col("file").endswith(file_end))

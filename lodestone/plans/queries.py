@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import intent as intents
+from lodestone.functions import sql as sql_functions
 from lodestone.functions.text import code_tokens, doc_demotion, excluded, first_part_matches, fingerprint, snippet, token_estimate
 from lodestone.operators import concepts, fusion, graph, lexical, search, store, vectors
 from lodestone.operators.inverted import LexicalIndex
 from lodestone.operators.shared import shared_path
 from lodestone.plans import oracles as o
-from lodestone.plans.tables import benchmark_queries, document_chunks, document_index, document_vectors, symbol_chunks, table
+from lodestone.plans.tables import benchmark_queries, document_chunks, document_index, document_vectors, kept_symbols, symbol_chunks, symbol_graph, table
 from lodestone.sources import chunks as chunkers
 from lodestone.sources.declarations import virtual_terms
 from lodestone.sources.files import in_skipped_folder, language, skipped_path
@@ -308,16 +309,33 @@ def module_contains(spark, sf_dir):
 
 @query(f"with {o.SYMBOLS} select distinct dst as start, src as symbol, 1 as hop from edges where kind = 'CallsFunction'")
 def callers_one_hop(spark, sf_dir):
-    chunk = symbol_chunks(spark, sf_dir)
-    return graph.reached(graph.edges(chunk), graph.nodes(chunk).select(F.col("symbol").alias("start")), 1, backwards=True)
+    node, edge = symbol_graph(spark, sf_dir)
+    return graph.reached(edge, node.select(F.col("symbol").alias("start")), 1, backwards=True)
 
 
 @query(f"""with {o.SYMBOLS}, one as (select distinct src as start, dst as symbol from edges where kind = 'CallsFunction'),
 two as (select distinct a.start, b.symbol from one a join one b on a.symbol = b.start where b.symbol <> a.start)
 select start, symbol, 1 as hop from one union all select start, symbol, 2 from (select * from two except select * from one)""")
 def callees_two_hops(spark, sf_dir):
-    chunk = symbol_chunks(spark, sf_dir)
-    return graph.reached(graph.edges(chunk), graph.nodes(chunk).select(F.col("symbol").alias("start")), 2)
+    node, edge = symbol_graph(spark, sf_dir)
+    return graph.reached(edge, node.select(F.col("symbol").alias("start")), 2)
+
+
+@query(f"""with recursive {o.SYMBOLS}, step as (select distinct src, dst from edges where kind = 'CallsFunction'),
+walk(start, symbol, hop) as (select src, dst, 1 from step union select w.start, s.dst, w.hop + 1 from walk w join step s on s.src = w.symbol where w.hop < 4)
+select start, symbol, min(hop)::int as hop from walk where symbol <> start group by all""")
+def callees_four_hops(spark, sf_dir):
+    node, edge = symbol_graph(spark, sf_dir)
+    return graph.reached(edge, node.select(F.col("symbol").alias("start")), 4)
+
+
+@query(f"""with recursive {o.SYMBOLS}, one as (select src, dst from edges where kind in ('CallsFunction', 'Implements')), step as (select src, dst from one union select dst, src from one),
+starts as (select symbol as start from nodes where symbol like 'mod::%')
+select distinct start, a.dst as symbol, 1 as hop from starts join step a on a.src = start where a.dst <> start""")
+def neighbours_of_suppliers(spark, sf_dir):
+    node, edge = symbol_graph(spark, sf_dir)
+    starts = node.where(F.col("symbol").startswith("mod::")).select(F.col("symbol").alias("start"))
+    return graph.reached(edge, starts, 1, both=True, kinds=("CallsFunction", "Implements"))
 
 
 @query(f"""with {o.SYMBOLS}, seeds as (select l_partkey % 50 as query_id, 'part:' || l_partkey as chunk_id, max(l_quantity) as score from lineitem group by l_partkey),
@@ -328,7 +346,7 @@ def graph_expansion(spark, sf_dir):
     chunk = symbol_chunks(spark, sf_dir)
     item = table(spark, sf_dir, "lineitem")
     seeds = item.groupBy("l_partkey").agg(F.max("l_quantity").alias("score")).select((F.col("l_partkey") % 50).alias("query_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("chunk_id"), "score")
-    found = graph.expanded(seeds, chunk.select("chunk_id", F.col("function_name").alias("symbol")), graph.nodes(chunk), graph.edges(chunk))
+    found = graph.expanded(seeds, chunk.select("chunk_id", F.col("function_name").alias("symbol")), *symbol_graph(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -339,6 +357,38 @@ def graph_export(spark, sf_dir):
     return links.select("src", "dst", "kind", "weight")
 
 
+_ASKED_SYMBOLS = "select n_nationkey::bigint as query_id, case n_nationkey % 3 when 0 then 'callers of s' || n_nationkey when 1 then 'p' || n_nationkey else 'function p' || n_nationkey end as text from nation"
+
+
+@query(f"""with {o.SYMBOLS}, texts as (select chunk_id, file, start_line, name, kind || ' ' || name || ' ' || array_to_string(calls, ' ') as content from symbol_chunks),
+intents as (select *, {o.intent('text')} as intent from ({_ASKED_SYMBOLS})), posted as (select chunk_id, {o.tokens('content')} as ts from texts),
+postings as (select chunk_id, len(ts) as dl, unnest(ts) as term from posted), stats as (select count(*) as n, avg(len(ts)) as avgdl from posted),
+asked as (select query_id, unnest({o.tokens('text')}) as term from intents), df as (select term, count(*) as df from postings group by term),
+scored as (select query_id, chunk_id, sum(ln((n - df.df + 0.5) / (df.df + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1)))) as score from asked join postings using (term) join df using (term) cross join stats group by all),
+plain as (select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from scored qualify rank <= 40),
+hit as (select query_id, arg_min(chunk_id, (t.file, t.start_line, t.chunk_id)) as chunk_id from intents i join texts t on lower(t.name) = lower(trim(i.text)) where intent in ('Definition', 'Unknown') and not contains(trim(i.text), ' ') group by query_id),
+lane as (
+  select query_id, chunk_id, 1 as rank from hit union all
+  select p.query_id, p.chunk_id, row_number() over (partition by p.query_id order by p.rank) + (h.chunk_id is not null)::int from plain p left join hit h on h.query_id = p.query_id where h.chunk_id is null or h.chunk_id <> p.chunk_id
+),
+fused as (select query_id, chunk_id, case intent when 'Definition' then 0.7 when 'Usage' then 0.5 when 'Conceptual' then 0.2 when 'BugDebt' then 0.9 else 0.4 end::double / (60 + rank) as score, intent from lane join intents using (query_id)),
+first as (select * from fused qualify row_number() over (partition by query_id order by round(score, 12) desc, chunk_id) <= 10), seeds as (select * from first where intent = 'Usage'),
+ways as (select src, dst from edges where kind = 'CallsFunction' union select dst, src from edges where kind = 'CallsFunction'),
+near as (select s.query_id, n.chunk_id, max(s.score * 0.7) as score from seeds s join texts t using (chunk_id) join ways w on w.src = t.name join nodes n on n.symbol = w.dst where (s.query_id, n.chunk_id) not in (select (query_id, chunk_id) from seeds) group by all),
+final as (select query_id, chunk_id, score, 'bm25' as match_reason from first union all select query_id, chunk_id, score, 'hybrid+kg' from near)
+select query_id, chunk_id, round(score, 9) as score, row_number() over (partition by query_id order by round(score, 12) desc, chunk_id)::int as rank, match_reason from final qualify rank <= 10""")
+def graph_search(spark, sf_dir):
+    """Lexical lane, entities, intents and the symbol graph together."""
+    symbols = kept_symbols(spark, sf_dir)
+    chunk = symbols.withColumns({"content": F.concat_ws(" ", "chunk_type", "function_name", F.array_join("calls", " ")), "end_line": F.col("start_line")})
+    entities = symbols.select(F.lit("NamedType").alias("entity_type"), F.col("function_name").alias("text"), "file", F.col("start_line").alias("line"))
+    key = F.col("n_nationkey").cast("string")
+    text = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("callers of s"), key)).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("p"), key)).otherwise(F.concat(F.lit("function p"), key))
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), text.alias("text"))
+    found = search.search(search.Index(chunk, None, entities, *symbol_graph(spark, sf_dir)), asked, top=10)
+    return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank", "match_reason")
+
+
 # Chunkers
 
 _FILES = "files as (select source || '/' || doc_id || '.txt' as file, text as content from documents)"
@@ -403,9 +453,10 @@ def compact_snippet(spark, sf_dir):
     return document_chunks(spark, sf_dir).select("chunk_id", F.sha2(snippet(F.col("content")), 256).alias("snippet_sha256"))
 
 
-@query(f"with {o.CHUNKS} select chunk_id, file from chunks order by file, start_line, end_line, chunk_id limit 100 offset 50")
+@query(f"with {o.CHUNKS} select chunk_id, file, (select count(*) from chunks) as total from chunks order by file, start_line, end_line, chunk_id limit 100 offset 50")
 def enumerate_page(spark, sf_dir):
-    return search.page(document_chunks(spark, sf_dir), 50, 100).select("chunk_id", "file")
+    rows, total = search.counted_page(document_chunks(spark, sf_dir), 50, 100)
+    return rows.select("chunk_id", "file", F.lit(total).cast("long").alias("total"))
 
 
 @query(f"with {o.CHUNKS} select chunk_id, file from chunks where file like '%7.rs' order by start_line, file, chunk_id limit 1")
@@ -422,6 +473,35 @@ def virtual_terms_in_chunks(spark, sf_dir):
     return found.select("chunk_id", F.size("virtual_terms").cast("long").alias("n_terms"), F.array_join("virtual_terms", ",").alias("terms"))
 
 
+# The same by SQL
+
+
+@query(SQL["tokenize_code"])
+def sql_code_tokenize(spark, sf_dir):
+    sql_functions.register(spark)
+    return spark.sql("select doc_id, size(ts) as n_tokens, sha2(array_join(ts, ' '), 256) as tokens_sha256 from (select doc_id, code_tokenize(text) as ts from {docs})", docs=table(spark, sf_dir, "documents"))
+
+
+@query(f"select conv_id, turn, {o.intent('text')} as intent from conversations")
+def sql_query_intent(spark, sf_dir):
+    sql_functions.register(spark)
+    return spark.sql("select conv_id, turn, query_intent(text) as intent from {turns}", turns=table(spark, sf_dir, "conversations"))
+
+
+@query(f"select c.vec_id as chunk_id, round({o.COSINE.format('s.embedding', 'c.embedding')}, 6) as score from embeddings s cross join embeddings c where s.vec_id = 3")
+def sql_cosine(spark, sf_dir):
+    sql_functions.register(spark)
+    held = table(spark, sf_dir, "embeddings")
+    seed = [float(x) for x in held.where("vec_id = 3").first().embedding]
+    return spark.sql("select vec_id as chunk_id, round(cosine_sim(embedding, :seed), 6) as score from {held}", {"seed": F.array(*map(F.lit, seed))}, held=held)
+
+
+@query(_sliding(10, 4))
+def sql_lateral_chunks(spark, sf_dir):
+    sql_functions.register(spark)
+    return _digest(spark.sql("select f.file, c.* from {files} f, lateral chunk_lines(f.file, f.content, 10, 4) c", files=_files(spark, sf_dir)))
+
+
 # Maintenance
 
 
@@ -496,11 +576,12 @@ walk as (
   select query_id, rank, chunk_id, tokens, tokens as used, true as kept from items where rank = 1
   union all select i.query_id, i.rank, i.chunk_id, i.tokens, w.used + case when w.used + i.tokens <= 1500 then i.tokens else 0 end, w.used + i.tokens <= 1500
   from walk w join items i on i.query_id = w.query_id and i.rank = w.rank + 1
-) select query_id, rank::int as rank, chunk_id, tokens from walk where kept""")
+), flagged as (select *, bool_or(not kept) over (partition by query_id) as truncated from walk)
+select query_id, rank::int as rank, chunk_id, tokens, truncated from flagged where kept""")
 def token_budget(spark, sf_dir):
     chunk = document_chunks(spark, sf_dir)
     found = document_index(spark, sf_dir).top(_asked(spark, LITERAL), 20).join(chunk.select("chunk_id", "file", "content"), "chunk_id")
-    return fusion.within_budget(found.select("query_id", "rank", "chunk_id", token_estimate(F.col("file"), F.col("content")).alias("tokens")), 1500)
+    return fusion.within_budget(found.select("query_id", "rank", "chunk_id", token_estimate(F.col("file"), F.col("content")).alias("tokens")), 1500, flag=True)
 
 
 @query(f"""with {o.bm25(_values(LITERAL))}, {o.CHUNKS} select query_id, sha256(string_agg('### ' || file || ':' || start_line || '-' || end_line || chr(10) || content, chr(10) || chr(10) order by rank)) as context_sha256

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import lines
+from lodestone.operators import graph
 from lodestone.operators.inverted import LexicalIndex
-from lodestone.operators.shared import shared_path
+from lodestone.operators.shared import cut, shared_path
+
+T = TypeVar("T")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,19 +28,40 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("index_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), end).alias("file"), F.lit(1).alias("start_line"), F.size(lines(F.col("text"))).alias("end_line"), F.col("text").alias("content"), F.lit(None).cast("string").alias("function_name"))
 
 
-_kept: dict[tuple[str, str], tuple[tuple, LexicalIndex]] = {}
+_kept: dict[tuple[str, str, str], tuple] = {}
 
 
-def document_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    """The lexical index of the document chunks. It is built once in a session, and anew only if a file of the table has changed."""
-    source = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    state = tuple(sorted(tuple(map(str, r)) for r in source.collect()))
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _once(spark: SparkSession, sf_dir: str, what: str, names: tuple[str, ...], make: Callable[[], T]) -> T:
+    """What `make` writes from some tables: once in a session, and anew only if a file of theirs has changed."""
+    files = [table(spark, sf_dir, n).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for n in names]
+    state = tuple(sorted(tuple(map(str, r)) for r in reduce(DataFrame.unionByName, files).collect()))
+    key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _kept or _kept[key][0] != state:
-        _kept[key] = state, LexicalIndex.build(document_chunks(spark, sf_dir), shared_path(spark, "documents-index"))
+        _kept[key] = state, make()
     return _kept[key][1]
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The lexical index of the document chunks."""
+    return _once(spark, sf_dir, "index", ("documents",), lambda: LexicalIndex.build(document_chunks(spark, sf_dir), shared_path(spark, "documents-index")))
+
+
+def kept_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written symbol chunks."""
+    return _once(spark, sf_dir, "symbols", ("lineitem", "part", "supplier"), lambda: cut(symbol_chunks(spark, sf_dir), "symbol-chunks"))
+
+
+def symbol_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The written nodes and edges of the symbol chunks."""
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        chunk = kept_symbols(spark, sf_dir)
+        node = cut(graph.nodes(chunk), "symbol-nodes")
+        return node, cut(graph.edges(chunk, node), "symbol-edges")
+
+    return _once(spark, sf_dir, "graph", ("lineitem", "part", "supplier"), make)
+
+
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import backtick_refs, doc_comment, keywords, lines
+from lodestone.operators.intervals import points_in_ranges
 from lodestone.sources.chunks import _finished, _or_whole
 from lodestone.sources.files import language
 
@@ -144,7 +145,7 @@ def entities(files: DataFrame) -> DataFrame:
 
 def virtual_terms(chunks: DataFrame, entity: DataFrame) -> DataFrame:
     """`chunks` with the distinct names of the entities inside their lines, by line and name."""
-    inside = chunks.select("chunk_id", "file", "start_line", "end_line").join(entity.select("file", "line", "text"), "file").where("line between start_line and end_line")
+    inside = points_in_ranges(entity.select("file", "line", "text"), chunks.select("chunk_id", "file", "start_line", "end_line"), "file")
     named = inside.groupBy("chunk_id", "text").agg(F.min("line").alias("line")).groupBy("chunk_id")
     terms = named.agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x.text).alias("virtual_terms"))
     return chunks.join(terms, "chunk_id", "left").withColumn("virtual_terms", F.coalesce("virtual_terms", F.array().cast("array<string>")))

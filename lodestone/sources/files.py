@@ -77,10 +77,15 @@ def minified(path: Column, content: Column) -> Column:
 def scan(spark: SparkSession, roots: Sequence[str], *, index_id: str = "default", extensions: Sequence[str] = (), exclude: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Files below the roots, each once, as (index_id, file, content, content_sha256, n_bytes); and those that are no UTF-8.
 
-    What is skipped by its path or size is filtered on the listing, before contents are read.
+    Roots that lie in other ones are not listed again, so no file comes twice and nothing has to be compared. Extensions are
+    looked at while listing and sizes before reading; files in skipped folders are dropped after it. A file's name is relative to
+    the nearest of its roots.
     """
     wanted = [e.lower().lstrip(".") for e in extensions] or list(SOURCE_EXTENSIONS)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots)).dropDuplicates(["path"])
+    glob = "*.{" + ",".join(sorted({"".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in wanted})) + "}"
+    plain_roots = {r.rstrip("/"): r for r in roots}
+    outer = [r for k, r in plain_roots.items() if not any(k.startswith(f"{o}/") for o in plain_roots)]
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(outer).where(F.col("length") <= MOST_BYTES)
     bases = sorted({r.rstrip("/").removeprefix("file://") for r in roots}, key=len, reverse=True)
     plain = F.regexp_replace("path", "^file:/*", "/")
     relative = F
@@ -125,22 +130,6 @@ def project_root(start: str, markers: Sequence[str] = ("Cargo.toml", "package.js
     return here
 
 
-def summary(files: DataFrame, most: int = 3000, readme: int = 2000) -> DataFrame:
-    """(index_id, summary): what README, agent notes and manifests say about each index, in that order, joined by blank lines."""
-    name = F.lower(basename(F.col("file")))
-    top = ~F.col("file").contains("/")
-    described = F.regexp_extract("content", r'(?m)^\s*"?description"?\s*[:=]\s*["\']?([^"\'\n]+)', 1)
-    part = (
-        F.when(name.rlike(r"^readme(\.|\z)"), F.struct(F.lit(0).alias("at"), F.substring("content", 1, readme).alias("text")))
-        .when(name.isin("agents.md", "claude.md"), F.struct(F.lit(1).alias("at"), F.col("content").alias("text")))
-        .when(name.isin("cargo.toml", "package.json", "pyproject.toml"), F.struct(F.lit(2).alias("at"), described.alias("text")))
-        .when(name == "go.mod", F.struct(F.lit(3).alias("at"), F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("text")))
-    )
-    found = files.where(top).select("index_id", "file", part.alias("p")).where("p is not null and trim(p.text) <> ''")
-    ordered = found.groupBy("index_id").agg(F.array_sort(F.collect_list(F.struct("p.at", "file", "p.text"))).alias("parts"))
-    return ordered.select("index_id", F.substring(F.array_join(F.transform("parts", lambda p: F.trim(p.text)), "\n\n"), 1, most).alias("summary"))
-
-
 def entity_references(refs: DataFrame) -> DataFrame:
     """Occurrences (symbol, file, start_line, is_definition) of an external index as entities."""
     kind = F.when(F.col("is_definition"), "NamedType").otherwise("ModulePath")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import fusion, graph, lexical, search, store, vectors
+from lodestone.operators import fusion, graph, intervals, lexical, search, store, vectors
 
 CHUNK = "chunk_id string, index_id string, file string, start_line int, end_line int, content string, function_name string, chunk_type string, calls array<string>, inherits_from array<string>"
 
@@ -90,6 +90,51 @@ def test_graph_suffix_loops_and_hops(spark):
     assert graph.reached(graph.edges(table), starts, 0).count() == 0
 
 
+def test_reach_of_any_depth(spark):
+    links = [(f"n{i}", f"n{i + 1}") for i in range(25)] + [("n3", "n20"), ("n25", "n0"), ("n5", "n5"), ("n1", None), (None, "n2"), ("n0", "n1")]
+    edge = spark.createDataFrame([(a, b, "CallsFunction") for a, b in links] + [("n0", "other", "Implements")], "src string, dst string, kind string")
+    starts = spark.createDataFrame([("n0",), ("n0",), ("n24",), ("absent",), (None,)], "start string")
+    plain = {}
+    for s in ("n0", "n24"):
+        seen, front, hop = {s: 0}, [s], 0
+        while front:
+            hop += 1
+            front = sorted({b for a, b in links if a in front and b and b not in seen})
+            seen |= dict.fromkeys(front, hop)
+        plain |= {(s, k): v for k, v in seen.items() if v}
+    found = graph.reached(edge, starts)
+    assert {(r.start, r.symbol): r.hop for r in found.collect()} == plain and found.count() == len(plain)
+    assert {(r.start, r.symbol): r.hop for r in graph.reached(edge, starts, 4).collect()} == {k: v for k, v in plain.items() if v <= 4}
+    # One scan, however many hops.
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    around = {(r.start, r.symbol) for r in graph.reached(edge, starts.where("start = 'n24'"), 1, both=True).collect()}
+    assert around == {("n24", "n23"), ("n24", "n25")}
+    assert {r.symbol for r in graph.reached(edge, starts, 1, kinds=("Implements",)).collect()} == {"other"}
+
+
+def test_points_meet_their_ranges_alone(spark):
+    import random
+
+    rng = random.Random(4)
+    spans = [(f"f{i % 3}", i, s, s + rng.choice((0, 1, 2, 7, 8, 9, 100, 4000))) for i in range(300) for s in [rng.randrange(1, 5000)]]
+    spots = [(f"f{i % 4}", rng.randrange(0, 6000)) for i in range(500)] + [("f0", None), (None, 5)]
+    ranges = spark.createDataFrame([*spans, ("f0", 900, 9, 8), ("f0", 901, None, 8), (None, 902, 1, 8)], "file string, id int, start_line int, end_line int")
+    points = spark.createDataFrame(spots, "file string, line int")
+    got = sorted((r.file, r.line, r.id) for r in intervals.points_in_ranges(points, ranges, "file").collect())
+    assert got == sorted((f, p, i) for f, p in spots for g, i, s, e in spans if f == g and p is not None and s <= p <= e)
+    assert intervals.points_in_ranges(points, ranges.limit(0), "file").count() == 0
+
+
+def test_a_file_of_many_lines_makes_few_pairs(spark):
+    ranges = spark.range(0, 100_000, 5).select(F.lit("f").alias("file"), F.col("id"), F.col("id").alias("start_line"), (F.col("id") + 9).alias("end_line"))
+    points = spark.range(0, 100_000).select(F.lit("f").alias("file"), F.col("id").alias("line"))
+    found = intervals.points_in_ranges(points, ranges, "file")
+    assert found.count() == 199_995
+    found.write.format("noop").mode("overwrite").save()
+    near = points.withColumn("b", F.floor(F.col("line") / 16)).join(ranges.withColumn("b", F.explode(F.array_distinct(F.array(F.floor(F.col("start_line") / 16), F.floor(F.col("end_line") / 16))))), ["file", "b"]).count()
+    assert near < 4 * 199_995  # what is compared, of two billion pairs
+
+
 def test_tables_replace_touched_buckets_alone(spark, tmp_path):
     table = store.BucketTable.of_chunks(spark, f"file://{tmp_path}/chunks", buckets=8)
     assert table.rows("x").count() == 0

@@ -1,8 +1,10 @@
+import re
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import concepts, store
 from lodestone.operators.inverted import LexicalIndex
-from lodestone.sources import chunks, declarations, files
+from lodestone.sources import chunks, declarations, files, manifests
 from lodestone.streaming import changes
 
 
@@ -95,9 +97,35 @@ def test_scan(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(data)
     root = f"file://{tmp_path}/root"
-    good, bad = files.scan(spark, [root, root], exclude=["nothing*"])
+    good, bad = files.scan(spark, [root, f"{root}/", root], exclude=["nothing*"])
     assert sorted(r.file for r in good.collect()) == ["README.md", "src/a.rs"] and [r.file for r in bad.collect()] == ["bad.py"]
-    assert files.summary(good).first().summary == "# hi"
+    assert manifests.summary(good).first().summary == "README: # hi"
+    nested, _ = files.scan(spark, [root, f"{root}/src"], extensions=["RS"])
+    assert [r.file for r in nested.collect()] == ["a.rs"]
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and re.search(r"PushedFilters: \[[^\]]*LessThanOrEqual\(length,1048576\)", plan)
+
+
+def test_manifests_by_section(spark):
+    rows = {
+        "Cargo.toml": ('[workspace]\nname = "not this"\n[ package ] # here\nname = "crate \\"x\\""\nversion = "1"\n  description = \'It # does\'  # no\n[dependencies]\ndescription = "nor this"\n', 'Cargo: crate "x" — It # does'),
+        "package.json": ('{"name": "pkg", "description": 5, "keywords": ["a", 1, "b", null], "scripts": {"name": "x"}}', "package.json: pkg — a, b"),
+        "pyproject.toml": ('[tool.poetry]\nname = "old"\n[project]\ndescription = """new one"""\n[[tool.x]]\nname = "y"\n', "pyproject: new one"),
+        "go.mod": ("// x\nmodule \n  module example.com/m  \ngo 1.2\n", "go.mod: example.com/m"),
+        "lodestone.yaml": ('a: 1\n  description: "\'Words\'" \n', "settings: Words"),
+        "CLAUDE.md": ("  notes \n", "CLAUDE.md: notes"),
+        "AGENTS.md": ("more", "AGENTS.md: more"),
+        "README.md": ("\n# T\n" + "é" * 3000, "README: # T\n" + "é" * 1996),
+    }
+    order = ["README.md", "CLAUDE.md", "AGENTS.md", "Cargo.toml", "package.json", "pyproject.toml", "go.mod", "lodestone.yaml"]
+    files_ = [("all", k, v) for k, (v, _) in rows.items()] + [("each" + k, k, v) for k, (v, _) in rows.items()]
+    files_ += [("poetry", "pyproject.toml", '[tool.poetry]\nname = "p"\ndescription="d"'), ("dotted", "pyproject.toml", 'project.name = "dots"\n'), ("bare", "pyproject.toml", '[project]\nversion="1"\n[tool.poetry]\nname="unseen"'), ("bad", "package.json", "{"), ("deep", "sub/README.md", "x"), ("none", "README.md", None), ("empty", "Cargo.toml", ""), ("blank", "README.md", " \n ")]
+    got = {r.index_id: r for r in manifests.summary(spark.createDataFrame(files_, "index_id string, file string, content string")).collect()}
+    assert {k: got["each" + k].summary for k in rows} == {k: v for k, (_, v) in rows.items()}
+    whole = "\n\n".join(rows[k][1] for k in order)
+    assert got["all"].summary == whole[:3000] and got["all"].display == whole[:500]
+    assert got["poetry"].summary == "pyproject: p — d" and got["dotted"].summary == "pyproject: dots"
+    assert {"bare", "bad", "deep", "none", "empty", "blank"}.isdisjoint(got)
 
 
 def test_stream_updates_index(spark, tmp_path):
