@@ -15,6 +15,7 @@ from lodestone.operators import fusion, graph, lexical, vectors
 from lodestone.operators.intervals import points_in_ranges
 from lodestone.operators.inverted import LexicalIndex
 from lodestone.operators.joins import broadcast_if_small
+from lodestone.operators.shared import cut
 
 #: Candidates that a lane hands to fusion, for each wanted result.
 OVERSAMPLE = 4
@@ -57,7 +58,7 @@ def search(index: Index, queries: DataFrame, *, top: int = 10, expand: bool = Tr
     """The best chunks of every query (query_id, text, and embedding if there is a vector lane), by rank.
 
     Every stage works on all queries at once. Results carry the chunk's columns without its vector, which are
-    joined last, when only `top` rows for each query are left.
+    joined last, when only `top` rows for each query are left. Lanes are written to the shared folder, as they are used several times.
     """
     asked = queries.withColumn("intent", intents.domain_intent(F.col("text"), index.domain_terms))
     asked = asked.withColumns({"w": intents.weights(F.col("intent"))}).select("*", "w.*").drop("w")
@@ -65,11 +66,14 @@ def search(index: Index, queries: DataFrame, *, top: int = 10, expand: bool = Tr
     lexical_lane = lexical.ranked(index.lexical_scores(asked), deep).select("query_id", "chunk_id", "rank")
     if index.entities is not None:
         lexical_lane = fusion.promoted(lexical_lane, exact_entities(asked, index.entities, index.chunks))
-    weights = asked.select("query_id", "alpha", "beta", "use_graph", "intent")
+    # What is used more than once is written: a lane has `deep` rows for each query at most.
+    lexical_lane = cut(lexical_lane, "lexical-lane")
+    weights = cut(asked.select("query_id", "alpha", "beta", "use_graph", "intent"), "intents")
     lanes = [fusion.lane(lexical_lane.join(weights, "query_id"), F.col("beta"))]
     vector_lane = None
     if index.vectors is not None:
         vector_lane = vectors.cosine_top(index.vectors, asked.where("embedding is not null"), deep).select("query_id", "chunk_id", "rank")
+        vector_lane = cut(vector_lane, "vector-lane")
         lanes.append(fusion.lane(vector_lane.join(weights, "query_id"), F.col("alpha")))
     results = fusion.fused(lanes, top).select("query_id", "chunk_id", "score")
     if diversify and index.vectors is not None:
@@ -77,9 +81,11 @@ def search(index: Index, queries: DataFrame, *, top: int = 10, expand: bool = Tr
         results = fusion.diverse(with_vectors).select("query_id", "chunk_id", (1.0 / F.col("rank")).alias("score"))
     near = None
     if expand and index.edges is not None:
+        results = cut(results, "fused")
         seeds = results.join(weights.where("use_graph"), "query_id").select("query_id", "chunk_id", "score", "intent")
         symbols = index.chunks.where("function_name <> ''").select("chunk_id", F.col("function_name").alias("symbol"))
         near = graph.expanded(seeds, symbols, index.nodes, index.edges)
+        near = cut(near, "near")
         results = results.unionByName(near)
     files = results.join(index.chunks.select("chunk_id", "file"), "chunk_id", "left")
     files = files.join(weights.select("query_id", "intent"), "query_id")

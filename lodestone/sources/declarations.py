@@ -1,9 +1,8 @@
-"""Declaration chunks and entities by patterns over lines.
+"""Declaration chunks and entities by patterns over lines of code.
 
-No grammars are used: a table of patterns finds the lines that declare something, and a declaration reaches to
-the last line before the next one that is indented no deeper. Names, calls, bases and entities are extracted by
-patterns from the chunk. That is an approximation of a parse, which stays inside Spark's functions; a parser can
-take its place by writing the same columns.
+No grammars are used: a table of patterns finds the lines that declare something, and `scopes` finds where each ends and what
+it is in. Names, calls, bases and entities are extracted by patterns, from code without its comments and strings. That is an
+approximation of a parse, which stays inside Spark's functions; a parser can take its place by writing the same columns.
 """
 
 from __future__ import annotations
@@ -13,13 +12,14 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import backtick_refs, doc_comment, keywords, lines
 from lodestone.operators.intervals import points_in_ranges
+from lodestone.sources import scopes
 from lodestone.sources.chunks import _finished, _or_whole
 from lodestone.sources.files import language
 
 _MODIFIERS = r"(?:(?:pub(?:\([^)]*\))?|export|default|public|private|protected|internal|static|final|abstract|async|unsafe|const|override|virtual|open|sealed|data|inline|extern|case|implicit|partial|readonly|suspend|fileprivate|mutating)\s+)*"
 #: Per language: the type of chunk and the pattern of the line that declares it, with its name.
 PATTERNS: dict[str, tuple[tuple[str, str], ...]] = {
-    "rust": (("Function", r"fn\s+(\w+)"), ("Class", r"struct\s+(\w+)"), ("Trait", r"trait\s+(\w+)"), ("Enum", r"enum\s+(\w+)"), ("Module", r"mod\s+(\w+)\s*\{"), ("Impl", r"impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(\w+)")),
+    "rust": (("Function", r"fn\s+(\w+)"), ("Class", r"struct\s+(\w+)"), ("Trait", r"trait\s+(\w+)"), ("Enum", r"enum\s+(\w+)"), ("Module", r"mod\s+(\w+)\s*\{"), ("Impl", r"impl(?:<[^>]*>)?\s+(?:[\w:<>, '&]+\s+for\s+)?(\w+)")),
     "python": (("Function", r"def\s+(\w+)"), ("Class", r"class\s+(\w+)")),
     "javascript": (("Function", r"function\s*\*?\s+(\w+)"), ("Class", r"class\s+(\w+)"), ("Method", r"(?!if|for|while|switch|catch|return|function|else|do|try)(?:get\s+|set\s+)?(\w+)\s*\([^)]*\)\s*\{")),
     "go": (("Method", r"func\s+\([^)]*\)\s*(\w+)"), ("Function", r"func\s+(\w+)"), ("Class", r"type\s+(\w+)")),
@@ -67,30 +67,28 @@ def declarations(files: DataFrame) -> DataFrame:
     Comments and attributes right above a declaration belong to it: the one before ends above them, and doc keywords are
     taken from them.
     """
-    rows = files.select("file", language(F.col("file")).alias("language"), lines(F.col("content")).alias("rows"))
-    line = rows.select("file", "language", F.posexplode("rows").alias("at", "line")).withColumn("at", F.col("at") + 1)
-    heads = line.withColumn("d", _declared(F.col("language"), F.col("line"))).where("d is not null")
-    heads = heads.select("file", "language", "at", F.length(F.regexp_extract("line", r"^\s*", 0)).alias("indent"), "d.kind", "d.name", "line")
-    # The end of a declaration: before the next head that is not deeper. Heads of a file are few against its lines.
-    spans = heads.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "indent", "kind", "name"))).alias("heads"))
-    bare = F.filter(F.transform("rows", lambda x, i: F.when(~_leads(F.col("language"), x), i + 1)), lambda i: i.isNotNull())
-    joined = heads.join(spans, "file").join(rows.select("file", "rows", bare.alias("bare")), "file")
-    after = F.filter("heads", lambda h: (h["at"] > F.col("at")) & (h.indent <= F.col("indent")))
-    around = F.filter("heads", lambda h: (h["at"] < F.col("at")) & (h.indent < F.col("indent")) & ~F.exists(F.col("heads"), lambda o: (o["at"] > h["at"]) & (o["at"] < F.col("at")) & (o.indent <= h.indent)))
-    joined = joined.withColumns({"end": F.when(F.size(after) > 0, _after_bare(F.element_at(after, 1)["at"]) - 1).otherwise(F.size("rows")), "around": around})
+    tongue = F.col("language")
+    rows = files.select("file", language(F.col("file")).alias("language"), "content").where("content is not null")
+    rows = rows.select("file", "language", lines(F.col("content")).alias("rows"), lines(scopes.masked(tongue, F.col("content"))).alias("code"))
+    line = rows.select("file", "language", F.posexplode("code").alias("at", "line")).withColumn("at", F.col("at") + 1)
+    # What is known of each line is worked out in a projection; the fold over a file's lines only compares numbers.
+    known = line.select("file", "language", F.struct("at", _declared(tongue, F.col("line")).alias("d"), *[c.alias(n) for n, c in scopes.facts(F.col("line")).items()]).alias("x"))
+    known = known.select("file", "language", F.struct("x.at", "x.d.kind", "x.d.name", *[f"x.{n}" for n in scopes.facts(F.lit(""))]).alias("x"))
+    folded = known.groupBy("file", "language").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    folded = folded.select("file", F.explode(scopes.spans(tongue, F.col("xs"), _TYPES)).alias("d")).select("file", "d.*")
+    bare = F.filter(F.transform("rows", lambda x, i: F.when(~_leads(tongue, x), i + 1)), lambda i: i.isNotNull())
+    joined = folded.join(rows.select("file", "language", "rows", "code", bare.alias("bare")), "file").withColumn("end", F.least("end", F.size("rows")))
     top = _after_bare(F.col("at"))
     joined = joined.withColumn("doc", doc_comment(F.array_join(F.slice("rows", top, F.col("at") - top), "\n")))
-    owner = F.element_at(F.filter("around", lambda h: h.kind.isin(*_TYPES)), -1)
-    owner = F.when(F.size(F.filter("around", lambda h: h.kind.isin(*_TYPES))) > 0, owner)
-    in_function = F.exists("around", lambda h: h.kind.isin("Function", "Method"))
-    kind = F.when((F.col("kind") == "Function") & owner.isNotNull(), "Method").otherwise(F.col("kind"))
-    name = F.when((kind == "Method") & F.col("language").isin(*QUALIFIED) & owner.isNotNull(), F.concat_ws("::", owner["name"], "name")).otherwise(F.col("name"))
-    body = F.regexp_replace(F.array_join(F.slice("rows", F.col("at"), F.col("end") - F.col("at") + 1), "\n"), r"\s+\z", "")
-    last = F.col("at") + F.size(F.split(body, "\n")) - 1
-    found = joined.where(~in_function).select("file", F.col("at").alias("start_line"), last.alias("end_line"), body.alias("content"), name.alias("function_name"), kind.alias("chunk_type"), "doc")
-    done = _or_whole(_finished(found, "doc"), files)
+    kind = F.when((F.col("kind") == "Function") & F.col("owned"), "Method").otherwise(F.col("kind"))
+    name = F.when((kind == "Method") & tongue.isin(*QUALIFIED) & F.col("owned"), F.concat_ws("::", "owner", "name")).otherwise(F.col("name"))
+    size = F.col("end") - F.col("at") + 1
+    body, code = (F.array_join(F.slice(c, F.col("at"), size), "\n") for c in ("rows", "code"))
+    found = joined.select("file", F.col("at").alias("start_line"), F.col("end").alias("end_line"), body.alias("content"), name.alias("function_name"), kind.alias("chunk_type"), "doc", code.alias("code"), F.col("level").alias("chunk_depth"))
+    done = _or_whole(_finished(found, "doc", "code", "chunk_depth"), files)
     doc = F.coalesce("doc", F.lit(""))
-    return done.withColumns({"language": language(F.col("file")), "calls": calls(F.col("content"), F.col("function_name")), "inherits_from": bases(language(F.col("file")), F.col("content")), "nlp_keywords": keywords(doc), "nlp_code_refs": backtick_refs(doc)}).drop("doc")
+    plain = F.coalesce("code", scopes.masked(language(F.col("file")), F.col("content")))
+    return done.withColumns({"language": language(F.col("file")), "calls": calls(plain, F.col("function_name")), "inherits_from": bases(language(F.col("file")), plain), "nlp_keywords": keywords(doc), "nlp_code_refs": backtick_refs(doc), "chunk_depth": F.coalesce("chunk_depth", F.lit(0))}).drop("doc", "code")
 
 
 def calls(content: Column, own: Column) -> Column:
@@ -130,10 +128,12 @@ _WITH_ENTITIES = ("rust", "python", "javascript", "typescript", "go", "java", "c
 
 
 def entities(files: DataFrame) -> DataFrame:
-    """(entity_id, entity_type, text, file, line) of each distinct entity of a line."""
-    rows = files.select("file", language(F.col("file")).alias("language"), F.posexplode(lines(F.col("content"))).alias("at", "line")).where(F.col("language").isin(*_WITH_ENTITIES))
+    """(entity_id, entity_type, text, file, line) of each distinct entity of a line; only literals are sought in strings and comments."""
+    rows = files.select("file", language(F.col("file")).alias("language"), "content").where(F.col("language").isin(*_WITH_ENTITIES))
+    plain, code = (rows.select("file", "language", F.posexplode(lines(text)).alias("at", "line")) for text in (F.col("content"), scopes.masked(F.col("language"), F.col("content"))))
     found = None
     for kind, tongues, pattern in ENTITIES:
+        rows = plain if kind == "LiteralString" else code
         own = rows.where(F.col("language").isin(*tongues)) if tongues else rows
         part = own.select(F.lit(kind).alias("entity_type"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)))).alias("text"), "file", (F.col("at") + 1).alias("line"))
         found = part if found is None else found.unionByName(part)

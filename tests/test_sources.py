@@ -66,13 +66,121 @@ def test_declarations(spark):
 def test_comments_and_attributes_belong_to_what_follows(spark):
     rust = "fn a() {\n    // inside\n    go();\n}\n\n/// Makes a Widget from `Bar`\n#[inline]\nfn b() {}\n// loose\n\nfn c() {}\n"
     rows = {r.function_name: r for r in declarations.declarations(table(spark, a__rs=rust)).collect()}
-    assert [(n, rows[n].start_line, rows[n].end_line) for n in "abc"] == [("a", 1, 4), ("b", 8, 9), ("c", 11, 11)]
+    assert [(n, rows[n].start_line, rows[n].end_line) for n in "abc"] == [("a", 1, 4), ("b", 8, 8), ("c", 11, 11)]
     assert rows["b"].nlp_keywords == ["Bar", "Makes", "Widget"] and rows["b"].nlp_code_refs == ["Bar"]
     assert rows["a"].nlp_keywords == [] and rows["c"].nlp_keywords == []
     python = "@first\ndef a():\n    return 1\n\n# on b\n@second\ndef b():\n    return 2\n"
     assert shape(declarations.declarations(table(spark, m__py=python))) == [(2, 3, "a"), (7, 8, "b")]
     java = "class A {\n    /** Makes one. */\n    @Override\n    public int one() {\n        return 1;\n    }\n    // two\n    public int two() {\n        return 2;\n    }\n}\n"
-    assert {(r.function_name, r.start_line, r.end_line) for r in declarations.declarations(table(spark, m__java=java)).collect()} == {("A", 1, 11), ("one", 4, 6), ("two", 8, 11)}
+    assert {(r.function_name, r.start_line, r.end_line) for r in declarations.declarations(table(spark, m__java=java)).collect()} == {("A", 1, 11), ("one", 4, 6), ("two", 8, 10)}
+
+
+def found_in(spark, **contents):
+    rows = declarations.declarations(table(spark, **contents)).collect()
+    return {(r.function_name, r.chunk_type, r.start_line, r.end_line, r.chunk_depth) for r in rows}
+
+
+SCOPES_RUST = """mod deep {
+    // fn no() {
+    const S: &str = "fn neither() { {";
+    const R: &str = r#"} } fn raw() {"#;
+    pub trait Shape<'a> {
+        fn area(&self) -> f64;
+        fn twice(&self) -> f64 {
+            let c = '{'; /* } */
+            fn inner() {}
+            self.area() * 2.0
+        }
+    }
+    pub struct Point {
+        x: u8,
+    }
+    struct Unit;
+    impl<'a> Shape<'a> for Point
+    where
+        Point: Sized,
+    {
+        fn area(
+            &self,
+        ) -> f64 {
+            if true {
+                1.0
+            } else {
+                sum(&self.x)
+            }
+        }
+    }
+}
+fn last() {
+    run("call()");
+}
+"""
+
+
+def test_scopes_in_languages_with_braces(spark):
+    assert found_in(spark, a__rs=SCOPES_RUST) == {
+        ("deep", "Module", 1, 31, 0), ("Shape", "Trait", 5, 12, 1), ("Shape::area", "Method", 6, 6, 2), ("Shape::twice", "Method", 7, 11, 2), ("Point", "Class", 13, 15, 1),
+        ("Unit", "Class", 16, 16, 1), ("Point", "Impl", 17, 30, 1), ("Point::area", "Method", 21, 29, 2), ("last", "Function", 32, 34, 0),
+    }
+    calls = {(r.function_name, r.start_line): r.calls for r in declarations.declarations(table(spark, a__rs=SCOPES_RUST)).collect()}
+    assert calls["Point::area", 21] == ["sum"] and calls["last", 32] == ["run"]
+    script = "class A {\n  go(a = {}) {\n    const t = `}\n} ${x}\n`;\n    if (a) {\n      b();\n    }\n  }\n\n  stop() { return '}'; }\n}\nfunction one() {}\nfunction two()\n{\n  one();\n}\n"
+    assert found_in(spark, a__js=script) == {("A", "Class", 1, 12, 0), ("go", "Method", 2, 9, 1), ("stop", "Method", 11, 11, 1), ("one", "Function", 13, 13, 0), ("two", "Function", 14, 17, 0)}
+    kotlin = "class Foo {\n    fun bar() { baz(); this.qux() }\n    fun sum(a: Int) = a + 1\n    val x = 2\n}\ninterface Bare\nobject Singleton {\n    fun run() { other() }\n}\n"
+    assert found_in(spark, a__kt=kotlin) == {("Foo", "Class", 1, 5, 0), ("bar", "Method", 2, 2, 1), ("sum", "Method", 3, 3, 1), ("Bare", "Trait", 6, 6, 0), ("Singleton", "Class", 7, 9, 0), ("run", "Method", 8, 8, 1)}
+    sharp = 'namespace MyApp\n{\n    class Foo\n    {\n        public void Bar()\n        {\n            Baz(); this.Qux("}");\n        }\n    }\n    interface IThing { void Do(); }\n}\n'
+    assert found_in(spark, a__cs=sharp) >= {("MyApp", "Module", 1, 11, 0), ("Foo", "Class", 3, 9, 1), ("Bar", "Method", 5, 8, 2), ("IThing", "Trait", 10, 10, 1)}
+
+
+SCOPES_PYTHON = """class A(
+    B,
+):
+    '''Doc
+not indented: def no():
+    '''
+
+    def run(
+        self,
+    ):
+        x = '''
+def neither():
+'''
+        # deeper
+        def inner():
+            pass
+        return x
+
+    # on two
+    def two(self): return 2
+
+
+def top():
+    return [
+1,
+    ]
+# the end
+"""
+
+
+def test_scopes_by_indentation(spark):
+    for python in (SCOPES_PYTHON, SCOPES_PYTHON.replace("'''", '"""')):
+        assert found_in(spark, m__py=python) == {("A", "Class", 1, 20, 0), ("run", "Method", 8, 17, 1), ("two", "Method", 20, 20, 1), ("top", "Function", 23, 26, 0)}
+    ruby = "module M\n  class A\n    def self.go\n      run # end\n    end\n\n    def x; 1; end\n  end\nend\ndef top\nend\n"
+    assert found_in(spark, m__rb=ruby) == {("M", "Module", 1, 9, 0), ("A", "Class", 2, 8, 1), ("go", "Method", 3, 5, 2), ("x", "Method", 7, 7, 2), ("top", "Function", 10, 11, 0)}
+
+
+def test_scopes_of_broken_and_long_files(spark):
+    broken = found_in(spark, a__rs='fn a() {\n  "open string {\n}\n', b__rs="}}}\nfn b() {}\n", c__rs="", d__rs="fn c(\n", e__py="def f(:\n  x\n", f__rs=None)
+    assert broken == {("a", "Function", 1, 3, 0), ("b", "Function", 2, 2, 0), ("c", "Function", 1, 1, 0), ("f", "Function", 1, 2, 0)}
+    long = "".join(f'fn f{i}() {{\n    g("{"x" * 50}");\n}}\n' for i in range(3000))
+    rows = declarations.declarations(table(spark, a__rs=long)).select("start_line", "end_line").collect()
+    assert sorted((r.start_line, r.end_line) for r in rows) == [(3 * i + 1, 3 * i + 3) for i in range(3000)]
+
+
+def test_entities_are_not_in_comments_and_strings(spark):
+    rust = 'use a::b; // use x::y Widget\n/* Gadget\n c::d */\nlet s: Real = "Fake in::side a long text";\n'
+    found = {(r.entity_type, r.text, r.line) for r in declarations.entities(table(spark, a__rs=rust)).collect()}
+    assert found == {("ModulePath", "a::b", 1), ("ExternalCrate", "a", 1), ("NamedType", "Real", 4), ("LiteralString", "Fake in::side a long text", 4)}
 
 
 def test_entities_and_virtual_terms(spark):
