@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from lodestone.functions import intent as intents
 from lodestone.functions import sql as sql_functions
 from lodestone.functions.text import code_tokens, doc_demotion, excluded, first_part_matches, fingerprint, snippet, token_estimate
-from lodestone.operators import concepts, fusion, graph, lexical, search, store, vectors
+from lodestone.operators import cells, concepts, fusion, graph, lexical, search, store, vectors
 from lodestone.operators.inverted import LexicalIndex
 from lodestone.operators.shared import shared_path
 from lodestone.plans import oracles as o
-from lodestone.plans.tables import benchmark_queries, document_chunks, document_index, document_vectors, kept_symbols, symbol_chunks, symbol_graph, table
+from lodestone.plans.tables import benchmark_queries, document_chunks, document_index, document_vectors, kept_symbols, symbol_chunks, symbol_graph, table, vector_cells
 from lodestone.sources import chunks as chunkers
 from lodestone.sources.declarations import virtual_terms
 from lodestone.sources.files import in_skipped_folder, language, skipped_path
@@ -122,6 +122,39 @@ def vector_similar_to_seed(spark, sf_dir):
     return vectors.similar_to(document_vectors(spark, sf_dir), 7, 10).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"with {o.VECTORS} select query_id, chunk_id, round(score, 6) as score, rank::int as rank from vectors where rank <= 10")
+def vector_cells_exact(spark, sf_dir):
+    """The same rows as vector_topk, from the cells that can hold them."""
+    index = vector_cells(spark, sf_dir)
+    return index.top(benchmark_queries(spark, sf_dir), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def vector_cells_recall(spark, sf_dir):
+    """What a probe of a part of the cells finds of the exact best rows."""
+    asked, index = benchmark_queries(spark, sf_dir), vector_cells(spark, sf_dir)
+    probe = index.top(asked, 10, probe=max(1, len(index.cells) // 2))
+    return cells.recall(probe, vectors.cosine_top(document_vectors(spark, sf_dir), asked.where("embedding is not null"), 10)).select("query_id", "hits", "wanted", "recall")
+
+
+_GROUPS = "points as (select label, vec_id, embedding::double[] as e from embeddings), sized as (select label, greatest(1, least(20, count(*) // 2)) as k from points group by label)"
+
+
+def _round(centres: str, out: str) -> str:
+    """CTEs of one round of k-means: assignment to `centres`, and the means as `out`."""
+    squared = "list_sum(list_transform(list_zip(p.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"""{out}_near as (select p.label, p.vec_id, p.e, arg_min(c.cluster, (round({squared}, 12), c.cluster)) as cluster from points p join {centres} c using (label) group by p.label, p.vec_id, p.e),
+{out} as (select label, cluster, list(x order by i) as e from (select label, cluster, i, avg(x) as x from (select label, cluster, unnest(e) as x, generate_subscripts(e, 1) as i from {out}_near) group by all) group by all)"""
+
+
+@query(f"""with {_GROUPS}, m0 as (select label, (row_number() over (partition by label order by vec_id) - 1)::int as cluster, e from points join sized using (label) qualify cluster < k),
+{_round('m0', 'm1')}, {_round('m1', 'm2')}, {_round('m2', 'm3')} select label, vec_id, cluster::int as cluster from m3_near""")
+def concept_clusters_grouped(spark, sf_dir):
+    """Clusters of all groups of vectors together, after two rounds."""
+    found = concepts.grouped_kmeans(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", id="vec_id", most_rounds=2, tolerance=0.0)
+    return found.select("label", "vec_id", F.col("cluster").cast("int").alias("cluster"))
+
+
 # Fusion and search
 
 _LANES = f"{o.bm25('select item_id as query_id, text from benchmark')}, {o.VECTORS}"

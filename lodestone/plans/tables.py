@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import lines
 from lodestone.operators import graph
+from lodestone.operators.cells import VectorCells
 from lodestone.operators.inverted import LexicalIndex
 from lodestone.operators.shared import cut, shared_path
 
@@ -46,6 +47,11 @@ def document_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
     return _once(spark, sf_dir, "index", ("documents",), lambda: LexicalIndex.build(document_chunks(spark, sf_dir), shared_path(spark, "documents-index")))
 
 
+def vector_cells(spark: SparkSession, sf_dir: str) -> VectorCells:
+    """The vectors of the documents, in cells."""
+    return _once(spark, sf_dir, "cells", ("embeddings",), lambda: VectorCells.build(document_vectors(spark, sf_dir), shared_path(spark, "vector-cells"), cells=32))
+
+
 def kept_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written symbol chunks."""
     return _once(spark, sf_dir, "symbols", ("lineitem", "part", "supplier"), lambda: cut(symbol_chunks(spark, sf_dir), "symbol-chunks"))

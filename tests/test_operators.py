@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import fusion, graph, intervals, lexical, search, store, vectors
+from lodestone.operators import cells, fusion, graph, intervals, lexical, search, store, vectors
 
 CHUNK = "chunk_id string, index_id string, file string, start_line int, end_line int, content string, function_name string, chunk_type string, calls array<string>, inherits_from array<string>"
 
@@ -90,6 +90,30 @@ def test_graph_suffix_loops_and_hops(spark):
     assert graph.reached(graph.edges(table), starts, 0).count() == 0
 
 
+def test_cells_are_pruned_exact_and_near(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    middles = rng.normal(size=(12, 8))
+    points = [(i, [float(x) for x in middles[i % 12] + rng.normal(0, 0.2, 8)]) for i in range(900)] + [(2000, None), (2001, [0.0] * 8), (2002, [1.0]), (3, [1.0] * 8)]
+    rows = spark.createDataFrame(points, "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, points[7 * i][1]) for i in range(40)] + [(98, [1.0]), (99, None)], "query_id long, embedding array<double>")
+    index = cells.VectorCells.build(rows, f"{tmp_path}/cells", cells=12)
+    show = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    wanted = vectors.cosine_top(rows.where("chunk_id < 1000"), asked.where("query_id < 90"), 10)
+    assert show(index.top(asked, 10)) == show(wanted)
+    assert show(cells.VectorCells(spark, f"{tmp_path}/cells").top(asked, 10)) == show(wanted)
+    few = index.top(asked, 10, probe=2)
+    got = cells.recall(few, wanted).agg(F.avg("recall"), F.count("*")).first()
+    assert got[0] >= 0.9 and got[1] == 40
+    one = index.top(asked.where("query_id = 0"), 10, probe=2)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan and "cell#" in plan
+    read = index.rows([0, 1]).select(F.input_file_name()).distinct().collect()
+    assert read and all("/cell=0/" in r[0] or "/cell=1/" in r[0] for r in read)
+    assert cells.VectorCells.build(rows.limit(0), f"{tmp_path}/none").top(asked, 5).count() == 0
+
+
 def test_reach_of_any_depth(spark):
     links = [(f"n{i}", f"n{i + 1}") for i in range(25)] + [("n3", "n20"), ("n25", "n0"), ("n5", "n5"), ("n1", None), (None, "n2"), ("n0", "n1")]
     edge = spark.createDataFrame([(a, b, "CallsFunction") for a, b in links] + [("n0", "other", "Implements")], "src string, dst string, kind string")

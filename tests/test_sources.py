@@ -282,6 +282,28 @@ def test_changes_without_effect_go(spark, tmp_path):
 
 def test_concepts(spark):
     vocabulary = spark.createDataFrame([("east", 0, [1.0, 0.0]), ("north", 1, [0.0, 1.0])], "word string, at int, embedding array<double>")
-    points = spark.createDataFrame([([1.0, 0.1],), ([1.0, 0.0],), ([0.0, 1.0],), ([0.1, 1.0],)], "embedding array<double>")
-    assert {r.text for r in concepts.clusters(points, vocabulary, "f").collect()} == {"east", "north"}
-    assert concepts.clusters(points.limit(3), vocabulary, "f").count() == 0
+    near = [[1.0, 0.1], [1.0, 0.0], [0.0, 1.0], [0.1, 1.0]]
+    rows = [("f", str(i), v) for i, v in enumerate(near)] + [("g", str(i), v) for i, v in enumerate(near[:2] * 3)] + [("h", str(i), v) for i, v in enumerate(near[:3])] + [("h", "9", None), (None, "1", near[0])]
+    found = concepts.clusters(spark.createDataFrame(rows, "file string, chunk_id string, embedding array<double>"), vocabulary)
+    assert {(r.file, r.text, r.entity_id, r.entity_type) for r in found.collect()} == {(f, t, f"{f}:cluster:{t}", "ConceptCluster") for f, t in (("f", "east"), ("f", "north"), ("g", "east"))}
+
+
+def test_grouped_kmeans_is_lloyds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {g: np.concatenate([rng.normal(c, 0.3, (n, 3)) for c in (0, 4, 9)]) for g, n in (("a", 9), ("b", 20), ("c", 1))}
+    rows = [(g, i, [float(x) for x in v]) for g, vs in groups.items() for i, v in enumerate(vs)]
+    found = concepts.grouped_kmeans(spark.createDataFrame(rows, "file string, chunk_id int, embedding array<double>"), "file").collect()
+    for g, vs in groups.items():
+        centres = vs[: max(1, min(20, len(vs) // 2))].copy()
+        for _ in range(50):
+            near = ((vs[:, None] - centres[None]) ** 2).sum(axis=2).round(12).argmin(axis=1)
+            now = np.array([vs[near == c].mean(axis=0) if (near == c).any() else np.full(3, np.inf) for c in range(len(centres))])
+            done = np.nanmax(np.abs(np.where(np.isinf(now), 0, now - centres))) < 1e-9
+            centres = now
+            if done:
+                break
+        got = {r.chunk_id: r for r in found if r.file == g}
+        assert [got[i].cluster for i in range(len(vs))] == near.tolist()
+        assert all(np.allclose(got[i].centre, centres[near[i]]) for i in range(len(vs)))
