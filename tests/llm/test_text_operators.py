@@ -128,6 +128,38 @@ def test_syncmers_are_those_of_the_definition():
         assert (to[inside] - 2).tolist() == at.tolist() and g[inside].tolist() == h.tolist()
 
 
+def plain_likeness(one, other):
+    """By all syncmers of both texts, as pairs of the k-mer's own characters and its first place."""
+    places = [{t[i : i + syncmers.K]: i for i in reversed(brute_syncmers(t, syncmers.K, syncmers.S))} for t in (one, other)]
+    both = sorted((i, -places[1][g]) for g, i in places[0].items() if g in places[1])
+    ends = []  # the longest rising chain, by patience
+    for _, to in both:
+        at = next((n for n, e in enumerate(ends) if e >= -to), len(ends))
+        ends[at : at + 1] = [-to]
+    return 2 * len(ends) / (len(places[0]) + len(places[1]))
+
+
+def test_likeness_is_that_of_all_anchors():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij éß") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    off = []
+    for n in (30, 100, 300, 600, 1200, 2500, 4000):
+        for part in (0.0, 0.1, 0.5, 0.9):
+            one, two = make(n), make(n)
+            cut = int(part * len(one))
+            two = two[: len(two) // 3] + one[:cut] + two[len(two) // 3 :] if part < 0.5 else one[:cut] + two[cut:]
+            off.append(abs(syncmers.likeness(syncmers.fingerprint(one), syncmers.fingerprint(two)) - plain_likeness(one, two)))
+            assert off[-1] < 1e-9 or n > 300  # short texts keep all anchors
+            assert abs(syncmers.likeness(syncmers.fingerprint(one, share=1.0), syncmers.fingerprint(two, share=1.0)) - plain_likeness(one, two)) < 1e-9
+    assert np.mean(off) < 0.01 and max(off) < 0.05
+    # A passage of a twentieth of another text always shows.
+    for _ in range(40):
+        other, passage = make(1500), make(75)
+        mixed = other[:4000] + passage + other[4000:]
+        assert syncmers.likeness(syncmers.fingerprint(passage + make(1400)), syncmers.fingerprint(mixed)) > 0.01
+
+
 def test_syncmers_of_edge_rows(edge, empty):
     rows = [r for r in syncmers.compare_with_edits(edge).collect()]
     source = sorted({(r.doc_id if r.doc_id is not None else -1, r.text or "") for r in edge.collect()})
