@@ -18,6 +18,7 @@ import html
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?/][^>]*+>""", re.DOTALL)
+_OPENS = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)|<[!?/]")
+#: Attributes up to the end of a tag, where ">" within quotes is none.
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_MARKS = re.compile(r"""[>"']""")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 # Fixed values of HTML: elements whose content is no markup or is not shown, elements without an end tag, elements that part blocks.
@@ -44,31 +48,137 @@ _LENGTHS = (1, 2, 4, 8, 15, 30, 60)
 
 
 class Frame:
-    """An open element: its tag and the features that it and those above it give to blocks."""
+    """An open element: its tag, and what it adds to the features that those above it give to blocks."""
 
-    __slots__ = ("features", "hidden", "key", "link", "tag")
+    __slots__ = ("above", "fresh", "hidden", "key", "link", "tag")
 
-    def __init__(self, tag: str, key: tuple, above: Frame | None):
-        self.tag, self.key = tag, key
+    def __init__(self, tag: str, key: tuple, above: Frame | None, active: set[str]):
+        self.tag, self.key, self.above = tag, key, above
         own = [f"anc={tag}", *[f"cls={w}" for w in key[1]]]
-        self.features = tuple(dict.fromkeys([*above.features, *own])) if above else tuple(own)
+        self.fresh = tuple(dict.fromkeys(f for f in own if f not in active))
         self.hidden = tag in _HIDDEN or bool(above and above.hidden)
         self.link = tag == "a" or bool(above and above.link)
 
+    @property
+    def features(self) -> list[str]:
+        found, at = [], self
+        while at is not None:
+            found.append(at.fresh)
+            at = at.above
+        return [f for fresh in reversed(found) for f in fresh]
+
+
+class Stack:
+    """The open elements, with the places of each tag among them: no search goes through elements that it doesn't close."""
+
+    def __init__(self):
+        self.frames: list[Frame] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.blocks: list[int] = []
+        self.active: set[str] = set()
+        self.push(Frame("root", ("root", ()), None, self.active))
+
+    @property
+    def top(self) -> Frame:
+        return self.frames[-1]
+
+    def push(self, frame: Frame) -> None:
+        at = len(self.frames)
+        self.frames.append(frame)
+        self.places.setdefault(frame.tag, []).append(at)
+        if frame.tag in _SCOPE:
+            self.scopes.append(at)
+        if frame.tag in _BLOCK:
+            self.blocks.append(at)
+        self.active.update(frame.fresh)
+
+    def cut(self, to: int) -> None:
+        """Close all from a place on."""
+        while len(self.frames) > to:
+            frame = self.frames.pop()
+            self.places[frame.tag].pop()
+            for kept in (self.scopes, self.blocks):
+                if kept and kept[-1] == len(self.frames):
+                    kept.pop()
+            self.active.difference_update(frame.fresh)
+
+    def close(self, tag: str, through_scopes: bool) -> None:
+        """Close the innermost open `tag`, unless there is none or a scope stands before it."""
+        at = (self.places.get(tag) or [0])[-1]
+        if at and (through_scopes or not self.scopes or self.scopes[-1] <= at):
+            self.cut(at)
+
+    def near(self) -> str:
+        """The tag of the innermost block element."""
+        return self.frames[self.blocks[-1]].tag if self.blocks else "root"
+
+
+def _ends(page: str) -> tuple[list[int], list[int]]:
+    """Places of quotes and ">", and for each the first ">" outside of quotes from there on (-1: none), in one pass from the end."""
+    marks = [(m.start(), m[0]) for m in _MARKS.finditer(page)]
+    out, later = [-1] * (len(marks) + 1), {}
+    for i in range(len(marks) - 1, -1, -1):
+        at, mark = marks[i]
+        if mark == ">":
+            out[i] = at
+        else:
+            if mark in later:
+                out[i] = out[later[mark] + 1]
+            later[mark] = i
+    return [at for at, _ in marks], out
+
+
+class Tags:
+    """The tags and comments of a page in order: (start, end, closing, name, attributes); name is empty for what is no element."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.known = page, page.rfind(">"), None
+
+    def at(self, pos: int) -> tuple[int, int, bool, str, str] | None:
+        page = self.page
+        while True:
+            # After the last ">" only a comment can begin, which the end of the page ends.
+            m = _OPENS.search(page, pos) if pos <= self.last else None
+            start = m.start() if m else page.find("<!--", pos)
+            if start < 0:
+                return None
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), False, "", ""
+            pos = m.end()
+            if pos > self.last:
+                continue
+            end = self._end(pos) if m[2] else -1
+            if end < 0:
+                end = page.find(">", pos)
+            return start, end + 1, bool(m[1]), m[2] or "", page[pos:end] if m[2] else ""
+
+    def _end(self, pos: int) -> int:
+        """The ">" that ends a tag whose name ends at `pos`, or -1."""
+        if self.known is None:
+            m = _REST.match(self.page, pos)
+            if m:
+                return m.end() - 1
+            self.known = _ends(self.page)  # an odd page: from now on by a table, as each failure would read to its end
+        places, out = self.known
+        return out[bisect_left(places, pos)]
+
+
+def _raw_end(page: str, tag: str, pos: int) -> tuple[int, int]:
+    """Where the content of an element without markup ends, and where its end tag does."""
+    m = re.compile(rf"</{tag}\b", re.IGNORECASE).search(page, pos)
+    end = page.find(">", m.end()) if m else -1
+    return (m.start(), end + 1) if end >= 0 else (len(page), len(page))
+
 
 def blocks(page: str) -> list[tuple[str, Frame, str, float]]:
     """(text, frame of the innermost element, tag of the nearest block element, share of link characters) of each leaf block."""
     found: list[tuple[str, Frame, str, float]] = []
-    root = Frame("root", ("root", ()), None)
-    stack, made = [root], {}
+    stack, made, tags = Stack(), {}, Tags(page)
     parts: list[str] = []
     linked = size = 0
-    first, pos, n = root, 0, len(page)
-
-    def near() -> str:
-        return next((f.tag for f in reversed(stack) if f.tag in _BLOCK), "root")
-
-    block = "root"
+    first, block, pos, n = stack.top, "root", 0, len(page)
 
     def flush() -> None:
         nonlocal linked, size
@@ -80,20 +190,20 @@ def blocks(page: str) -> list[tuple[str, Frame, str, float]]:
         linked = size = 0
 
     def leave_head() -> None:
-        while stack[-1].tag == "head":
-            stack.pop()
+        while stack.top.tag == "head":
+            stack.cut(len(stack.frames) - 1)
 
     def shown(text: str) -> None:
         nonlocal linked, size, first, block
-        if stack[-1].tag == "head" and html.unescape(text).strip(" \t\n\r\f"):
+        if stack.top.tag == "head" and html.unescape(text).strip(" \t\n\r\f"):
             leave_head()
-        top = stack[-1]
+        top = stack.top
         if not text or top.hidden:
             return
         if "&" in text:
             text = html.unescape(text)
         if not size and not text.isspace():
-            first, block = top, near()
+            first, block = top, stack.near()
         parts.append(text)
         k = len(text.strip())
         size += k
@@ -101,57 +211,46 @@ def blocks(page: str) -> list[tuple[str, Frame, str, float]]:
             linked += k
 
     while pos < n:
-        m = _TAG.search(page, pos)
-        if not m:
+        found_tag = tags.at(pos)
+        if found_tag is None:
             shown(page[pos:])
             break
-        shown(page[pos : m.start()])
-        pos = m.end()
-        name = m[2] or m[5]
+        start, end, closing, name, attributes = found_tag
+        shown(page[pos:start])
+        pos = end
         if not name:
             continue
         tag = name.lower()
-        if m[1] or m[4]:
+        if closing:
             if tag in _BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in _BLOCK and stack[i].tag in _SCOPE:
-                    break
+            stack.close(tag, tag in _BLOCK)
             continue
         if tag not in _IN_HEAD:
             leave_head()
         if tag in _BLOCK:
             flush()
             for closed in _CLOSES.get(tag, ()):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == closed:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _SCOPE and stack[i].tag != closed:
-                        break
-        if tag == "body":  # a head that was never closed ends here
-            stack[:] = [f for f in stack if not f.hidden and f.tag != "head"]
+                stack.close(closed, False)
+        if tag == "body":  # a head that was never closed ends here; what is hidden stands above all that is not
+            while stack.top.hidden:
+                stack.cut(len(stack.frames) - 1)
         if tag in _VOID:
             if tag == "br":
                 shown(" ")
             continue
-        attributes = m[3] or m[6] or ""
         names = tuple(sorted({w for v in _NAMES.findall(attributes) for w in _WORDS.findall(v.lower())})) if attributes else ()
-        above = stack[-1]
-        key = (id(above), tag, names)
+        key = (id(stack.top), tag, names)
         frame = made.get(key)
         if frame is None:
-            frame = made[key] = Frame(tag, (tag, names), above)
-        stack.append(frame)
+            frame = made[key] = Frame(tag, (tag, names), stack.top, stack.active)
+        stack.push(frame)
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, pos)
+            stop, after = _raw_end(page, tag, pos)
             if not frame.hidden:
-                shown(page[pos : end.start() if end else n])
-            pos = end.end() if end else n
-            stack.pop()
+                shown(page[pos:stop])
+            pos = after
+            stack.cut(len(stack.frames) - 1)
             flush()
     flush()
     return found
@@ -186,9 +285,15 @@ class Field:
         found = blocks(page)
         scores, weights, known = [], self.weights, {}
         for i, (text, frame, block, linked) in enumerate(found):
-            above = known.get(id(frame))
-            if above is None:
-                above = known[id(frame)] = sum(weights.get(f, 0.0) for f in frame.features)
+            path, at = [], frame
+            while at is not None and id(at) not in known:
+                path.append(at)
+                at = at.above
+            above = known[id(at)] if at is not None else 0.0
+            for at in reversed(path):
+                above += sum(weights.get(f, 0.0) for f in at.fresh)
+                known[id(at)] = above
+            above = known[id(frame)]
             scores.append(above + sum(weights.get(f, 0.0) for f in _text_features(text, block, linked, i, len(found))))
         return [b[0] for b, label in zip(found, self.viterbi(scores), strict=True) if label]
 

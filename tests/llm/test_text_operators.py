@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -294,3 +295,23 @@ def test_html_with_the_tags_of_head_and_body_left_out(spark, sf_dir):
     got = {r.page_id: r.text for r in html_text.extract(cut).collect()}
     assert any(text for _, _, text in rows) and all("<head>" in h and "<body" not in h for _, h, _ in rows)
     assert got == {i: text for i, _, text in rows}
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "<b>" * n + "x</i>" * n, lambda n: "".join(f'<span class="{chr(97 + i % 26)}{"".join(chr(97 + int(c)) for c in str(i))}">x<p>' for i in range(n)), lambda n: '<a "' * n, lambda n: '<a ">"' * n,
+        lambda n: "<i><td>" + "<b>" * n + "</i>" * n, lambda n: "<b>" * n + "x</div>" * n, lambda n: "<script>" + "</script " * n, lambda n: "<b>" * n + "<svg><body>" * n, lambda n: "<!-- " * n, lambda n: "<a" * n,
+    ],
+)
+def test_hostile_pages_take_time_in_proportion(make):
+    """Up to a megabyte of markup: no search goes over the same open elements or the same rest of the page again and again."""
+    field = html_text.Field({}, [[0.0, 0.0], [0.0, 0.0]])
+
+    def took(n):
+        began = time.process_time()
+        field.decode(make(n))
+        return time.process_time() - began
+
+    took(1000)
+    assert took(50_000) < 2.6 * took(25_000) + 0.5
