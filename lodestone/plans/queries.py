@@ -295,7 +295,19 @@ def routing_threshold(spark, sf_dir):
     return vectors.routed(_routes(spark, sf_dir), "threshold").select("query_id", "index_id", F.round("weight", 6).alias("weight"))
 
 
-@query()
+def _diverse(most: int) -> str:
+    """CTEs of the greedy order: each step takes the candidate with the best balance of its score and its likeness to those taken."""
+    steps = ["t0 as (select null::bigint as query_id, null::bigint as chunk_id, null::int as rank where false)"]
+    for n in range(1, most + 1):
+        steps.append(f"""n{n} as (select c.query_id, c.chunk_id, c.score, c.pos, greatest(0, coalesce(max(s.likeness), 0)) as near from candidates c left join t{n - 1} t on t.query_id = c.query_id
+  left join alike s on s.query_id = c.query_id and s.a = c.chunk_id and s.b = t.chunk_id where (c.query_id, c.chunk_id) not in (select (query_id, chunk_id) from t{n - 1}) group by all),
+t{n} as (select * from t{n - 1} union all select query_id, chunk_id, {n} from (select * from n{n} qualify row_number() over (partition by query_id order by round(0.5 * score - 0.5 * near, 12) desc, pos desc) = 1))""")
+    return ",\n".join(steps)
+
+
+@query(f"""with {o.VECTORS}, candidates as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as pos from vectors where rank <= 10),
+alike as (select a.query_id, a.chunk_id as a, b.chunk_id as b, {o.COSINE.format('x.embedding', 'y.embedding')} as likeness from candidates a join candidates b using (query_id) join embeddings x on x.vec_id = a.chunk_id join embeddings y on y.vec_id = b.chunk_id where a.chunk_id <> b.chunk_id),
+{_diverse(10)} select t.query_id, t.chunk_id, round(c.score, 6) as score, t.rank::int as rank from t10 t join candidates c using (query_id, chunk_id)""")
 def mmr_rerank(spark, sf_dir):
     near = vectors.cosine_top(document_vectors(spark, sf_dir), benchmark_queries(spark, sf_dir).where("embedding is not null"), 10)
     return fusion.diverse(near.join(document_vectors(spark, sf_dir), "chunk_id")).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
@@ -310,14 +322,14 @@ def concept_label(spark, sf_dir):
 
 
 @query(f"""with {o.bm25("select item_id as query_id, text from benchmark")}, firsts as (
-  select b.item_id as query_id, min(l.rank) as first from benchmark b join lexical l on l.query_id = b.item_id and l.rank <= 10 join documents d on d.doc_id = l.chunk_id and contains(d.text, left(b.text, 40)) group by b.item_id
+  select b.item_id as query_id, min(l.rank) as first from benchmark b join lexical l on l.query_id = b.item_id and l.rank <= 10 join documents d on d.doc_id = l.chunk_id and contains(d.text, b.text) group by b.item_id
 ) select case when b.item_id % 2 = 0 then 'even' else 'odd' end as intent, round(avg(case when first <= 5 then 1.0 / first else 0 end), 6)::double as mrr, round(avg(case when first <= 10 then 1.0 else 0 end), 6)::double as recall, count(*) as queries
 from benchmark b left join firsts f on f.query_id = b.item_id group by all""")
 def retrieval_quality(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     chunk = document_chunks(spark, sf_dir)
     results = document_index(spark, sf_dir).top(asked, 10).join(chunk.select("chunk_id", "content"), "chunk_id")
-    expected = asked.select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("intent"), F.substring("text", 1, 40).alias("needle"))
+    expected = asked.select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("intent"), F.col("text").alias("needle"))
     found = fusion.retrieval_quality(results, expected)
     return found.select("intent", F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"), "queries")
 
@@ -458,7 +470,7 @@ def chunk_plaintext(spark, sf_dir):
     return _digest(chunkers.plaintext(_files(spark, sf_dir)))
 
 
-_HEADED = "select source || '/' || doc_id || '.md' as file, replace(text, '. ', '.' || chr(10) || case when doc_id % 2 = 0 then '# ' else '' end) as content from documents where text is not null"
+_HEADED = "select source || '/' || doc_id || '.md' as file, replace(text, '. ', '.' || chr(10) || case when doc_id % 2 = 0 then '# ' else '' end) as content from documents"
 
 
 @query(f"""with files as ({_HEADED}), rows as (select file, {o.lines('content')} as r from files), numbered as (select file, generate_subscripts(r, 1) as nr, unnest(r) as line from rows),
@@ -467,7 +479,7 @@ found as (select file, min(nr)::int as start_line, max(nr)::int as end_line, {_P
   bool_or(trim(regexp_replace(line, '\\s', ' ', 'g')) <> '') as visible from cut group by file, section)
 select case when name is null then file || ':' || start_line || ':' || end_line else file || '::Docstring::' || name || '::' || start_line end as chunk_id, file, start_line, end_line, content_sha256 from found where visible""")
 def chunk_markdown(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = table(spark, sf_dir, "documents")
     mark = F.when(F.col("doc_id") % 2 == 0, "# ").otherwise("")
     files = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.replace("text", F.lit(". "), F.concat(F.lit(".\n"), mark)).alias("content"))
     return _digest(chunkers.markdown(files))
@@ -546,10 +558,13 @@ def incremental_changed(spark, sf_dir):
     return store.changed(now, known)
 
 
-@query("select doc_id as chunk_id, case when doc_id % 5 = 0 then upper(lang) else lang end as lang from documents where doc_id % 2 = 0 union all select doc_id, upper(lang) from documents where doc_id % 10 = 5")
+@query("select doc_id as chunk_id, case when doc_id in (select doc_id from labels) then upper(lang) else lang end as lang from documents union all select 1000000000 + conv_id, min(role) from conversations group by conv_id")
 def upsert_chunks(spark, sf_dir):
+    """All documents, then the labelled ones again with a change, and conversations as new ones."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
-    return store.upserted(docs.where("chunk_id % 2 = 0"), docs.where("chunk_id % 5 = 0").withColumn("lang", F.upper("lang")))
+    changed = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id")).distinct(), "chunk_id", "left_semi").withColumn("lang", F.upper("lang"))
+    fresh = table(spark, sf_dir, "conversations").groupBy((F.col("conv_id") + 1_000_000_000).alias("chunk_id")).agg(F.min("role").alias("lang"))
+    return store.upserted(docs, changed.unionByName(fresh))
 
 
 @query("select doc_id as chunk_id, source as file from documents where source not in ('src1', 'src7')")
@@ -595,7 +610,22 @@ def debounce_sessions(spark, sf_dir):
     return debounced(rows, gap="30 minutes")
 
 
-@query()
+_WINDOWED = f"""files as (select source || '/' || doc_id || '.txt' as file, text as content from documents), rows as (select file, {o.lines('content')} as r from files),
+spans as (select file, r, unnest(range(0, greatest(ceil((len(r) - 10) / 4.0), 0)::int + 1)) * 4 as s from rows where len(r) > 0),
+windowed as (select file || ':' || (s + 1) || ':' || least(s + 10, len(r)) as doc_id, '' as lang, file, (s + 1)::int as start_line, least(s + 10, len(r))::int as end_line, array_to_string(r[s + 1 : s + 10], chr(10)) as text from spans)"""
+
+
+@query(f"""with recursive {_WINDOWED}, {o.bm25(_values(LITERAL)).replace('from documents', 'from windowed')},
+items as (select l.query_id, l.rank, {{'chunk_id': w.doc_id, 'file': w.file, 'start_line': w.start_line, 'end_line': w.end_line, 'score': round(l.score, 6)}} as x from lexical l join windowed w on w.doc_id = l.chunk_id where l.rank <= 20),
+walk as (
+  select query_id, 1::bigint as n, [x] as found from items where rank = 1
+  union all
+  select query_id, rank, case when into_ is null then list_append(found, x) else list_transform(found, lambda m, k: case when k <> into_ then m else {{
+    'chunk_id': case when x.score > m.score then x.chunk_id else m.chunk_id end, 'file': m.file, 'start_line': least(m.start_line, x.start_line), 'end_line': greatest(m.end_line, x.end_line), 'score': greatest(m.score, x.score)}} end) end
+  from (select w.query_id, i.rank, w.found, i.x, list_position(list_transform(w.found, lambda m: m.file = i.x.file and m.start_line <= i.x.end_line and i.x.start_line <= m.end_line), true) as into_ from walk w join items i on i.query_id = w.query_id and i.rank = w.n + 1)
+), last as (select query_id, arg_max(found, n) as found from walk group by query_id),
+flat as (select query_id, unnest(range(1, len(found) + 1)) as rank, found from last)
+select query_id, rank::int as rank, found[rank].chunk_id as chunk_id, found[rank].file as file, found[rank].start_line as start_line, found[rank].end_line as end_line, found[rank].score as score from flat""")
 def overlaps_merged(spark, sf_dir):
     asked = _asked(spark, LITERAL)
     chunk = chunkers.sliding(_files(spark, sf_dir), 10, 4)
