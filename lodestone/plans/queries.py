@@ -420,7 +420,7 @@ fused as (select query_id, chunk_id, case intent when 'Definition' then 0.7 when
 first as (select * from fused qualify row_number() over (partition by query_id order by round(score, 12) desc, chunk_id) <= 10), seeds as (select * from first where intent = 'Usage'),
 ways as (select src, dst from edges where kind = 'CallsFunction' union select dst, src from edges where kind = 'CallsFunction'),
 near as (select s.query_id, n.chunk_id, max(s.score * 0.7) as score from seeds s join texts t using (chunk_id) join ways w on w.src = t.name join nodes n on n.symbol = w.dst where (s.query_id, n.chunk_id) not in (select (query_id, chunk_id) from seeds) group by all),
-final as (select query_id, chunk_id, score, 'bm25' as match_reason from first union all select query_id, chunk_id, score, 'hybrid+kg' from near)
+final as (select query_id, chunk_id, score, 'bm25' as match_reason from first union all select n.query_id, n.chunk_id, n.score, case when l.rank is null then 'hybrid+kg' else 'bm25' end from near n left join lane l using (query_id, chunk_id))
 select query_id, chunk_id, round(score, 9) as score, row_number() over (partition by query_id order by round(score, 12) desc, chunk_id)::int as rank, match_reason from final qualify rank <= 10""")
 def graph_search(spark, sf_dir):
     """Lexical lane, entities, intents and the symbol graph together."""

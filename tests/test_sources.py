@@ -1,10 +1,11 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import concepts, store
 from lodestone.operators.inverted import LexicalIndex
-from lodestone.sources import chunks, declarations, files, manifests
+from lodestone.sources import chunks, declarations, files, manifests, settings
 from lodestone.streaming import changes
 
 
@@ -307,3 +308,24 @@ def test_grouped_kmeans_is_lloyds(spark):
         got = {r.chunk_id: r for r in found if r.file == g}
         assert [got[i].cluster for i in range(len(vs))] == near.tolist()
         assert all(np.allclose(got[i].centre, centres[near[i]]) for i in range(len(vs)))
+
+
+def test_settings_of_indexes(spark, tmp_path):
+    pytest.importorskip("yaml")
+    text = 'version: 1\nindexes:\n  - name: api\n    paths: ["src/", "."]\n    exclude: [gen/, "**/*_test.py"]\n    languages: [python, Rust]\n    domain_terms: ["rate plan"]\n  - name: all\n'
+    for name, data in {"src/a.py": "x", "src/a_test.py": "x", "gen/b.py": "x", "ui/c.ts": "x", "d.rs": "x", "lodestone.yaml": text}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(data)
+    api, every = settings.load(str(tmp_path))
+    assert api.roots("/r/") == ["/r/src", "/r"] and every.roots("/r") == ["/r"] and {"py", "rs"} <= set(api.extensions()) and "ts" not in api.extensions() and api.domain_terms == ("rate plan",)
+    good, _ = api.scan(spark, f"file://{tmp_path}")
+    assert {(r.index_id, r.file) for r in good.collect()} == {("api", "a.py"), ("api", "d.rs")}
+    assert {r.file for r in every.scan(spark, f"file://{tmp_path}")[0].collect()} >= {"src/a.py", "ui/c.ts", "d.rs", "gen/b.py"}
+    assert settings.load(f"{tmp_path}/src") is None and settings.parse('{"indexes": [{"name": "j"}]}') == [settings.IndexSettings("j")]
+    for bad in ("indexes: 1", "indexes:\n  - paths: [a]", "indexes:\n  - name: x\n    paths: a", "a: [", "- x"):
+        with pytest.raises(ValueError):
+            settings.parse(bad)
+
+
+def test_filter_sets():
+    assert settings.filter_set(" Symbol, ,FILE ") == {"symbol", "file"} and settings.filter_set(" , ") is None and settings.filter_set(None) is None
