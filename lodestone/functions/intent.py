@@ -19,7 +19,9 @@ CHAIN = (
     ("Conceptual", r"(?iU)\b(how does|what is|explain|overview|architecture|design|why)\b"),
     ("BugDebt", r"(?iU)\b(TODO|FIXME|HACK|panic!|unwrap\(\)|bug|error|crash|fail)\b"),
 )
+# Six pieces or more without any of the marks ( ) : _ . ; written without nested repeats, as this engine backtracks.
 LONG_PROSE = r"(?U)^[^():_.](?:[^():_.\s]*+\s[^():_.]){5}[^():_.]*\z"
+# Fixed value: identifiers in camel case, or with an acronym in front.
 IDENTIFIER = r"(?U)\b(?:[A-Z][a-z]+[A-Z][a-zA-Z0-9]*|[A-Z]{2,}(?:[0-9]+[A-Za-z][a-zA-Z0-9]*|[0-9]+|[A-Z][a-z][a-zA-Z0-9]*))\b"
 # Alpha (vector lane), beta (lexical lane), and whether the graph is consulted.
 WEIGHTS = {"Definition": (0.3, 0.7, False), "Usage": (0.5, 0.5, True), "Conceptual": (0.8, 0.2, False), "BugDebt": (0.1, 0.9, False), "Unknown": (0.6, 0.4, False)}

@@ -67,6 +67,7 @@ def word(pattern: str) -> str:
 
 
 def intent(text: str) -> str:
+    # The patterns and their order, in this engine's syntax.
     chain = (
         ("Usage", "tested by|co-occurs"), ("Definition", "implements|derives from|aliased as"), ("BugDebt", "raises|documented by"),
         ("Definition", r"definition|interface|schema|model|enum|[A-Za-z][a-zA-Z0-9]+\s+(definition|struct|class|interface|type|schema|enum|trait|model)"),
