@@ -13,11 +13,14 @@ over the whole corpus, and differ in how they rank the rest.
 3. In each shingle's group the members are held against one hub only, the member with the least share of such
    shingles, which is what the others were copied from or close to it. What links is joined into preliminary
    components, so that a large group of near copies costs as many pairs as it has members.
-4. Between members of different components every pair is a candidate that lengths, shingles without a match,
+4. Members of a large group that are in different components then try a few partners each, some from the group's
+   largest component and some from anywhere in it, in rounds that go on while they join components. Among near
+   copies of one text nearly all are one component after this, so few pairs are left between components.
+5. Between members of different components every pair is a candidate that lengths, shingles without a match,
    and the measured overlaps of both with their group's hub don't rule out: two sets share of the hub at most what neither
    lacks, and besides it what can be common to their rests, by bitmaps of both. So no link between components is lost, and links inside one
    can't change it.
-5. Counting sketches bound what the sets of a candidate can share: bucket by bucket the smaller count. Texts are
+6. Counting sketches bound what the sets of a candidate can share: bucket by bucket the smaller count. Texts are
    fetched for the pairs that pass; these must also share a prefix shingle under the other orders; then the sets
    are compared.
 
@@ -62,8 +65,12 @@ HOT = 13
 _BITS, _FULL = 12, 4095
 #: Rows of two numbers that may be broadcast: some 100 MB in a task's memory.
 _IDS = 1_000_000
-#: Members from which on a group's pairs are bounded by measured overlaps with its hub.
+#: Members from which on a group's pairs are bounded by measured overlaps with its hub, and its members try partners.
 CROWDED = 12
+#: Most rounds of trials; what they leave apart is compared pair by pair.
+TRIALS = 4
+#: Rounds end when fewer than one in so many trials join two components.
+YIELD = 50
 #: Buckets (a power of two) of the bitmaps that keep what of a hub's shingles a member lacks, and what it has besides.
 BUCKETS = 256
 #: Buckets of a class's counting sketch.
@@ -210,10 +217,10 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind long, doc_id long, hi long, lo long, n long")
 
 
-def _postings(docs: DataFrame, frequent, words: int, similar) -> DataFrame:
+def _postings(docs: DataFrame, frequent, words: int, similar, hot_level: int = HOT) -> DataFrame:
     """(token, cls, facts) of prefixes and low shingles under the first order; copies within a batch once.
 
-    `facts` is the class's size, whether the shingle is hot, and the number of reaches that lie below its rank. One
+    `facts` is the class's size, the magnitude of the shingle's count, whether it is hot, and the number of reaches that lie below its rank. One
     more row for each class, with itself as token and facts below 0, holds how many reaches its postings cover, and
     which share of its shingles lies below each.
     """
@@ -236,11 +243,12 @@ def _postings(docs: DataFrame, frequent, words: int, similar) -> DataFrame:
                     chosen = (own <= last) | (own < cuts[0])
                     tokens, own = s[chosen], own[chosen]
                     level = np.searchsorted(cuts, own, side="right")
-                    hot = own >= np.uint64(HOT << 56 | 1 << 63)
+                    hot = own >= np.uint64(hot_level << 56 | 1 << 63)
                     below = np.bincount(level, minlength=len(cuts) + 1)[: len(cuts)].cumsum() * _FULL // len(s)
                     covered = max(1, int(np.searchsorted(cuts, last, side="right")))
                     about = ~(np.bitwise_or.reduce(below << shifts) | covered)
-                    rows.append((np.append(tokens.view(np.int64), c), np.full(len(own) + 1, c), np.append(len(s) << 8 | hot << 4 | level, about)))
+                    often = np.where(own >> np.uint64(63), own >> np.uint64(56) & np.uint64(63), np.uint64(0)).astype(np.int64)
+                    rows.append((np.append(tokens.view(np.int64), c), np.full(len(own) + 1, c), np.append(len(s) << 14 | often << 8 | hot << 4 | level, about)))
                 if len(known) > 100_000:
                     known.clear()
                 if rows:
@@ -339,7 +347,7 @@ def _share(packed: str, k: str | int) -> str:
 
 
 def _met(shared: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Postings (token, cls, size, lone, low) of shared tokens whose class can be in a link.
+    """Postings (token, cls, size, lone, low, often) of shared tokens whose class can be in a link.
 
     `lone` packs, for each reach that the class covers, which share of its shingles lies below and has no match, as
     no other class posts them.
@@ -349,10 +357,10 @@ def _met(shared: DataFrame, similar: tuple[int, int]) -> DataFrame:
     seen = shared.withColumn("about", F.max(F.when(F.col("facts") < 0, F.bitwise_not("facts"))).over(own)).withColumns({
         f"met_{k}": F.count_if((F.col("facts") >= 0) & (F.col("facts").bitwiseAND(15) <= k)).over(own) for k in range(len(REACHES))
     })
-    member = seen.where("facts >= 0").withColumn("size", F.expr("shiftright(facts, 8)"))
+    member = seen.where("facts >= 0").withColumn("size", F.expr("shiftright(facts, 14)"))
     lone = [f"shiftleft(greatest(0L, {_share('about', k)} * size div {_FULL} - met_{k}) * {_FULL} div size, {k * _BITS + 3})" for k in range(len(REACHES))]
     member = member.withColumn("lone", F.expr(" | ".join(["(about & 7)", *lone])))
-    return member.where(f"{_rest('', '0')} * {d} >= size * {n}").select("token", "cls", "size", "lone", F.expr("facts & 15 = 0 as low"))
+    return member.where(f"{_rest('', '0')} * {d} >= size * {n}").select("token", "cls", "size", "lone", F.expr("facts & 15 = 0 as low"), F.expr("shiftright(facts, 8) & 63 as often"))
 
 
 def _rest(a: str, k: str) -> str:
@@ -366,13 +374,40 @@ def _most(a: str, b: str) -> str:
     return f"least({_rest(a, k)}, {_rest(b, k)})"
 
 
-def link(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int] = SIMILAR, orders: int = ORDERS) -> DataFrame:
-    """doc_id, n_shingles, class_id (the least doc_id with the same words), component_id of every row of `docs` (doc_id, text)."""
+def _open(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """Postings of the tokens whose members are in different components, with each member's component as root."""
+    member = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    parted = member.groupBy("token").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root")).where("low_root <> high_root")
+    return member.join(parted.select("token"), "token")
+
+
+def _trials(member: DataFrame, crowded: int, turn: int) -> DataFrame:
+    """(token, n, pairs, partners) of crowded groups: their members, their pairs between components, and partners to try.
+
+    In even turns groups of the same members have the same few partners, from their largest component and from anywhere; in odd ones each
+    group has its own of its largest component, so that those who are still apart from it try many of it.
+    """
+    alike = turn % 2 == 0
+    by = [F.xxhash64(F.lit(4 * turn + i), *([] if alike else ["token"]), "cls").alias("by") for i in range(4)]
+    two = member.groupBy("token", "root").agg(F.count("*").alias("n"), *[
+        F.min(F.struct(by[i], "cls", "size", "lone", "root")).alias(f"p{i}") for i in range(4)
+    ])
+    one = two.groupBy("token").agg(
+        F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("same"), F.max(F.struct("n", F.col("p0.root").alias("root"), "p0", "p1")).alias("most"), F.min("p2").alias("p2"), F.min("p3").alias("p3")
+    )
+    return one.where(F.col("n") >= crowded).select("token", "n", F.expr("(n * n - same) div 2 as pairs"), F.array("most.p0", "most.p1", *["p2", "p3"] * alike).alias("partners"))
+
+
+def link(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int] = SIMILAR, orders: int = ORDERS, crowded: int = CROWDED, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, class_id (the least doc_id with the same words), component_id of every row of `docs` (doc_id, text).
+
+    `crowded` and `hot` change what the search costs, never its links.
+    """
     with scratch() as own_cut:
-        return cut(_linked(docs.select("doc_id", "text"), own_cut, words, similar, orders), "link")
+        return cut(_linked(docs.select("doc_id", "text"), own_cut, words, similar, orders, crowded, hot), "link")
 
 
-def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders: int) -> DataFrame:
+def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders: int, crowded: int, hot_level: int) -> DataFrame:
     spark = docs.sparkSession
     survey = cut(_survey(docs, words), "link-survey")
     met = survey.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "hi").limit(FREQUENT)
@@ -388,7 +423,7 @@ def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders:
     # A hot token's classes are dealt to many tasks; nothing below needs a token's rows together.
     hot = (F.col("facts") >= 0) & (F.col("facts").bitwiseAND(16) > 0)
     deal = F.when(hot, F.xxhash64("token", F.pmod("cls", F.lit(1024)))).otherwise(F.col("token"))
-    dealt = _postings(docs.where("doc_id is not null"), frequent, words, similar).repartition(deal).sortWithinPartitions("token", "cls")
+    dealt = _postings(docs.where("doc_id is not null"), frequent, words, similar, hot_level).repartition(deal).sortWithinPartitions("token", "cls")
     shared = cut(dealt.mapInArrow(_shared, "token long, cls long, facts long"), "link-shared")
     n, d = similar
     member = cut(_met(shared, similar), "link-met")
@@ -398,7 +433,7 @@ def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders:
     group = member.groupBy("token").agg(F.min(F.struct(F.expr(_share("lone", 0)).alias("part"), "cls", "size", "lone")).alias("hub"), F.count("*").alias("members"))
     group = group.where("members > 1").select("token", "members", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("cls", "size", "lone")])
     member = cut(member.join(group, "token"), "link-members")
-    stars = member.where("cls <> hub_cls").groupBy("cls", "hub_cls").agg(*[F.any_value(c).alias(c) for c in ("size", "lone", "hub_size", "hub_lone")], F.max(F.col("members") >= CROWDED).alias("crowded"))
+    stars = member.where("cls <> hub_cls").groupBy("cls", "hub_cls").agg(*[F.any_value(c).alias(c) for c in ("size", "lone", "hub_size", "hub_lone")], F.max(F.col("members") >= crowded).alias("crowded"))
     stars = stars.where(F.expr(_could_link("size", "hub_size", _most("", "hub_"), similar)) | F.col("crowded")).select(F.col("hub_cls").alias("a"), F.col("cls").alias("b"), "crowded")
     stars = cut(stars, "link-stars")
 
@@ -421,9 +456,23 @@ def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders:
     own = Window.partitionBy("cls", "low")
     member = member.withColumn("asks", F.when(F.col("low"), F.row_number().over(own.orderBy("members", "token")) <= lacks).otherwise(False))
     member = member.withColumn("asks", F.col("asks") | (F.count_if("low").over(Window.partitionBy("cls")) < lacks))
-    member = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    parted = member.groupBy("token").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root")).where("low_root <> high_root")
-    member = cut(member.join(parted.select("token"), "token").select("token", "cls", "size", "lone", "hub_cls", "hub_size", "root", "asks"), "link-open")
+    columns = ["token", "cls", "size", "lone", "hub_cls", "hub_size", "often", "asks"]
+    member = cut(_open(member.select(*columns), roots), "link-open")
+    edges, tried = first.where("linked = 1").select("a", "b", "rep_a", "rep_b"), stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn in range(TRIALS):
+        groups = cut(_trials(member, crowded, turn), "link-groups")
+        n_rows, n_pairs = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+        if n_pairs <= crowded * n_rows:
+            break
+        near = member.join(groups.select("token", F.explode("partners").alias("y")), "token").where("root <> y.root").where(_could_link("size", "y.size", _most("", "y."), similar))
+        near = near.select(F.least("cls", "y.cls").alias("a"), F.greatest("cls", "y.cls").alias("b"), F.lit(False).alias("crowded")).distinct()
+        near = cut(near.join(tried, ["a", "b"], "left_anti"), "link-trials")
+        joined = links(near).where("linked = 1").select("a", "b", "rep_a", "rep_b")
+        edges = edges.unionByName(joined)
+        tried = tried.unionByName(near.select("a", "b"))
+        member = cut(_open(member.select(*columns), components(edges.select("a", "b"))), "link-open")
+        if joined.count() * YIELD < near.count():
+            break
     # What each shares with its group's hub, lacks of it and has besides; all of itself and nothing if it is the hub.
     measured = first.select(F.col("a").alias("hub_cls"), F.col("b").alias("cls"), F.col("shared").alias("met"), "lacks", "extras")
     hub, none = F.col("cls") == F.col("hub_cls"), F.array_repeat(F.lit(0).cast("long"), BUCKETS // 64)
@@ -431,8 +480,16 @@ def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders:
     words_ = range(BUCKETS // 64)
     # Shingles besides the hub's that fall in a bucket with another one.
     member = member.withColumn("slack", F.col("size") - F.col("met") - reduce(add, [F.bit_count(F.col("extras")[i]) for i in words_]))
-    member = member.select("token", "cls", "size", "root", "hub_size", "met", "lacks", "extras", "slack", "lone", "asks")
-    x, y = member.where("asks").alias("x"), member.alias("y")
+    # By bucket, the shingles of groups with the same hub that a class asks for before this one, in the first order. The
+    # hub holds them all, and who posts this one posts all that it holds before it; so who doesn't lack one of them has
+    # met the class there already.
+    rank = ["often", F.expr("shiftrightunsigned(token, 1)"), "token"]
+    before = Window.partitionBy("cls", "hub_cls").orderBy(*rank).rowsBetween(Window.unboundedPreceding, -1)
+    bit = F.expr("shiftleft(1L, cast(token & 63 as int))")
+    earlier = [F.coalesce(F.bit_or(F.when(F.expr(f"(token & {BUCKETS - 1}) div 64") == i, bit)).over(before), F.lit(0)) for i in words_]
+    member = member.select("token", "cls", "size", "root", "hub_cls", "hub_size", "met", "lacks", "extras", "slack", "lone", "often", "asks")
+    x, y = member.where("asks").withColumn("earlier", F.array(*earlier)).alias("x"), member.drop("hub_cls", "often").alias("y")
+    met_before = " | ".join(f"(x.earlier[{i}] & ~y.lacks[{i}])" for i in words_)
     # Both have of the hub at most what neither lacks, and besides it at most what falls in buckets of both.
     lacking = " + ".join(f"bit_count(x.lacks[{i}] | y.lacks[{i}])" for i in words_)
     besides = " + ".join(f"bit_count(x.extras[{i}] & y.extras[{i}])" for i in words_)
@@ -442,13 +499,11 @@ def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders:
 
     bounds = [_most("x.", "y."), through_hub(f"least(x.met, y.met, x.hub_size - ({lacking}))", f"{besides} + least(x.slack, y.slack)")]
     bounded = " and ".join(_could_link("x.size", "y.size", b, similar) for b in bounds)
-    rest = x.join(y, F.expr(f"x.token = y.token and (x.size, x.cls) < (y.size, y.cls) and x.root <> y.root and {bounded}"))
+    rest = x.join(y, F.expr(f"x.token = y.token and (x.size, x.cls) < (y.size, y.cls) and x.root <> y.root and coalesce(({met_before}) = 0, true) and {bounded}"))
     rest = rest.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.lit(False).alias("crowded")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = links(cut(rest.join(tried, ["a", "b"], "left_anti"), "link-rest"))
+    last = links(cut(rest.join(tried, ["a", "b"], "left_anti"), "link-rest"))
 
-    linked = first.unionByName(second).where("linked = 1")
-    edges = linked.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    edges = edges.unionByName(last.where("linked = 1").select("a", "b", "rep_a", "rep_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     # Rows that share an id are one node: their classes' representatives are joined.
     twice = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("lo").alias("low"), F.max("lo").alias("high"), F.collect_set("lo").alias("los")).where("low <> high")
     twice = twice.select("doc_id", F.explode("los").alias("cls")).join(classes, "cls")

@@ -329,6 +329,9 @@ def test_jaccard_join_equals_brute_force(spark):
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.link(docs).collect())
     # Rows that share an id are one node.
     assert got == brute_links(table)
+    # What makes a group crowded or a shingle hot changes no link.
+    for options in ({"crowded": 3}, {"crowded": 3, "hot": 4}, {"crowded": 10**9}):
+        assert got == collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.link(docs, **options).collect()), options
     assert neardup.link(docs.limit(0)).count() == 0
     kept = neardup.one_of_each(docs)
     assert kept.columns == docs.columns
