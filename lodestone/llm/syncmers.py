@@ -2,9 +2,9 @@
 
 A k-mer of characters is a closed syncmer if the least hash among its s-mers is that of its first or its last
 one. Whether it is depends on the k-mer alone, so equal stretches of two texts have equal anchors wherever
-they stand. A fingerprint holds the distinct anchors with hashes in the lowest `share` of their range, and the `least`
-lowest ones at any rate, with where each first stands, and up to which hash it is complete: it grows with the text, and
-texts of up to about 2,300 characters keep all their anchors. With a share of 1 all texts do. Two fingerprints
+they stand. A fingerprint holds all distinct anchors of the whole text, with where each first stands, and up to which
+hash it is complete. Callers may ask for smaller ones: with a `share` below 1 only anchors with hashes in the lowest
+`share` of their range stay, and the `least` lowest ones at any rate. Two fingerprints
 are compared by the anchors up to the lower of their bounds that match in the same order (the longest chain of
 matches with rising positions), as the Dice share: about the share of either text that the other has too.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import shuffle_partitions
 
-K, S, LEAST, SHARE = 16, 8, 512, 0.25
+K, S, LEAST, SHARE = 16, 8, 512, 1.0
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 

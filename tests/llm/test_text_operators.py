@@ -1,5 +1,6 @@
 """Tokens, packing, syncmers, quality, html: each against brute force or by its defined results."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -161,6 +162,16 @@ def test_likeness_is_that_of_all_anchors():
         assert syncmers.likeness(syncmers.fingerprint(passage + make(1400)), syncmers.fingerprint(mixed)) > 0.01
 
 
+def test_fingerprints_of_long_texts_keep_all_anchors():
+    rng = random.Random(12)
+    one, two = ("".join(rng.choice("abcdefgh ") for _ in range(30_000)) for _ in range(2))
+    mixed = syncmers.edited(one, two)
+    h, _ = syncmers.anchors(one)
+    held = np.frombuffer(base64.b64decode(syncmers.fingerprint(one)), "<u4")
+    assert (len(held) - 1) // 2 == len(np.unique(h >> np.uint64(32)))
+    assert abs(syncmers.likeness(syncmers.fingerprint(one), syncmers.fingerprint(mixed)) - plain_likeness(one, mixed)) < 1e-9
+
+
 def test_syncmers_of_edge_rows(edge, empty):
     rows = [r for r in syncmers.compare_with_edits(edge).collect()]
     source = sorted({(r.doc_id if r.doc_id is not None else -1, r.text or "") for r in edge.collect()})
