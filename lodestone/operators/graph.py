@@ -59,11 +59,31 @@ def edges(chunks: DataFrame, node: DataFrame | None = None) -> DataFrame:
 
 
 def contains(chunks: DataFrame) -> DataFrame:
-    """ModuleContains edges from each container to the other symbols of its file."""
-    named = chunks.where(F.coalesce(F.col("function_name"), F.lit("")) != "").select("file", "function_name", "chunk_type")
-    outer = named.where(F.col("chunk_type").isin(*CONTAINERS)).select("file", F.col("function_name").alias("src")).distinct()
-    inner = named.select("file", F.col("function_name").alias("dst")).distinct()
-    return outer.join(inner, "file").where("src <> dst").select("src", "dst", F.lit("ModuleContains").alias("kind")).distinct()
+    """ModuleContains edges from each container to the other symbols of its file.
+
+    Their number grows with the square of a file's containers, so pairs are made where they are put out: a file's
+    containers are dealt over parts that all get its symbols, and only pairs of containers in several files are
+    compared to drop repeated ones.
+    """
+    named = chunks.where("function_name <> '' and file is not null").select("file", "function_name", F.coalesce(F.col("chunk_type").isin(*CONTAINERS), F.lit(False)).alias("outer"))
+    named = cut(named.groupBy("file", "function_name").agg(F.max("outer").alias("outer")), "named")
+    outer = named.where("outer").select("file", F.col("function_name").alias("src"))
+    several = outer.groupBy("src").agg((F.count("*") > 1).alias("several"))
+    n = named.where("outer").count()
+    parts = min(64, 1 + n // 1000)
+    outer = outer.join(several, "src").withColumn("part", F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int"))
+    outer = cut(outer, "containers")
+    inner = named.join(outer.select("file").distinct(), "file", "left_semi").select("file", F.col("function_name").alias("dst"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    # A number of partitions of their own, as their size says nothing about that of the result.
+    tasks = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * parts)
+    inner = inner.repartition(tasks, "file", "part")
+
+    def pairs(own: DataFrame) -> DataFrame:
+        met = own.select("file", "part", "src").repartition(tasks, "file", "part").join(inner, ["file", "part"])
+        return met.where("src <> dst").select("src", "dst", F.lit("ModuleContains").alias("kind"))
+
+    once = pairs(outer.where("not several"))
+    return once if outer.where("several").isEmpty() else once.unionByName(pairs(outer.where("several")).distinct())
 
 
 def both_ways(edge: DataFrame) -> DataFrame:
