@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.joins import BROADCAST_ROWS
 from lodestone.operators.shared import cut, shared_path
 
 # How much of a seed's score a neighbour gets, by the kind of edge.
@@ -95,7 +96,8 @@ def reached(edge: DataFrame, starts: DataFrame, hops: int | None = None, *, back
 
     A breadth-first search for all starts together: a hop joins what the last one found with the edges, less what was found
     before, until nothing is new. Edges and each hop are written to the shared folder, a hop as a partition of one table, so
-    the plan of a hop and of the result stays as small as that of the first. `both` follows edges in either direction.
+    the plan of a hop and of the result stays as small as that of the first. The first hop is the starts' edges, as they
+    are; later ones send all edges around only if the last hop found many symbols. `both` follows edges in either direction.
 
     Null starts and ends reach nothing; repeated edges and starts count once; a start that no edge has reaches nothing.
     """
@@ -112,28 +114,40 @@ def reached(edge: DataFrame, starts: DataFrame, hops: int | None = None, *, back
     while hops is None or hop < hops:
         seen = spark.read.schema(schema).parquet(path)
         last = seen.where(F.col("hop") == hop).select("start", F.col("symbol").alias("_from"))
-        met = last.join(step, "_from").select("start", "symbol").distinct()
+        met = last.join(leading(step, last), "_from").select("start", "symbol")
         hop += 1
-        met.join(seen, ["start", "symbol"], "left_anti").write.parquet(f"{path}/hop={hop}")
+        # Edges are distinct and no loops, so their ends are new to a start.
+        met = met if hop == 1 else met.distinct().join(seen, ["start", "symbol"], "left_anti")
+        met.write.parquet(f"{path}/hop={hop}")
         if spark.read.schema("start string").parquet(f"{path}/hop={hop}").isEmpty():
             break
     return spark.read.schema(schema).parquet(path).where("hop > 0")
 
 
-def neighbours(edge: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """(src, dst, multiplier): symbols one step away in either direction, with the best multiplier among their edges."""
+def leading(step: DataFrame, last: DataFrame) -> DataFrame:
+    """The edges (_from) that lead on from `last`, broadcast if they are few; all where that is not known to be so."""
+    ends = last.select("_from").distinct()
+    if ends.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return step
+    few = step.join(F.broadcast(ends), "_from", "left_semi")
+    return F.broadcast(few) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else few
+
+
+def neighbours(edge: DataFrame, kinds: tuple[str, ...], of: DataFrame | None = None) -> DataFrame:
+    """(src, dst, multiplier): symbols one step away in either direction, with the best multiplier among their edges; `of` (src) restricts them."""
     value = F
     for kind in kinds:
         value = value.when(F.col("kind") == kind, MULTIPLIERS[kind])
     found = both_ways(edge.where(F.col("kind").isin(*kinds))).select("src", "dst", value.alias("multiplier"))
+    found = found if of is None else found.join(of, "src", "left_semi")
     return found.groupBy("src", "dst").agg(F.max("multiplier").alias("multiplier"))
 
 
-def followed(edge: DataFrame) -> DataFrame:
+def followed(edge: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(intent, src, dst, multiplier): the neighbours that a query of each intent follows."""
     found = None
     for intent, kinds in FOLLOWED.items():
-        part = neighbours(edge, kinds).select(F.lit(intent).alias("intent"), "src", "dst", "multiplier")
+        part = neighbours(edge, kinds, of).select(F.lit(intent).alias("intent"), "src", "dst", "multiplier")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -147,7 +161,10 @@ def expanded(seeds: DataFrame, chunk_symbols: DataFrame, node: DataFrame, edge:
     """
     by_intent = ["intent"] * ("intent" in seeds.columns)
     from_seed = seeds.select("query_id", "chunk_id", "score", *by_intent).join(chunk_symbols, "chunk_id").withColumnRenamed("symbol", "src")
-    near = from_seed.join(followed(edge) if by_intent else neighbours(edge, kinds), ["src", *by_intent])
+    # Few seeds select their edges before these are grouped.
+    of = from_seed.select("src").distinct()
+    of = F.broadcast(of) if of.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else None
+    near = from_seed.join(followed(edge, of) if by_intent else neighbours(edge, kinds, of), ["src", *by_intent])
     hits = near.join(node.select(F.col("symbol").alias("dst"), F.col("chunk_id").alias("_at")), "dst")
     scored = hits.groupBy("query_id", F.col("_at").alias("chunk_id")).agg(F.max(F.col("score") * F.col("multiplier")).alias("score"))
     return scored.join(seeds.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")

@@ -1,3 +1,5 @@
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +261,22 @@ def test_routing(spark):
     assert {r.index_id: r.weight for r in weights.collect()} == {"p": 1.0, "q": 0.0, "r": 1.0, "s": 0.0}
     assert {r.index_id for r in vectors.routed(weights, "threshold").collect()} == {"p", "r"}
     assert [r.index_id for r in vectors.routed(weights, "top_n", n=0).collect()] == ["p"]
+
+
+def test_containers_of_one_large_file_and_of_several(spark):
+    rows = [("big.rs", f"C{i}", "Class") for i in range(1200)] + [("big.rs", "f", "Function"), ("a.rs", "C1", "Class"), ("a.rs", "C2", "Function"), ("a.rs", "f", "Function"), (None, "C3", "Class"), ("a.rs", "", "Class"), ("a.rs", None, "Class")]
+    found = graph.contains(spark.createDataFrame(rows, "file string, function_name string, chunk_type string"))
+    # Pairs are put out where they are made: a distinct over all of them would move their square.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [src") == 1 and "Union" in plan
+    got = collections.Counter((r.src, r.dst) for r in found.collect())
+    wanted = {(s, d) for f, s, k in rows if f and s and k == "Class" for g, d, _ in rows if g == f and d and d != s}
+    assert set(got) == wanted and max(got.values()) == 1
+
+
+def test_few_found_symbols_lead_on_without_moving_all_edges(spark):
+    step = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("b", "d")], "_from string, symbol string")
+    last = spark.createDataFrame([("s", "b"), ("t", "b")], "start string, _from string")
+    assert sorted(graph.leading(step, last).collect()) == [("b", "c"), ("b", "d")]
+    plan = last.join(graph.leading(step, last), "_from")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
