@@ -35,14 +35,20 @@ class Index:
     postings: DataFrame | None = field(default=None)
 
     def __post_init__(self) -> None:
+        self._source = None
         if self.postings is None and self.kept is None:
             text = lexical.document_text() if "virtual_terms" in self.chunks.columns else F.col("content")
-            source = self.chunks.withColumn("_text", text)
+            source = self._source = self.chunks.withColumn("_text", text)
             self.postings, self.stats = lexical.postings(source, text="_text"), lexical.corpus_stats(source, text="_text")
 
     def lexical_scores(self, queries: DataFrame) -> DataFrame:
-        """From the kept index if there is one; else the chunks are tokenized for these queries."""
-        return self.kept.scores(queries) if self.kept is not None else lexical.scores(self.postings, self.stats, queries)
+        """From the kept index if there is one; else the chunks are tokenized at the first use."""
+        if self.kept is not None:
+            return self.kept.scores(queries)
+        if self._source is not None:
+            self.postings, sized = lexical.tokenized(self._source, text="_text")
+            self.stats, self._source = lexical.sized_stats(sized), None
+        return lexical.scores(self.postings, self.stats, queries)
 
 
 def exact_entities(queries: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:
