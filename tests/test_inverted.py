@@ -108,3 +108,23 @@ def test_search_over_a_kept_index(spark, tmp_path):
     queries = asked(spark, "login request").withColumn("embedding", F.lit(None).cast("array<double>"))
     got = [[(r.chunk_id, round(r.score, 9), r.rank) for r in search.search(i, queries).orderBy("rank").collect()] for i in (kept, search.Index(chunks))]
     assert got[0] == got[1] and got[0]
+
+
+def test_a_sort_takes_a_bounded_number_of_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestone.operators.inverted.SORTED", 1)
+    chunks = rows(spark, [("x", f"{i}.rs", 1, f"login{i} request") for i in range(40)])
+    index = LexicalIndex.build(chunks, f"file://{tmp_path}/one", buckets=2)
+    same(spark, index, chunks)
+    files = index._read("postings").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 8 and max(r["count"] for r in files) < 60  # two files, one for each bucket, if nothing parts it
+
+
+def test_scores_are_summed_where_postings_are(spark, tmp_path):
+    chunks = rows(spark, OLD)
+    kept = LexicalIndex.build(chunks, f"file://{tmp_path}/one", buckets=4)
+    fresh = search.Index(chunks)
+    for found in (kept.scores(asked(spark, "login request")), fresh.lexical_scores(asked(spark, "login request"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(query_id#\d+L?, chunk_id", plan)
+    # Chunks are tokenized once, for their lengths and their postings.
+    assert all("regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (fresh.stats, fresh.postings))
