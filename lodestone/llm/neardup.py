@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE, WORD, cut, join_counted, scratch
+from lodestone.llm.common import BROADCAST_ROWS, SPACE, WORD, cut, join_counted, scratch
 from lodestone.llm.components import components
 
 WORDS = 5
@@ -65,6 +65,10 @@ HOT = 13
 _BITS, _FULL = 12, 4095
 #: Rows of two numbers that may be broadcast: some 100 MB in a task's memory.
 _IDS = 1_000_000
+#: Pairs up to which texts are fetched at once, without sketches before.
+_UNSIFTED = 20_000
+#: Texts or sketches for each of the tasks that write those of few pairs, and fewest tasks.
+_TEXTS, _TASKS = 5_000, 8
 #: Members from which on a group's pairs are bounded by measured overlaps with its hub, and its members try partners.
 CROWDED = 12
 #: Most rounds of trials; what they leave apart is compared pair by pair.
@@ -286,7 +290,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _longs(*[c[out] for c in columns], names=names)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, frequent, words: int, similar, orders: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, frequent, words: int, similar, orders: int, n_pairs: int) -> DataFrame:
     """The (a, b) pairs of classes with their representatives, how much they share, whether they link, and by bucket which of a's shingles b lacks and which it has besides."""
     names = ["a", "b", "rep_a", "rep_b", "shared", "linked", "lacks", "extras"]
     kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
@@ -317,10 +321,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequent, words: int, similar,
 
     left = texts.select(F.col("cls").alias("a"), F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cls").alias("b"), F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
-    full = pairs.join(right, "b").join(left, "a").select("a", "b", "rep_a", "rep_b", "text_a", "text_b")
+    full = right.join(_few(pairs, n_pairs), "b").join(left, "a").select("a", "b", "rep_a", "rep_b", "text_a", "text_b")
     return full.mapInArrow(run, "a long, b long, rep_a long, rep_b long, shared long, linked long, lacks array<long>, extras array<long>")
 
 
+def _few(pairs: DataFrame, n_pairs: int) -> DataFrame:
+    return F.broadcast(pairs) if n_pairs <= BROADCAST_ROWS else pairs
+
+
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
     """BUCKETS bits, set where a shingle falls, as 64-bit numbers."""
     bits = np.zeros(BUCKETS, np.uint8)
@@ -376,13 +384,13 @@ def _most(a: str, b: str) -> str:
 
 def _open(member: DataFrame, roots: DataFrame) -> DataFrame:
     """Postings of the tokens whose members are in different components, with each member's component as root."""
-    member = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    member = join_counted(member, roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     parted = member.groupBy("token").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root")).where("low_root <> high_root")
     return member.join(parted.select("token"), "token")
 
 
-def _trials(member: DataFrame, crowded: int, turn: int) -> DataFrame:
-    """(token, n, pairs, partners) of crowded groups: their members, their pairs between components, and partners to try.
+def _trials(member: DataFrame, turn: int) -> DataFrame:
+    """(token, n, pairs, partners) of the groups of `member`: their members, their pairs between components, and partners to try.
 
     In even turns groups of the same members have the same few partners, from their largest component and from anywhere; in odd ones each
     group has its own of its largest component, so that those who are still apart from it try many of it.
@@ -395,7 +403,7 @@ def _trials(member: DataFrame, crowded: int, turn: int) -> DataFrame:
     one = two.groupBy("token").agg(
         F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("same"), F.max(F.struct("n", F.col("p0.root").alias("root"), "p0", "p1")).alias("most"), F.min("p2").alias("p2"), F.min("p3").alias("p3")
     )
-    return one.where(F.col("n") >= crowded).select("token", "n", F.expr("(n * n - same) div 2 as pairs"), F.array("most.p0", "most.p1", *["p2", "p3"] * alike).alias("partners"))
+    return one.select("token", "n", F.expr("(n * n - same) div 2 as pairs"), F.array("most.p0", "most.p1", *["p2", "p3"] * alike).alias("partners"))
 
 
 def link(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int] = SIMILAR, orders: int = ORDERS, crowded: int = CROWDED, hot: int = HOT) -> DataFrame:
@@ -426,25 +434,39 @@ def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders:
     dealt = _postings(docs.where("doc_id is not null"), frequent, words, similar, hot_level).repartition(deal).sortWithinPartitions("token", "cls")
     shared = cut(dealt.mapInArrow(_shared, "token long, cls long, facts long"), "link-shared")
     n, d = similar
-    member = cut(_met(shared, similar), "link-met")
+    met = cut(_met(shared, similar), "link-met")
+    cut.drop(shared)
 
     # Members against hubs. In larger groups those that can't link with the hub are measured too, for what it says
     # about their other pairs.
-    group = member.groupBy("token").agg(F.min(F.struct(F.expr(_share("lone", 0)).alias("part"), "cls", "size", "lone")).alias("hub"), F.count("*").alias("members"))
+    group = met.groupBy("token").agg(F.min(F.struct(F.expr(_share("lone", 0)).alias("part"), "cls", "size", "lone")).alias("hub"), F.count("*").alias("members"))
     group = group.where("members > 1").select("token", "members", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("cls", "size", "lone")])
-    member = cut(member.join(group, "token"), "link-members")
+    member = dealt_members = cut(met.join(group, "token"), "link-members")
+    cut.drop(met)
     stars = member.where("cls <> hub_cls").groupBy("cls", "hub_cls").agg(*[F.any_value(c).alias(c) for c in ("size", "lone", "hub_size", "hub_lone")], F.max(F.col("members") >= crowded).alias("crowded"))
     stars = stars.where(F.expr(_could_link("size", "hub_size", _most("", "hub_"), similar)) | F.col("crowded")).select(F.col("hub_cls").alias("a"), F.col("cls").alias("b"), "crowded")
     stars = cut(stars, "link-stars")
 
-    def of_classes(pairs: DataFrame, with_text: bool) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = cut(classes.join(wanted, "cls").select(F.col("rep").alias("doc_id"), F.col("cls")), "link-wanted")
-        return cut(_of_class(join_counted(docs, wanted, "doc_id", rows=_IDS), words, with_text), "link-texts" if with_text else "link-sketches")
+    def of_classes(pairs: DataFrame, n_pairs: int, with_text: bool) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+        name = "link-texts" if with_text else "link-sketches"
+        if n_pairs <= BROADCAST_ROWS:
+            wanted = classes.join(F.broadcast(wanted), "cls", "left_semi").select(F.col("rep").alias("doc_id"), F.col("cls"))
+            return cut(_of_class(docs.join(F.broadcast(wanted), "doc_id"), words, with_text).coalesce(max(_TASKS, n_pairs // _TEXTS)), name)
+        wanted = cut(classes.join(wanted.distinct(), "cls").select(F.col("rep").alias("doc_id"), F.col("cls")), "link-wanted")
+        return cut(_of_class(join_counted(docs, wanted, "doc_id", rows=_IDS), words, with_text), name)
 
     def links(pairs: DataFrame) -> DataFrame:
-        likely = cut(_plausible(pairs, of_classes(pairs, False), similar), "link-likely")
-        return cut(_verified(likely, of_classes(likely, True), frequent, words, similar, orders), "link-links")
+        likely, n_pairs = pairs.select("a", "b"), pairs.count()
+        if n_pairs > _UNSIFTED:
+            sketches = of_classes(pairs, n_pairs, False)
+            likely = cut(_plausible(pairs, sketches, similar, n_pairs), "link-likely")
+            cut.drop(sketches)
+            n_pairs = likely.count()
+        texts = of_classes(likely, n_pairs, True)
+        found = cut(_verified(likely, texts, frequent, words, similar, orders, n_pairs), "link-links")
+        cut.drop(texts)
+        return found
 
     first = links(stars)
     roots = components(first.where("linked = 1").select("a", "b"))
@@ -456,21 +478,25 @@ def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders:
     own = Window.partitionBy("cls", "low")
     member = member.withColumn("asks", F.when(F.col("low"), F.row_number().over(own.orderBy("members", "token")) <= lacks).otherwise(False))
     member = member.withColumn("asks", F.col("asks") | (F.count_if("low").over(Window.partitionBy("cls")) < lacks))
-    columns = ["token", "cls", "size", "lone", "hub_cls", "hub_size", "often", "asks"]
+    columns = ["token", "members", "cls", "size", "lone", "hub_cls", "hub_size", "often", "asks"]
     member = cut(_open(member.select(*columns), roots), "link-open")
+    cut.drop(dealt_members)
     edges, tried = first.where("linked = 1").select("a", "b", "rep_a", "rep_b"), stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for turn in range(TRIALS):
-        groups = cut(_trials(member, crowded, turn), "link-groups")
+        # A group is open or closed as a whole, so its number of members still holds.
+        many = member.where(F.col("members") >= crowded)
+        groups = cut(_trials(many, turn), "link-groups")
         n_rows, n_pairs = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if n_pairs <= crowded * n_rows:
             break
-        near = member.join(groups.select("token", F.explode("partners").alias("y")), "token").where("root <> y.root").where(_could_link("size", "y.size", _most("", "y."), similar))
+        near = many.join(groups.select("token", F.explode("partners").alias("y")), "token").where("root <> y.root").where(_could_link("size", "y.size", _most("", "y."), similar))
         near = near.select(F.least("cls", "y.cls").alias("a"), F.greatest("cls", "y.cls").alias("b"), F.lit(False).alias("crowded")).distinct()
         near = cut(near.join(tried, ["a", "b"], "left_anti"), "link-trials")
         joined = links(near).where("linked = 1").select("a", "b", "rep_a", "rep_b")
         edges = edges.unionByName(joined)
         tried = tried.unionByName(near.select("a", "b"))
-        member = cut(_open(member.select(*columns), components(edges.select("a", "b"))), "link-open")
+        closed, member = member, cut(_open(member.select(*columns), components(edges.select("a", "b"))), "link-open")
+        cut.drop(closed)
         if joined.count() * YIELD < near.count():
             break
     # What each shares with its group's hub, lacks of it and has besides; all of itself and nothing if it is the hub.
@@ -538,7 +564,7 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens >> np.uint64(8)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
-def _plausible(pairs: DataFrame, texts: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def _plausible(pairs: DataFrame, texts: DataFrame, similar: tuple[int, int], n_pairs: int) -> DataFrame:
     """The pairs whose sketches allow a link, and all crowded ones, as their overlap is asked for."""
     n, d = similar
 
@@ -556,7 +582,7 @@ def _plausible(pairs: DataFrame, texts: DataFrame, similar: tuple[int, int]) ->
     # Classes whose 64-bit ids are the same have a row each; a pair passes if any of them does.
     left = texts.select(F.col("cls").alias("a"), F.col("sketch").alias("one"))
     right = texts.select(F.col("cls").alias("b"), F.col("sketch").alias("other"))
-    full = pairs.join(right, "b").join(left, "a").select("a", "b", "crowded", "one", "other")
+    full = right.join(_few(pairs, n_pairs), "b").join(left, "a").select("a", "b", "crowded", "one", "other")
     return full.mapInArrow(run, "a long, b long").distinct()
 
 

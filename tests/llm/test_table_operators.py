@@ -349,6 +349,45 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_edges_in_many_tasks(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (written.append(path), write(self, path, *a, **b))[1])
+    star = spark.createDataFrame([(5, i) for i in range(6, 40)] + [(3, 5), (50, 51), (50, 51)], "a long, b long")
+    assert {r.node: r.root for r in components(star).collect()} == {i: 3 for i in range(5, 40)} | {51: 50}
+    # The edges, the check that nothing is left to join, at most one round, and the result.
+    assert len(written) <= 6
+    # Plain joins, where the nodes are many.
+    monkeypatch.setattr("lodestone.llm.components.BROADCAST_ROWS", 0)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 999)], "a long, b long").repartition(16)
+    got = components(chain).collect()
+    assert sorted((r.node, r.root) for r in got) == [*((i, 0) for i in range(1, 201)), (1000, 999)]
+
+
+def test_jaccard_join_of_few_and_many_pairs(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(4000)}" for _ in range(160)]
+    texts = [family(rng, base, rng.randrange(7)) for _ in range(60)]
+    texts += [" ".join(f"w{rng.randrange(4000)}" for _ in range(30)) for _ in range(30)]
+    rows = list(enumerate(texts + texts[:9]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (written.append(path), write(self, path, *a, **b))[1])
+    wanted = brute_links(rows)
+
+    def links():
+        return collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.link(docs).collect())
+
+    # Few pairs fetch their texts at once; each table that isn't written is a step less.
+    assert links() == wanted and not any("link-sketches" in p or "link-wanted" in p for p in written)
+    monkeypatch.setattr(neardup, "_UNSIFTED", 0)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    assert links() == wanted and any("link-sketches" in p for p in written)
+
+
 # Pipeline
 
 
