@@ -58,7 +58,7 @@ class Encoder:
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """All plain words in one call, parted at the tokens that end a word; the others one by one."""
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        plain = [w for w in words if w.isascii() and w.isalpha() or _PLAIN.fullmatch(w)]
         found: dict[str, bytes] = {}
         if plain:
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")

@@ -34,6 +34,7 @@ _SLOT = 110
 
 _STABLE = re.compile(r"(?<=\S)(?= \S)")
 _LOOSE = re.compile(r"\s\s")
+_MARKS = frozenset(".,;:!?#$%&*|()")
 _WORD_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|()]+)")
 
 
@@ -65,37 +66,44 @@ def stable_parts(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
+class _Known(dict):
+    """Values by key; keys that were asked for in vain are kept aside, so that nobody has to look for gaps."""
+
+    def __init__(self):
+        self.vain: list = []
+
+    def __missing__(self, key):
+        self.vain.append(key)
+
+
 class Memo:
     """Values of short strings, up to a number of bytes; then it starts anew. Longer strings are never kept."""
 
     def __init__(self, value_many, most: int = REMEMBERED_BYTES, longest: int = REMEMBERED_CHARS):
         self.value_many, self.most, self.longest = value_many, most, longest
-        self.known: dict = {}
-        self.held = 0
+        self.known, self.held = _Known(), 0
 
     def all(self, keys: list[str]) -> list:
-        values = list(map(self.known.get, keys))
-        if None in values:
-            missing = [i for i, v in enumerate(values) if v is None]
-            fresh = self._learn({keys[i] for i in missing})
-            for i in missing:
-                values[i] = fresh[keys[i]]
+        values = list(map(self.known.__getitem__, keys))
+        if self.known.vain:
+            new, self.known.vain = set(self.known.vain), []
+            fresh = self._learn(new)
+            values = [fresh[k] if v is None else v for k, v in zip(keys, values, strict=True)]
         return values
 
     def _learn(self, new: set[str]) -> dict:
         # A word of letters with punctuation behind it is two pieces to either pre-tokenizer.
-        joint = {k: m.groups() for k in new if (m := _WORD_MARKS.fullmatch(k))}
+        joint = {k: m.groups() for k in new if k[-1:] in _MARKS and (m := _WORD_MARKS.fullmatch(k))}
         single = {x for pair in joint.values() for x in pair} | (new - joint.keys())
         fresh = {x: self.known[x] for x in single if x in self.known}
         unknown = [x for x in single if x not in fresh]
         fresh.update(zip(unknown, self.value_many(unknown), strict=True))
         fresh.update({k: fresh[x] + fresh[y] for k, (x, y) in joint.items()})
         if self.held > self.most:
-            self.known, self.held = {}, 0
-        for k, v in fresh.items():
-            if len(k) <= self.longest and k not in self.known:
-                self.known[k] = v
-                self.held += getsizeof(k) + getsizeof(v) + _SLOT
+            self.known, self.held = _Known(), 0
+        kept = {k: v for k, v in fresh.items() if len(k) <= self.longest and k not in self.known}
+        self.known.update(kept)
+        self.held += sum(map(getsizeof, kept)) + sum(map(getsizeof, kept.values())) + _SLOT * len(kept)
         return fresh
 
 

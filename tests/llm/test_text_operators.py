@@ -66,6 +66,27 @@ def test_packing_ids_equal_the_library():
         assert encoder.ids(text) == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_known_words_are_looked_up_once_and_not_compared():
+    compared = []
+
+    class Value(bytes):
+        __hash__ = bytes.__hash__
+
+        def __eq__(self, other):
+            compared.append(other)
+            return bytes.__eq__(self, other)
+
+    asked = []
+    memo = tokens.Memo(lambda words: (asked.append(sorted(words)), [Value(w.encode()) for w in words])[1], most=2000)
+    assert memo.all(["a", "b", "a", "b!", "x" * 99]) == [b"a", b"b", b"a", b"b!", b"x" * 99]
+    asked.clear(), compared.clear()
+    found = memo.all(["b!", "a", "b", "a"])
+    assert not asked and not compared and found == [b"b!", b"a", b"b", b"a"]
+    # Forgetting all changes no value; words too long to keep are asked for again.
+    for k in range(40):
+        assert memo.all([f"n{k}", "a", f"n{k},", "x" * 99]) == [f"n{k}".encode(), b"a", f"n{k},".encode(), b"x" * 99]
+
+
 def check_packed(rows, capacity):
     bins = collections.defaultdict(list)
     for r in rows:
