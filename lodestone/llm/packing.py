@@ -14,26 +14,34 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import BROADCAST_ROWS, cut, join_counted
-from lodestone.llm.tokens import Memo, load
+from lodestone.llm.tokens import load
 
 CAPACITY = 2048
 #: Buckets in which the pieces of one length are ranked.
 BUCKETS = 64
 
-_GAP = re.compile(r"[ \t\n\r\f\v]+")
-#: Python takes these for white space, the tokenizer doesn't.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Bytes of text that are encoded together.
+STRETCH_BYTES = 2 << 20
+#: Words that a worker remembers, and characters of the longest that it remembers.
+REMEMBERED_WORDS = 200_000
+REMEMBERED_CHARS = 64
+
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTERS = "".join(c for c in map(chr, range(256)) if _PLAIN.fullmatch(c))
+#: The pre-tokenizer parts these from a plain word before them, and keeps them together.
+_MARKS = ".,;:!?#$%&*|()"
 
 
 def default_tokenizer() -> str:
@@ -42,58 +50,154 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
-    """Ids of one worker's texts. The word tokenizer never joins what white space parts, so each word is encoded once and remembered."""
+def letter_pieces(tokenizer) -> dict[int, str] | None:
+    """What the library makes of each letter of a plain word before its model sees it.
 
-    def __init__(self, path: str):
-        self.tokenizer, self.memo = load(path), Memo(self._encode)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+    None if the model doesn't get plain words whole, letter by letter, capital letters as small ones.
+    """
+    def seen(text: str) -> str | None:
+        text = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+        got = tokenizer.pre_tokenizer.pre_tokenize_str(text) if tokenizer.pre_tokenizer else []
+        return got[0][0] if len(got) == 1 else None
 
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = [w for w in _GAP.split(text) if w] if _SEPARATORS.search(text) else text.split()
-        return b"".join(self.memo.all(words))
+    table = {ord(c): seen(c) for c in _LETTERS}
+    small = pc.utf8_lower(_LETTERS).as_py()
+    if None in table.values() or _LETTERS.translate(table) != small.translate(table) or seen(_LETTERS) != small.translate(table):
+        return None
+    ids = [t.id for t in tokenizer.model.tokenize(small.translate(table))]
+    return table if ids == tokenizer.encode(_LETTERS, add_special_tokens=False).ids else None
+
+
+class _Places(dict):
+    """Places of words in the table of ids; a new word gets the next place and is noted."""
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """All plain words in one call, parted at the tokens that end a word; the others one by one."""
-        plain = [w for w in words if w.isascii() and w.isalpha() or _PLAIN.fullmatch(w)]
-        found: dict[str, bytes] = {}
-        if plain:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(ends) == len(plain):
-                whole = ids.tobytes()
-                found = {w: whole[a:b] for w, a, b in zip(plain, [0, *ends], ends, strict=False)}
-        rest = [w for w in words if w not in found]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            found[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [found[w] for w in words]
+    def __init__(self, words: Iterable[str]):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.new: list[str] = []
 
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
 
-_encoders: dict[str, Encoder] = {}
+
+class Encoder:
+    """Ids of one worker's texts, each followed by `end`.
+
+    The word tokenizer never joins what white space parts, so each distinct word of the texts is encoded once, and its
+    ids stand in a table. Plain words are kept in small letters, without the marks behind them. When the table has more
+    than `most` words, the half of them that most calls asked for stays.
+    """
+
+    def __init__(self, path: str, end: tuple[int, ...] = (), most: int = REMEMBERED_WORDS, longest: int = REMEMBERED_CHARS):
+        self.tokenizer, self.end, self.most, self.longest = load(path), np.asarray(end, "<u4"), most, longest
+        self.model, self.letters = self.tokenizer.model, letter_pieces(self.tokenizer)
+        # The empty word has place 0 and no ids.
+        self.places, self.table = _Places([""]), np.zeros(0, "<u4")
+        self.starts, self.sizes, self.uses = np.zeros((3, 1), np.int64)
+
+    def ids(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        return self.encode(pa.array([text], pa.string()))[0].tobytes()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each end."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        ids, sizes = self._words(words.dictionary)
+        last = pc.list_value_length(split).to_numpy().cumsum(dtype=np.int64)
+        sizes = np.append(sizes, len(self.end))
+        starts = sizes.cumsum() - sizes
+        ids, ends = _taken(np.concatenate([ids, self.end]), starts, sizes, np.insert(words.indices.to_numpy(), last, len(sizes) - 1))
+        return ids, ends[last + np.arange(len(last))]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one behind the other, and how many each has."""
+        if not len(words):
+            return self.table[:0], self.sizes[:0]
+        base = pc.utf8_rtrim(words, characters=_MARKS)
+        plain = pc.and_(pc.match_substring_regex(base, f"^{_PLAIN.pattern}$"), self.letters is not None)
+        marks = pc.utf8_ltrim(words, characters=_LETTERS)
+        parts = pa.concat_arrays([pc.if_else(plain, pc.utf8_lower(base), words), pc.if_else(plain, marks, "")]).dictionary_encode()
+        places = np.fromiter(map(self.places.__getitem__, parts.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(parts.dictionary))
+        if self.places.new:
+            self._learn()
+        self.uses[places] += 1
+        ids, ends = _taken(self.table, self.starts, self.sizes, places[parts.indices.to_numpy()].reshape(2, -1).T.ravel())
+        if len(self.places) > self.most:
+            self._forget()
+        return ids, np.diff(ends[1::2], prepend=0)
+
+    def _learn(self) -> None:
+        """Plain words go to the model as the library would hand them to it, the others to the whole tokenizer."""
+        new, self.places.new = self.places.new, []
+        plain = [w for w in new if self.letters and (w.isascii() and w.isalpha() or _PLAIN.fullmatch(w))]
+        known = set(plain)
+        rest = [w for w in new if w not in known]
+        ids, sizes = [], []
+        for piece in "\n".join(plain).translate(self.letters).split("\n") if plain else ():
+            tokens = self.model.tokenize(piece)
+            ids += [t.id for t in tokens]
+            sizes.append(len(tokens))
+        for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False):
+            ids += e.ids
+            sizes.append(len(e.ids))
+        at = np.fromiter(map(self.places.__getitem__, plain + rest), np.int64, len(new))
+        sizes = np.asarray(sizes, np.int64)
+        self.starts, self.sizes, self.uses = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.starts, self.sizes, self.uses))
+        self.starts[at], self.sizes[at] = len(self.table) + sizes.cumsum() - sizes, sizes
+        self.table = np.concatenate([self.table, np.asarray(ids, "<u4")])
+
+    def _forget(self) -> None:
+        words = list(self.places)
+        often = np.argsort(-self.uses, kind="stable")[: self.most // 2]
+        keep = [0, *(i for i in often.tolist() if i and self.uses[i] > 1 and len(words[i]) <= self.longest)]
+        self.table, ends = _taken(self.table, self.starts, self.sizes, np.array(keep))
+        self.places, self.uses, self.sizes = _Places(words[i] for i in keep), self.uses[keep] // 2, self.sizes[keep]
+        self.starts = ends - self.sizes
+
+
+def _taken(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands in the table at the places, and where that of each place ends."""
+    own = sizes[places]
+    ends = own.cumsum()
+    return table[np.arange(own.sum()) + np.repeat(starts[places] - ends + own, own)], ends
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def stretches(batch: pa.RecordBatch, size: int = STRETCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in slices with so many bytes of text, or of one row."""
+    held = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum() // size
+    ends = [*(np.flatnonzero(np.diff(held)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip([0, *ends], ends, strict=False) if b > a)
 
 
 def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, text) rows as pieces: doc_id, piece, start, length, ids_crc32, and ids if asked for."""
     path = tokenizer or default_tokenizer()
-    tail, names = np.asarray([end_id], "<u4").tobytes(), ["doc_id", "piece", "start", "length", "ids_crc32"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(path, Encoder(path))
+        if (path, end_id) not in _encoders:
+            _encoders[path, end_id] = Encoder(path, (end_id,))
+        encoder = _encoders[path, end_id]
         for batch in batches:
-            rows: list[tuple] = []
-            for i, value in enumerate(batch.column(1)):
-                ids = encoder.ids(value.as_py() or "") + tail
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            took, k, start, length, crc, parts = zip(*rows, strict=True) if rows else ((),) * 6
-            arrays = [batch.column(0).take(pa.array(took, pa.int64())), pa.array(k, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
-            if with_ids:
-                arrays.append(pa.array([np.frombuffer(p, "<u4").astype("i4") for p in parts], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
+            for rows in stretches(batch):
+                ids, ends = encoder.encode(rows.column(1))
+                sizes = np.diff(ends, prepend=0)
+                cuts = -(-sizes // capacity)
+                took = np.repeat(np.arange(len(sizes)), cuts)
+                k = np.arange(len(took)) - np.repeat(cuts.cumsum() - cuts, cuts)
+                start = k * capacity
+                length = np.minimum(sizes[took] - start, capacity)
+                bounds, raw = np.concatenate([[0], length.cumsum()]), memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in itertools.pairwise(bounds.tolist())]
+                arrays = [rows.column(0).take(pa.array(took)), pa.array(k, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
+                if with_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype("i4"))))
+                yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)

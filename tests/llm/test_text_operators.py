@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import html_text, packing, quality, syncmers, tokens
@@ -66,6 +67,37 @@ def test_packing_ids_equal_the_library():
         assert encoder.ids(text) == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_packing_encodes_a_word_once_in_any_case_and_with_any_marks():
+    path = packing.default_tokenizer()
+    library, encoder = tokens.load(path), packing.Encoder(path, (7,), most=40)
+    asked, model = [], encoder.model
+
+    class Model:
+        def tokenize(self, word):
+            asked.append(word)
+            return model.tokenize(word)
+
+    encoder.model = Model()
+
+    def same(texts):
+        ids, ends = encoder.encode(pa.array(texts, pa.string()))
+        wanted = [library.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == wanted
+
+    same(["Zorble zorble, ZORBLE! (zorble) zorble.", None, "", " \n", "zorble... Zorble|"])
+    same(["ZORBLE$ zorble"])
+    assert asked == ["zorble"]
+    # Forgetting what is used least changes no ids.
+    for k in range(60):
+        same([f"ZORBLE, {chr(97 + k % 26)}{chr(97 + k // 26)}x \x1c{k}' Éa{chr(97 + k % 26)}. <|endoftext|>a, é É! ", "  "] + odd_texts(3, 30, k))
+        assert len(encoder.places) <= 40 + 60
+    assert asked.count("zorble") < 10
+    # A tokenizer whose model doesn't see plain words letter by letter gets whole words.
+    assert packing.letter_pieces(library) and packing.letter_pieces(tokens.load(tokens.default_tokenizer())) is None
+    encoder.letters = None
+    same(["Wombly wombly, WOMBLY!", "é"])
+
+
 def test_known_words_are_looked_up_once_and_not_compared():
     compared = []
 
