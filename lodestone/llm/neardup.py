@@ -39,11 +39,10 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_ROWS, SPACE, WORD, cut, join_counted, scratch
+from lodestone.llm.common import BROADCAST_ROWS, SPACE, WORD, cut, join_counted, scratch, slices
 from lodestone.llm.components import components
 
 WORDS = 5
@@ -164,7 +163,7 @@ def _raws(column: pa.Array) -> list[bytes]:
     return [(v.as_py() or "").encode().lower() for v in column]
 
 
-def _parts(raws: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _parts(raws: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Stretches of texts of about so many bytes."""
     at, size = 0, 0
     for i, r in enumerate(raws):
@@ -176,15 +175,6 @@ def _parts(raws: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield at, len(raws)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], *texts: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in stretches whose columns of texts hold about so many bytes, so that few long texts are unpacked at once."""
-    for batch in batches:
-        sizes = sum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in texts)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            yield batch.slice(a, b - a)
-
-
 def _longs(*columns, names: list[str]) -> pa.RecordBatch:
     signed = [c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if getattr(c, "dtype", None) == np.uint64 else c, pa.int64()) for c in columns]
     return pa.RecordBatch.from_arrays(signed, names)
@@ -198,12 +188,17 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
         held: list[np.ndarray] = []
         seen: set = set()
 
-        def often() -> pa.RecordBatch:
-            ids, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            ids, n = ids[n >= _OFTEN], n[n >= _OFTEN]
-            return _longs(np.ones(len(ids), np.int64), pa.nulls(len(ids), pa.int64()), ids, np.zeros(len(ids), np.int64), n, names=names)
-
-        for batch in _slices(batches, 1):
+        def met_often() -> pa.RecordBatch:
+            # Sorted in place: one that stands `_OFTEN` places apart from itself was met so often.
+            ids = np.concatenate([np.zeros(0, np.uint64), *held])
+            held.clear()
+            ids.sort()
+            first = ids[: max(0, len(ids) - _OFTEN + 1)]
+            often = np.unique(first[first == ids[_OFTEN - 1 :]])
+            n = np.searchsorted(ids, often, side="right") - np.searchsorted(ids, often, side="left")
+            return _longs(np.ones(len(often), np.int64), pa.nulls(len(often), pa.int64()), often, np.zeros(len(often), np.int64), n, names=names)
+
+        for batch in slices(batches, 1):
             raws = _raws(batch.column(1))
             for a, b in _parts(raws):
                 keys = [_key(r) for r in raws[a:b]]
@@ -214,9 +209,9 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
                         held.append(s)
                 yield _longs(np.zeros(b - a, np.int64), batch.column(0)[a:b], [k[0] for k in keys], [k[1] for k in keys], [len(s) for s in sets], names=names)
                 if sum(map(len, held)) > COUNTED:
-                    yield often()
-                    held, seen = [], set()
-        yield often()
+                    yield met_often()
+                    seen.clear()
+        yield met_often()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind long, doc_id long, hi long, lo long, n long")
 
@@ -233,7 +228,7 @@ def _postings(docs: DataFrame, frequent, words: int, similar, hot_level: int = H
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set = set()
-        for batch in _slices(batches, 0):
+        for batch in slices(batches, 0):
             raws = _raws(batch.column(0))
             for a, b in _parts(raws):
                 rows: list[tuple] = []
@@ -297,10 +292,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequent, words: int, similar,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
-        for batch in _slices(batches, 4, 5):
+        for batch in slices(batches, 4, 5):
             one, other = _raws(batch.column(4)), _raws(batch.column(5))
             new = list({r for r in [*one, *other] if r not in known})
-            if sum(map(len, known)) > 32 << 20:
+            if sum(map(len, known)) > 16 << 20:
                 known.clear()
                 new = list({*one, *other})
             for a, b in _parts(new):
@@ -545,7 +540,7 @@ def _of_class(rows: DataFrame, words: int, with_text: bool) -> DataFrame:
     """(cls, rep, text or sketch) of rows whose text is of the class; another row may have the same id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 2):
+        for batch in slices(batches, 2):
             raws = _raws(batch.column(2))
             own = pa.array([_key(r)[1] == c for r, c in zip(raws, batch.column(0).to_pylist(), strict=True)], pa.bool_())
             if not with_text:
@@ -593,11 +588,16 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     different ones).
     """
     columns = docs.columns
-    found = link(docs, **options)
-    kept = found.where("component_id = doc_id and n_shingles > 0").select(F.col("doc_id").alias("_l_id")).distinct()
+    found = link(docs, **options).where("doc_id is not null and n_shingles > 0").groupBy("doc_id")
+    kept = cut(found.agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("kept"), F.count("*").alias("n")).where("kept").select(F.col("doc_id").alias("_l_id"), "n"), "link-kept")
     plain = docs.withColumn("_l_words", F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False)) & F.col("doc_id").isNotNull())
+    # Whole texts are sorted only where an id has several rows.
+    once, more = (kept.where(n).select("_l_id") for n in ("n = 1", "n > 1"))
+    chosen = plain.where("_l_words").withColumn("_l_id", F.col("doc_id").cast("long"))
+    out = join_counted(chosen, once, "_l_id").select(*columns).unionByName(plain.where("not _l_words").select(*columns))
+    if more.isEmpty():
+        return out
     words = F.translate(F.regexp_replace(F.btrim("text", F.lit("\x20\x09\x0a\x0b\x0c\x0d")), SPACE, " "), _CAPITALS, _CAPITALS.lower())
     unique = Window.partitionBy("doc_id", "_l_same").orderBy("text")
-    chosen = plain.where("_l_words").join(kept, F.col("doc_id") == F.col("_l_id"), "left_semi")
-    chosen = chosen.withColumn("_l_same", F.md5(words)).withColumn("_l_n", F.row_number().over(unique)).where("_l_n = 1")
-    return chosen.select(*columns).unionByName(plain.where("not _l_words").select(*columns))
+    chosen = join_counted(chosen, more, "_l_id").withColumn("_l_same", F.md5(words)).withColumn("_l_n", F.row_number().over(unique)).where("_l_n = 1")
+    return out.unionByName(chosen.select(*columns))

@@ -25,16 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_ROWS, cut, join_counted
+from lodestone.llm.common import BROADCAST_ROWS, cut, join_counted, slices
 from lodestone.llm.tokens import load
 
 CAPACITY = 2048
 #: Buckets in which the pieces of one length are ranked.
 BUCKETS = 64
 
-#: Bytes of text that are encoded together.
-STRETCH_BYTES = 2 << 20
-#: Words that a worker remembers, and characters of the longest that it remembers.
+#: Words that a task remembers, and characters of the longest that it remembers.
 REMEMBERED_WORDS = 200_000
 REMEMBERED_CHARS = 64
 
@@ -82,7 +80,7 @@ class _Places(dict):
 
 
 class Encoder:
-    """Ids of one worker's texts, each followed by `end`.
+    """Ids of one task's texts, each followed by `end`.
 
     The word tokenizer never joins what white space parts, so each distinct word of the texts is encoded once, and its
     ids stand in a table. Plain words are kept in small letters, without the marks behind them. When the table has more
@@ -164,40 +162,27 @@ def _taken(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.
     return table[np.arange(own.sum()) + np.repeat(starts[places] - ends + own, own)], ends
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
-def stretches(batch: pa.RecordBatch, size: int = STRETCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows in slices with so many bytes of text, or of one row."""
-    held = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum() // size
-    ends = [*(np.flatnonzero(np.diff(held)) + 1).tolist(), batch.num_rows]
-    return (batch.slice(a, b - a) for a, b in zip([0, *ends], ends, strict=False) if b > a)
-
-
 def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, text) rows as pieces: doc_id, piece, start, length, ids_crc32, and ids if asked for."""
     path = tokenizer or default_tokenizer()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, end_id) not in _encoders:
-            _encoders[path, end_id] = Encoder(path, (end_id,))
-        encoder = _encoders[path, end_id]
-        for batch in batches:
-            for rows in stretches(batch):
-                ids, ends = encoder.encode(rows.column(1))
-                sizes = np.diff(ends, prepend=0)
-                cuts = -(-sizes // capacity)
-                took = np.repeat(np.arange(len(sizes)), cuts)
-                k = np.arange(len(took)) - np.repeat(cuts.cumsum() - cuts, cuts)
-                start = k * capacity
-                length = np.minimum(sizes[took] - start, capacity)
-                bounds, raw = np.concatenate([[0], length.cumsum()]), memoryview(ids).cast("B")
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in itertools.pairwise(bounds.tolist())]
-                arrays = [rows.column(0).take(pa.array(took)), pa.array(k, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
-                if with_ids:
-                    arrays.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype("i4"))))
-                yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
+        encoder = Encoder(path, (end_id,))  # of this task: a worker goes on to other work
+        for rows in slices(batches, 1):
+            ids, ends = encoder.encode(rows.column(1))
+            sizes = np.diff(ends, prepend=0)
+            cuts = -(-sizes // capacity)
+            took = np.repeat(np.arange(len(sizes)), cuts)
+            k = np.arange(len(took)) - np.repeat(cuts.cumsum() - cuts, cuts)
+            start = k * capacity
+            length = np.minimum(sizes[took] - start, capacity)
+            bounds, raw = np.concatenate([[0], length.cumsum()]), memoryview(ids.tobytes())
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in itertools.pairwise(bounds.tolist())]
+            arrays = [rows.column(0).take(pa.array(took)), pa.array(k, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
+            if with_ids:
+                arrays.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype("i4"))))
+            yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import slices
+
 #: Most rows that the trees are fitted on.
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.3
@@ -173,7 +175,7 @@ def _statistics_of(rows: DataFrame, keep: list[str]) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             stats = pa.array([statistics(v.as_py()) for v in batch.column("text")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], stats], [*keep, "stats"])
 
@@ -196,7 +198,7 @@ def score(docs: DataFrame, trees: Trees, *, threshold: float = THRESHOLD, keep:
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             x = np.array([statistics(v.as_py()) for v in batch.column("text")], float).reshape(batch.num_rows, len(STATISTICS))
             s = trees.score(x)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
@@ -214,8 +216,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
 def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of `docs` that the classifier doesn't reject, with their columns."""
     columns = docs.columns
-    names = [f"_q{i}" for i in range(len(columns))]
-    plain = docs.toDF(*names)  # so that no column of docs clashes with those of a score
-    text = plain.withColumn("text", F.col(names[columns.index("text")]))
-    kept = score(text, train(docs, labels, **options), threshold=threshold, keep=tuple(names)).where("predicted = 1")
+    # So that no column of docs clashes with those of a score; the text keeps its name and goes to the tasks once.
+    at = columns.index("text")
+    names = ["text" if i == at else f"_q{i}" for i in range(len(columns))]
+    plain = docs.toDF(*names)
+    kept = score(plain, train(docs, labels, **options), threshold=threshold, keep=tuple(names)).where("predicted = 1")
     return kept.select(*names).toDF(*columns)

@@ -9,10 +9,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, neardup, queries, secrets, topk, warc
+from lodestone.llm import common, mixing, neardup, queries, secrets, topk, warc
 from lodestone.llm.components import components
 
 SQL = queries.oracle_sql()
@@ -391,6 +392,27 @@ def test_jaccard_join_of_few_and_many_pairs(spark, monkeypatch):
 # Pipeline
 
 
+def test_slices_are_small_and_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: given.append(1)})())
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 999_999, None, "y" * 999_999, "z" * 3_000_000, "", "w"]})
+    got = list(common.slices(iter([batch, batch.slice(0, 0)]), 0))
+    assert [b.num_rows for b in got] == [3, 3, 0] and pa.Table.from_batches(got).to_pydict() == batch.to_pydict()
+    assert len(given) == 2
+
+
+def test_one_of_each_sorts_texts_only_of_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (2, text.upper()), (3, "other words"), (4, None), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.one_of_each(docs)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, [docs.collect()[i] for i in (0, 2, 3, 4)]))
+    # An id with several texts keeps each of them once.
+    again = spark.createDataFrame([*rows, (3, "more words"), (3, "Other  words"), (3, "more words"), (2, "unlike")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in neardup.one_of_each(again).collect()) == sorted([(1, text), (3, "Other  words"), (3, "more words"), (4, ""), (0, text)])
+
+
 def test_pipeline_stages(spark, sf_dir, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
