@@ -1,4 +1,4 @@
-"""Connected components of an edge table: forests within tasks, then alternating large and small stars."""
+"""Connected components of an edge table: forests within tasks, then one task for what is little, or alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -16,10 +16,11 @@ HELD = 500_000
 _EDGES, _TASKS = 25_000, 8
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few_edges: int | None = None) -> DataFrame:
     """(a, b) edges of long ids to (node, root): the least node reachable, for every node that is not its own root.
 
-    Each task first turns the edges it reads into stars around their least nodes, so that few rounds are left. They end
+    Each task first turns the edges it reads into stars around their least nodes. If these are counted to have at most
+    `few_edges` edges (BROADCAST_ROWS), one task joins them; else rounds follow, of which few are left. They end
     when every node is either a root or has one neighbour, its root, which the first step of a round shows.
     Each round is written to the shared folder, so lineage stays short; the rounds' tables are deleted at the end.
     Rounds grow with the logarithm of the longest chain. Only counts come to the driver. Stars are broadcast only if the
@@ -27,7 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     with scratch() as own:
         now = own(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long"), "components")
-        tasks = max(_TASKS, now.count() // _EDGES)
+        n_edges, few_edges = now.count(), BROADCAST_ROWS if few_edges is None else few_edges
+        if n_edges <= few_edges:
+            joined = now.coalesce(1).mapInArrow(lambda batches: _forest(batches, 2 * few_edges), "a long, b long")
+            return cut(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "components")
+        tasks = max(_TASKS, n_edges // _EDGES)
         while True:
             both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
             least = both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).coalesce(tasks)
@@ -42,8 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
             now = own(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(tasks), "components")
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges as (node, least node that they join it to), for up to HELD nodes at a time."""
+def _forest(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Edges as (node, least node that they join it to), for up to `held` nodes at a time."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -61,7 +66,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > HELD:
+        if len(parent) > held:
             yield stars()
             parent.clear()
     if parent:

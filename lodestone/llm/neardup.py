@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_ROWS, SPACE, WORD, cut, join_counted, scratch, slices
+from lodestone.llm.common import BROADCAST_ROWS, SPACE, WORD, cut, join_counted, scratch, slices, small_batches
 from lodestone.llm.components import components
 
 WORDS = 5
@@ -68,6 +68,8 @@ _IDS = 1_000_000
 _UNSIFTED = 20_000
 #: Texts or sketches for each of the tasks that write those of few pairs, and fewest tasks.
 _TEXTS, _TASKS = 5_000, 8
+#: Shingles of the corpus, and pairs, for each of the tasks that a step's tables are written in at most.
+_SHINGLES, _PAIRS = 250_000, 2_000
 #: Members from which on a group's pairs are bounded by measured overlaps with its hub, and its members try partners.
 CROWDED = 12
 #: Most rounds of trials; what they leave apart is compared pair by pair.
@@ -317,7 +319,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequent, words: int, similar,
     left = texts.select(F.col("cls").alias("a"), F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cls").alias("b"), F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
     full = right.join(_few(pairs, n_pairs), "b").join(left, "a").select("a", "b", "rep_a", "rep_b", "text_a", "text_b")
-    return full.mapInArrow(run, "a long, b long, rep_a long, rep_b long, shared long, linked long, lacks array<long>, extras array<long>")
+    return full.coalesce(_tasks(n_pairs)).mapInArrow(run, "a long, b long, rep_a long, rep_b long, shared long, linked long, lacks array<long>, extras array<long>")
+
+
+def _tasks(n_pairs: int) -> int:
+    return max(_TASKS, n_pairs // _PAIRS)
 
 
 def _few(pairs: DataFrame, n_pairs: int) -> DataFrame:
@@ -384,7 +390,7 @@ def _open(member: DataFrame, roots: DataFrame) -> DataFrame:
     return member.join(parted.select("token"), "token")
 
 
-def _trials(member: DataFrame, turn: int) -> DataFrame:
+def _trials(member: DataFrame, turn: int, tasks: int) -> DataFrame:
     """(token, n, pairs, partners) of the groups of `member`: their members, their pairs between components, and partners to try.
 
     In even turns groups of the same members have the same few partners, from their largest component and from anywhere; in odd ones each
@@ -394,11 +400,11 @@ def _trials(member: DataFrame, turn: int) -> DataFrame:
     by = [F.xxhash64(F.lit(4 * turn + i), *([] if alike else ["token"]), "cls").alias("by") for i in range(4)]
     two = member.groupBy("token", "root").agg(F.count("*").alias("n"), *[
         F.min(F.struct(by[i], "cls", "size", "lone", "root")).alias(f"p{i}") for i in range(4)
-    ])
+    ]).coalesce(tasks)
     one = two.groupBy("token").agg(
         F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("same"), F.max(F.struct("n", F.col("p0.root").alias("root"), "p0", "p1")).alias("most"), F.min("p2").alias("p2"), F.min("p3").alias("p3")
     )
-    return one.select("token", "n", F.expr("(n * n - same) div 2 as pairs"), F.array("most.p0", "most.p1", *["p2", "p3"] * alike).alias("partners"))
+    return one.select("token", "n", F.expr("(n * n - same) div 2 as pairs"), F.array("most.p0", "most.p1", *["p2", "p3"] * alike).alias("partners")).coalesce(tasks)
 
 
 def link(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int] = SIMILAR, orders: int = ORDERS, crowded: int = CROWDED, hot: int = HOT) -> DataFrame:
@@ -406,41 +412,43 @@ def link(docs: DataFrame, *, words: int = WORDS, similar: tuple[int, int] = SIMI
 
     `crowded` and `hot` change what the search costs, never its links.
     """
-    with scratch() as own_cut:
+    with scratch() as own_cut, small_batches(docs.sparkSession):
         return cut(_linked(docs.select("doc_id", "text"), own_cut, words, similar, orders, crowded, hot), "link")
 
 
 def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders: int, crowded: int, hot_level: int) -> DataFrame:
     spark = docs.sparkSession
     survey = cut(_survey(docs, words), "link-survey")
-    met = survey.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "hi").limit(FREQUENT)
+    # Postings are no more than shingles. Little is not dealt to more tasks than it can use, however many partitions the session has.
+    tasks = max(_TASKS, (survey.where("kind = 0").agg(F.sum("n")).first()[0] or 0) // _SHINGLES)
+    met = survey.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).coalesce(tasks).where("n >= 16").orderBy(F.desc("n"), "hi").limit(FREQUENT)
     met = met.select("hi", F.least(F.floor(F.log2("n")), F.lit(60)).cast("long").alias("level")).toArrow()
     ids, levels = met.column("hi").to_numpy().view(np.uint64), met.column("level").to_numpy().astype(np.uint64)
     by_id = np.argsort(ids)
     frequent = spark.sparkContext.broadcast((ids[by_id], levels[by_id]))
 
     rows = survey.where("kind = 0").drop("kind")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")).coalesce(tasks)
     classes = cut(classes.select("hi", F.col("lo").alias("cls"), "rep"), "link-classes")
 
     # A hot token's classes are dealt to many tasks; nothing below needs a token's rows together.
     hot = (F.col("facts") >= 0) & (F.col("facts").bitwiseAND(16) > 0)
     deal = F.when(hot, F.xxhash64("token", F.pmod("cls", F.lit(1024)))).otherwise(F.col("token"))
-    dealt = _postings(docs.where("doc_id is not null"), frequent, words, similar, hot_level).repartition(deal).sortWithinPartitions("token", "cls")
+    dealt = _postings(docs.where("doc_id is not null"), frequent, words, similar, hot_level).repartition(deal).coalesce(tasks).sortWithinPartitions("token", "cls")
     shared = cut(dealt.mapInArrow(_shared, "token long, cls long, facts long"), "link-shared")
     n, d = similar
-    met = cut(_met(shared, similar), "link-met")
+    met = cut(_met(shared, similar).coalesce(tasks), "link-met")
     cut.drop(shared)
 
     # Members against hubs. In larger groups those that can't link with the hub are measured too, for what it says
     # about their other pairs.
     group = met.groupBy("token").agg(F.min(F.struct(F.expr(_share("lone", 0)).alias("part"), "cls", "size", "lone")).alias("hub"), F.count("*").alias("members"))
     group = group.where("members > 1").select("token", "members", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("cls", "size", "lone")])
-    member = dealt_members = cut(met.join(group, "token"), "link-members")
+    member = dealt_members = cut(met.join(group, "token").coalesce(tasks), "link-members")
     cut.drop(met)
     stars = member.where("cls <> hub_cls").groupBy("cls", "hub_cls").agg(*[F.any_value(c).alias(c) for c in ("size", "lone", "hub_size", "hub_lone")], F.max(F.col("members") >= crowded).alias("crowded"))
     stars = stars.where(F.expr(_could_link("size", "hub_size", _most("", "hub_"), similar)) | F.col("crowded")).select(F.col("hub_cls").alias("a"), F.col("cls").alias("b"), "crowded")
-    stars = cut(stars, "link-stars")
+    stars = cut(stars.coalesce(tasks), "link-stars")
 
     def of_classes(pairs: DataFrame, n_pairs: int, with_text: bool) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
@@ -474,23 +482,23 @@ def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders:
     member = member.withColumn("asks", F.when(F.col("low"), F.row_number().over(own.orderBy("members", "token")) <= lacks).otherwise(False))
     member = member.withColumn("asks", F.col("asks") | (F.count_if("low").over(Window.partitionBy("cls")) < lacks))
     columns = ["token", "members", "cls", "size", "lone", "hub_cls", "hub_size", "often", "asks"]
-    member = cut(_open(member.select(*columns), roots), "link-open")
+    member = cut(_open(member.select(*columns), roots).coalesce(tasks), "link-open")
     cut.drop(dealt_members)
     edges, tried = first.where("linked = 1").select("a", "b", "rep_a", "rep_b"), stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for turn in range(TRIALS):
         # A group is open or closed as a whole, so its number of members still holds.
         many = member.where(F.col("members") >= crowded)
-        groups = cut(_trials(many, turn), "link-groups")
+        groups = cut(_trials(many, turn, tasks), "link-groups")
         n_rows, n_pairs = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if n_pairs <= crowded * n_rows:
             break
         near = many.join(groups.select("token", F.explode("partners").alias("y")), "token").where("root <> y.root").where(_could_link("size", "y.size", _most("", "y."), similar))
-        near = near.select(F.least("cls", "y.cls").alias("a"), F.greatest("cls", "y.cls").alias("b"), F.lit(False).alias("crowded")).distinct()
-        near = cut(near.join(tried, ["a", "b"], "left_anti"), "link-trials")
+        near = near.select(F.least("cls", "y.cls").alias("a"), F.greatest("cls", "y.cls").alias("b"), F.lit(False).alias("crowded")).coalesce(tasks).distinct()
+        near = cut(near.join(tried, ["a", "b"], "left_anti").coalesce(tasks), "link-trials")
         joined = links(near).where("linked = 1").select("a", "b", "rep_a", "rep_b")
         edges = edges.unionByName(joined)
         tried = tried.unionByName(near.select("a", "b"))
-        closed, member = member, cut(_open(member.select(*columns), components(edges.select("a", "b"))), "link-open")
+        closed, member = member, cut(_open(member.select(*columns), components(edges.select("a", "b"))).coalesce(tasks), "link-open")
         cut.drop(closed)
         if joined.count() * YIELD < near.count():
             break
@@ -521,8 +529,8 @@ def _linked(docs: DataFrame, cut, words: int, similar: tuple[int, int], orders:
     bounds = [_most("x.", "y."), through_hub(f"least(x.met, y.met, x.hub_size - ({lacking}))", f"{besides} + least(x.slack, y.slack)")]
     bounded = " and ".join(_could_link("x.size", "y.size", b, similar) for b in bounds)
     rest = x.join(y, F.expr(f"x.token = y.token and (x.size, x.cls) < (y.size, y.cls) and x.root <> y.root and coalesce(({met_before}) = 0, true) and {bounded}"))
-    rest = rest.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.lit(False).alias("crowded")).distinct()
-    last = links(cut(rest.join(tried, ["a", "b"], "left_anti"), "link-rest"))
+    rest = rest.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.lit(False).alias("crowded")).coalesce(tasks).distinct()
+    last = links(cut(rest.join(tried, ["a", "b"], "left_anti").coalesce(tasks), "link-rest"))
 
     edges = edges.unionByName(last.where("linked = 1").select("a", "b", "rep_a", "rep_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     # Rows that share an id are one node: their classes' representatives are joined.
@@ -578,7 +586,7 @@ def _plausible(pairs: DataFrame, texts: DataFrame, similar: tuple[int, int], n_p
     left = texts.select(F.col("cls").alias("a"), F.col("sketch").alias("one"))
     right = texts.select(F.col("cls").alias("b"), F.col("sketch").alias("other"))
     full = right.join(_few(pairs, n_pairs), "b").join(left, "a").select("a", "b", "crowded", "one", "other")
-    return full.mapInArrow(run, "a long, b long").distinct()
+    return full.coalesce(_tasks(n_pairs)).mapInArrow(run, "a long, b long").distinct().coalesce(_tasks(n_pairs))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

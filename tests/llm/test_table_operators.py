@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import contextlib
 import hashlib
 import itertools
 import random
@@ -366,6 +367,68 @@ def test_components_of_edges_in_many_tasks(spark, monkeypatch):
     assert sorted((r.node, r.root) for r in got) == [*((i, 0) for i in range(1, 201)), (1000, 999)]
 
 
+def test_components_of_few_edges_take_one_round(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (written.append(path), write(self, path, *a, **b))[1])
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 999), (999, 999)]
+    chain = spark.createDataFrame(edges, "a long, b long").repartition(16)
+    wanted = [*((i, 0) for i in range(1, 201)), (1000, 999)]
+    assert sorted((r.node, r.root) for r in components(chain).collect()) == wanted
+    assert len(written) == 2  # the forests of the tasks, and the result
+    # As many as the bound, and one more, which rounds join.
+    counts = []
+    for bound in (201, 200):
+        written.clear()
+        assert sorted((r.node, r.root) for r in components(chain.coalesce(1), bound).collect()) == wanted
+        counts.append(len(written))
+    assert counts[0] == 2 < counts[1]
+
+
+def test_jaccard_join_deals_little_to_few_tasks(spark, monkeypatch):
+    rows = [(i, f"{'a b c d e f g h i j k l m n o p' if i % 3 else 'q r s t u v w x'} {i % 7}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts, cut = {}, neardup.scratch
+
+    @contextlib.contextmanager
+    def counted():
+        with cut() as own:
+            def note(df, name):
+                out = own(df, name)
+                parts[name] = max(parts.get(name, 0), sum(p.endswith(".parquet") for p in out.inputFiles()))
+                return out
+
+            note.drop = own.drop
+            yield note
+
+    monkeypatch.setattr(neardup, "scratch", counted)
+    before = {k: spark.conf.get(k) for k in ["spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions", *common.SMALL_BATCHES]}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = neardup.link(docs)
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_links(rows)
+        assert {k: spark.conf.get(k) for k in common.SMALL_BATCHES} == {k: before[k] for k in common.SMALL_BATCHES}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # One file for each task that had rows.
+    assert {"link-shared", "link-met", "link-members", "link-links"} <= parts.keys() and max(parts.values()) <= 8
+
+
+def test_small_batches_bound_what_goes_to_python(spark):
+    docs = spark.range(64, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 17).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    with common.small_batches(spark):
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert max(got) <= 3 << 20 and sum(got) >= 8 << 20
+
+
 def test_jaccard_join_of_few_and_many_pairs(spark, monkeypatch):
     from pyspark.sql.readwriter import DataFrameWriter
 
